@@ -10,8 +10,8 @@ How it runs:
    agree (nearly everywhere) nothing is left to do. No list of a signature's members is ever built.
 3. In each remaining bucket every member is compared with the member that has most copies: the candidates of a pivot
    are stored in a trie (chunks of bounded size) and the pivot's set walks it. Links give components.
-4. Buckets whose members then lie in several components are cut into blocks. A trie of one block is probed with the
-   sets of another. Pairs already connected are skipped, so a group of thousands of near copies costs its size, not
+4. Buckets whose members then lie in several components are taken together by pivot and cut into blocks. A trie of one
+   block is probed with the sets of another. Pairs already connected are skipped, so a group of thousands of near copies costs its size, not
    its square, unless its members really are unconnected.
 
 The slack makes up for parts in which a set has no shingle at all. A set with too many empty parts also takes a second
@@ -280,21 +280,21 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     # 2. the buckets whose members lie in several components still
     labels = components(links)
     placed = keep(members.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    state = placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("mark"))
-    mixed = state.where("m > 2 and lo <> hi")  # a bucket of two has been decided
-    mixed = keep(mixed.groupBy("m", "mark").agg(F.min("sig").alias("sig")).select("sig", "m"), "mixed")  # buckets with the same members are one
+    state = placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = keep(state.where("m > 2 and lo <> hi").select("sig").join(pivots, "sig"), "mixed")  # a bucket of two has been decided
     if mixed.isEmpty():
         return links
-    inside = keep(placed.join(small(mixed.select("sig", "m")), "sig"), "inside")
-    parts = inside.groupBy("sig", "comp").agg(F.count("*").alias("size"))
-    main = keep(parts.groupBy("sig").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("total"), F.max("size").alias("most")), "main")
+    # buckets of one pivot have mostly the same members: together they are one group, in which each member is once
+    inside = keep(placed.join(small(mixed), "sig").select("pivot", "node", "comp").distinct(), "inside")
+    parts = inside.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
+    main = parts.groupBy("pivot").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
     block = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), c)
     whole, rest = F.ceil(F.col("total") / CHUNK), F.ceil(F.greatest(F.col("total") - F.col("most"), F.lit(1)) / CHUNK)
-    shaped = main.select("sig", "main", whole.cast("long").alias("blocks"), rest.cast("long").alias("probes"))
-    dealt = keep(inside.select("sig", "node", "comp").join(shaped, "sig"), "dealt")
-    unit = lambda i, j: F.xxhash64(F.col("sig"), i, j).alias("unit")
-    kept = dealt.select("sig", "node", "comp", block(F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("i"))
-    asked = dealt.where("comp <> main").select("sig", "node", "comp", block(F.col("probes")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    shaped = keep(main.where("total > most").select("pivot", "main", whole.cast("long").alias("blocks"), rest.cast("long").alias("probes")), "main")
+    dealt = keep(inside.join(shaped, "pivot"), "dealt")
+    unit = lambda i, j: F.xxhash64(F.col("pivot"), i, j).alias("unit")
+    kept = dealt.select("pivot", "node", "comp", block(F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("i"))
+    asked = dealt.where("comp <> main").select("pivot", "node", "comp", block(F.col("probes")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     units = kept.select(unit(F.col("i"), F.col("j")), F.lit(1).alias("side"), "node", "comp").unionByName(
         asked.select(unit(F.col("i"), F.col("j")), F.lit(0).alias("side"), "node", "comp"))
     more = _verify(units, texts, k, num, den)
