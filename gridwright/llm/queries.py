@@ -13,6 +13,8 @@ from gridwright.llm.line_dedup import dedup_lines
 from gridwright.llm.mixing import Mix
 from gridwright.llm.ngram_join import ngram_jaccard_components
 from gridwright.llm.sharding import shard
+from gridwright.llm.topk import top_k
+from gridwright.llm.urls import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +82,32 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of each document."""
     rows = Mix(table(spark, sf_dir, "documents")).rows
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: The rules that the query is given.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query()
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the longest rule's, else that of trees trained on the URLs that rules judge."""
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "blocked_share")
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+)
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors with the highest integer inner product with each whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
