@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import pii, secrets
+from gridwright.llm import decontamination, pii, secrets, toxicity
 from gridwright.llm.common import table
 from gridwright.llm.line_dedup import dedup_lines
 from gridwright.llm.mixing import Mix
@@ -111,3 +111,19 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 vectors with the highest integer inner product with each whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = model.score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, each with its best window."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
