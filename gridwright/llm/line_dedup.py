@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import ascii_lower, keep, small
+from gridwright.llm.common import ascii_lower, keep
 
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -37,14 +37,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = hashed.select("_key", "_id").distinct()
     common = per_doc.groupBy("_key").agg(F.count("*").alias("_docs"), F.max("_id").alias("_last")).where(F.col("_docs") >= min_docs)
     common = keep(common.select("_key", "_last"), "common-lines")
-    gone = hashed.join(small(common), "_key").where(~F.col("_id").eqNullSafe(F.col("_last")))
+    gone = hashed.join(common, "_key").where(~F.col("_id").eqNullSafe(F.col("_last")))
     words = gone.groupBy("_id", "_row", (F.col("_pos") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, _pos & 63))").alias("m"))
     marks = keep(words.groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("w", "m"))).alias("_marks")), "dropped-lines")
 
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).alias("_id"), text.alias("_text"))
     met = plain.withColumn("_row", F.unhex(F.md5("_text"))).join(
-        small(marks.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "_marks")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
+        marks.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "_marks"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     lines = F.split("_text", "\n", -1)
     # a dense array of masks, then one look-up for each line
     last = F.element_at("_marks", -1)["w"]
