@@ -196,7 +196,7 @@ def _documents_with(index: ItemIndex, w: Words) -> np.ndarray:
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The items, a block of bounded size at a time."""
     ids, texts, held = [], [], 0
-    own = items.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).where(F.col(text_col).isNotNull())
+    own = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("t")).where("t is not null")
     for i, t in own.toLocalIterator():
         if ids and (len(ids) == ITEM_BLOCK or held + len(t) > BLOCK_BYTES):
             yield ids, texts
@@ -214,7 +214,7 @@ LEAKS = "rid long, item_id long, first_word int, end_word int, similarity double
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id_col, item_id, first_word, end_word, similarity``: each benchmark item that a document holds, with its best window.
 
-    Words are runs of letters and digits, A-Z as a-z. A window has as many words as the item; shingles have K words, or
+    Words are runs of letters and digits, in either case. A window has as many words as the item; shingles have K words, or
     all of an item with fewer. Weighted similarity of SIMILARITY or more is a leak. Documents without leaks give no
     rows.
 
@@ -223,7 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     are taken whole at any length.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("rid"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("rid"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     shape = LEAKS.replace("rid long", f"rid {rows.schema['rid'].dataType.simpleString()}")
     out = None
     for block in _blocks(items, item_id_col, item_text_col):
@@ -233,13 +233,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out.withColumnRenamed("rid", id_col)
 
 
-def _clean(shared, names: list[str], text_at: int):
+def _clean(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*shared.value)
         for batch in batches:
             leaky = set()
             row = 0
-            for i, j, data, offsets in slices(batch.column(text_at).cast(pa.string())):
+            for i, j, data, offsets in slices(batch.column(len(names) - 1)):
                 w = Words(data, offsets, IS_PUNCT)
                 leaky.update(row + int(t) for t in _documents_with(index, w) if index.leaks(w.hashes[w.first[t] : w.first[t + 1]]))
                 row += j - i
@@ -253,8 +253,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """``docs`` without the rows that hold a benchmark item; see find_leaks. One scan for each block of items, no shuffle."""
     names = docs.columns
     slim = [f"c{i}" for i in range(len(names))]
-    shape = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for s, c in zip(slim, names))
-    out = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)])
+    shape = ", ".join([*(f"{s} {docs.schema[c].dataType.simpleString()}" for s, c in zip(slim, names)), "low string"])
+    out = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)], F.lower(F.col(f"`{text_col}`").cast("string")).alias("low"))
     for block in _blocks(items, item_id_col, item_text_col):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), slim, names.index(text_col)), shape)
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), [*slim, "low"]), shape)
     return out.select(*[F.col(s).alias(c) for s, c in zip(slim, names)])

@@ -27,7 +27,7 @@ TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the curve are fit
 MAX_TERMS = 5_000  # of the lexicon: the strongest ones
 MAX_PHRASES = 5_000
 MIN_TOXIC = 5  # toxic documents that a term needs
-MIN_ODDS = 2.5
+MIN_ODDS = 3.2
 MIN_PHRASE = 3  # documents without the label that an exception phrase needs
 STEMS = range(4, 9)  # letters of the word beginnings that may become terms
 
