@@ -110,7 +110,7 @@ def header_text_columns(cells: DataFrame, depth: int = 8) -> DataFrame:
     dropped, a range of years taken by its end, columns without a year taking that of the column to the left."""
     stacked = cells.where(F.col("r") < depth).groupBy(*SHEET, "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), " ").alias("t"))
     bare = F.regexp_replace("t", r"(?iu)(от\s+)?\d{1,2}\.\d{1,2}\.\d{4}|№\s*\S+", " ")
-    last = F.element_at(F.regexp_extract_all(bare, F.lit(r"(20[1-4]\d)"), F.lit(0)), -1)
+    last = F.try_element_at(F.regexp_extract_all(bare, F.lit(r"(20[1-4]\d)"), F.lit(0)), F.lit(-1))
     texts = stacked.withColumns({"own": last.try_cast("int"), "pf": rules.plan_fact(F.col("t"))})
     left = F.last("own", True).over(Window.partitionBy(*SHEET).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return texts.withColumn("year", left).where(F.col("year").isNotNull() & F.col("pf").isin(LABELS)).select(*SHEET, "c", "year", "pf")

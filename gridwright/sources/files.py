@@ -9,9 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Encodings in the order they are tried.
-ENCODINGS = ["utf-8", "cp1251", "cp866", "latin-1"]
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,7 +24,9 @@ def listed(spark: SparkSession, folder: str, extensions: list[str], recursive: b
 
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 if they are valid, else the Cyrillic code page (in which nearly every byte means something)."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1251"))
+    high = bytes(range(128, 256))
+    cyrillic = F.translate(F.decode(content, "iso-8859-1"), high.decode("latin-1"), high.decode("cp1251", "replace"))
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(cyrillic)
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
