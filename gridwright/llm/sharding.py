@@ -23,11 +23,11 @@ BINS = 1 << 16
 
 
 class Sums:
-    """What the driver knows of a sorted set of sums: bins ``(a, b]`` with their least and largest member."""
+    """What the driver knows of a sorted set of sums: the least and the largest member of each bin."""
 
     def __init__(self, ends: DataFrame, total: int):
         self.ends, self.total = ends, total
-        self.bins: list[tuple[int, int, int, int]] = []  # a, b, least, largest; those with members only
+        self.bins: list[tuple[int, int]] = []  # least and largest member of each bin that has any
         self.look([(0, total)])
 
     def look(self, windows: list[tuple[int, int]]) -> None:
@@ -41,18 +41,18 @@ class Sums:
             within = here if within is None else within | here
             first += -(-(b - a) // width)
         got = self.ends.where(within).groupBy(case.cast("long").alias("n")).agg(F.min("end").alias("lo"), F.max("end").alias("hi")).collect()
-        new = [(r.lo - 1 if r.lo == r.hi else r.lo - 1, r.hi, r.lo, r.hi) for r in got]
-        old = [x for x in self.bins if not any(a < x[3] <= b for a, b in windows)]
-        self.bins = sorted(old + new, key=lambda x: x[3])
-        self.largest = [x[3] for x in self.bins]
+        new = [(r.lo, r.hi) for r in got]
+        old = [x for x in self.bins if not any(a < x[1] <= b for a, b in windows)]
+        self.bins = sorted(old + new)
+        self.largest = [x[1] for x in self.bins]
 
     def floor(self, t: int) -> tuple[int, int]:
         """Bounds of the largest sum that is t at most; 0 if there is none."""
         i = bisect_left(self.largest, t)
-        if i < len(self.bins) and self.bins[i][3] == t:
+        if i < len(self.bins) and self.bins[i][1] == t:
             return t, t
-        if i < len(self.bins) and self.bins[i][2] <= t:
-            return (t, t) if self.bins[i][2] == t else (self.bins[i][2], t)
+        if i < len(self.bins) and self.bins[i][0] <= t:
+            return (t, t) if self.bins[i][0] == t else (self.bins[i][0], t)
         at = self.largest[i - 1] if i else 0
         return at, at
 
@@ -61,16 +61,16 @@ class Sums:
         if t <= 0:
             return 0, 0
         i = bisect_left(self.largest, t)
-        least, largest = self.bins[i][2:]
+        least, largest = self.bins[i]
         return (least, least) if t <= least else (largest, largest) if t == largest else (t, largest)
 
     def inside(self, a: int, b: int) -> list[tuple[int, int]]:
         """Windows of the bins with more than one member that meet [a, b]."""
         i = max(0, bisect_left(self.largest, a))
         out = []
-        while i < len(self.bins) and self.bins[i][2] <= b:
-            if self.bins[i][3] - self.bins[i][2] > 0 and self.bins[i][3] >= a:
-                out.append((self.bins[i][2] - 1, self.bins[i][3]))
+        while i < len(self.bins) and self.bins[i][0] <= b:
+            if self.bins[i][0] < self.bins[i][1] and self.bins[i][1] >= a:
+                out.append((self.bins[i][0] - 1, self.bins[i][1]))
             i += 1
         return out
 

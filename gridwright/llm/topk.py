@@ -1,6 +1,6 @@
 """Exact top-k by inner product with M-trees: paged metric nodes, covering radii, parent distances, best-first search.
 
-Vectors are dealt into trees of bounded size by a hash of their id, and each tree is built by one task. A vector x gets
+Vectors are dealt into trees of bounded size by a hash of their row's number, and each tree is built by one task. A vector x gets
 one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm in its tree; a query gets a 0. Then the squared distance
 is |q|^2 + M^2 - 2 q.x, so the nearest in the tree have the highest products, and the triangle inequality bounds them.
 Queries run against each tree in blocks of bounded size; each tree gives its k best, and the best of those are kept.
@@ -150,7 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     have, asked = clean(vectors), clean(queries).distinct()
     n, m = have.count(), asked.count()
     trees, blocks = max(1, -(-n // TREE)), max(1, -(-m // QUERIES))
-    dealt = have.withColumn("tree", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(trees)))
+    # dealt by row, not by id: an id that a third of the rows have fills no single tree
+    dealt = have.withColumn("tree", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(3)), F.lit(trees)))
     pages = keep(dealt.groupBy("dim", "tree").applyInPandas(build_pages, PAGE_SCHEMA), "pages")
     block = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -46,7 +46,7 @@ def _entropy(text: Column) -> Column:
         each = F.transform(F.array_distinct(cs), lambda c: F.size(F.filter(cs, lambda x: x == c)) / n)
         return F.aggregate(each, F.lit(0.0), lambda a, p: a - p * F.log(p) / math.log(2))
 
-    return F.when(n > 0, let(F.regexp_extract_all(F.substring(text, 1, 2000), F.lit("(?s)."), F.lit(0)), total)).otherwise(F.lit(0.0))
+    return F.when(n > 0, let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), total)).otherwise(F.lit(0.0))
 
 
 def lexical(df: DataFrame) -> DataFrame:
