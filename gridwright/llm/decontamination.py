@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.llm.common import short_batches
 from gridwright.llm.shingles import IS_PUNCT, U64, Words, shingle_hashes, slices
 
 K = 5  # words in a shingle
@@ -195,6 +196,7 @@ def _documents_with(index: ItemIndex, w: Words) -> np.ndarray:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The items, a block of bounded size at a time."""
+    short_batches(items.sparkSession)
     ids, texts, held = [], [], 0
     own = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("t")).where("t is not null")
     for i, t in own.toLocalIterator():

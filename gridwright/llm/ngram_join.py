@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import keep, shuffle_partitions, small
+from gridwright.llm.common import keep, short_batches, shuffle_partitions, small
 from gridwright.llm.components import components
 from gridwright.llm.shingles import U64, mix, set_key, shingle_sets
 from gridwright.llm.trie import PrefixTrie, needed
@@ -132,7 +132,7 @@ def _signed(k: int, num: int, den: int, bitmap=None):
                     sigs.append(g)
                     nodes.append(np.full(len(g), set_key(s)[0], dtype=np.int64))
                     held += len(g)
-                if held > 200_000:
+                if held > 100_000:
                     yield emit(sigs, nodes)
                     sigs, nodes, held = [], [], 0
             yield emit(sigs, nodes)
@@ -220,6 +220,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     their names. An empty table gives an empty result. Texts are taken whole at any length.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     ratio = Fraction(similarity)
     num, den = ratio.numerator, ratio.denominator
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

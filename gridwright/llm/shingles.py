@@ -15,7 +15,7 @@ IS_SPACE[list(_SPACES)] = True
 IS_PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,21 +73,32 @@ class Words:
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets into them) for runs of rows of about SLICE_BYTES; a long text stands alone, whole."""
+    """(first row, end row, bytes, offsets into them) for runs of rows of about SLICE_BYTES; a long text stands alone, whole.
+
+    No copy is made of the column: bytes and offsets are views, unless it has nulls.
+    """
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], dtype=width)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        j = max(i + 1, int(np.searchsorted(offsets, int(offsets[i]) + SLICE_BYTES, side="right")) - 1)
+        yield i, j, data[offsets[i] : offsets[j]], (offsets[i : j + 1] - offsets[i]).astype(np.int64)
         i = j
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of few rows, so that what a task makes of it at once stays small."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
     """One hash for each sequence of words; ``hashes[i]`` has the i-th word of all of them."""
     out = mix(hashes[0])

@@ -20,8 +20,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import keep, small
-from gridwright.llm.shingles import mix, shingle_sets
+from gridwright.llm.common import keep, short_batches, small
+from gridwright.llm.shingles import mix, pieces, shingle_sets
 
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the curve are fitted on, at most about
 MAX_TERMS = 5_000  # of the lexicon: the strongest ones
@@ -122,7 +122,7 @@ def _counted(batches: Iterator[pa.RecordBatch], units) -> Iterator[pa.RecordBatc
         keys = list(toxic.keys() | other.keys())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], ["unit", "toxic", "other"])
 
-    for b in batches:
+    for b in (p for whole in batches for p in pieces(whole)):
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             (toxic if label else other).update(units(fold(text or "")))
             if len(toxic) + len(other) > 500_000:
@@ -195,7 +195,7 @@ def _features(terms: dict[str, float], phrases: list[str], weights: list[float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms, phrases)
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             x = [lexicon.features(t or "") for t in b.column(0).to_pylist()]
             if weights is None:
                 made = pa.array(x, pa.list_(pa.float64()))
@@ -232,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows with a null label or id are left out; an id with several labels is toxic if one of them says so. Without
     documents of both kinds the model scores every text by the share of toxic labels, 0 if there are none.
     """
+    short_batches(docs.sparkSession)
     own = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label is not null and _id is not null")
     own = own.where(F.crc32(F.col("_id").cast("string")) % 3 != 1).groupBy("_id").agg(F.max("label").alias("label"))
     n = own.count()
