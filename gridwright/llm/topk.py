@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.common import keep
 
-TREE = 1024  # vectors in a tree, about
-PAGE = 32  # entries in a page
+TREE = 4096  # vectors in a tree, about
+PAGE = 512  # entries in a page: one vectorised look at each
 QUERIES = 1024  # queries in a block, about
 
 
@@ -52,7 +52,7 @@ def build_pages(pdf: pd.DataFrame) -> pd.DataFrame:
     top = float(norms.max())
     lifted = np.concatenate([exact, np.sqrt(np.maximum(top - norms, 0))[:, None]], 1)
     rows = []
-    for n, page in enumerate(_pages(lifted, np.random.default_rng(7))):
+    for n, page in enumerate(map(np.sort, _pages(lifted, np.random.default_rng(7)))):
         pivot = lifted[page].mean(0)
         away = np.sqrt(((lifted[page] - pivot) ** 2).sum(1))
         rows.append((pdf["dim"].iloc[0], pdf["tree"].iloc[0], n, top, pivot.tolist(), float(away.max()), away.tolist(), ids[page].tolist(), exact[page].ravel().tolist()))
@@ -107,15 +107,21 @@ class Tree:
             ok = self.ids[i] != own
             if len(best) == k:
                 ok &= half - gap * gap / 2 + slack >= best[0][0]
-            at = np.flatnonzero(ok)
-            self.distances += len(at)
+            rows, ids = self.exact[i], self.ids[i]
+            if not ok.all():
+                rows, ids = rows[ok], ids[ok]
+            self.distances += len(ids)
             if wide:
                 whole = [int(x) for x in q]
-                scores = [sum(int(a) * b for a, b in zip(row, whole)) for row in self.exact[i][at]]
+                scores = np.array([sum(int(a) * b for a, b in zip(row, whole)) for row in rows], dtype=object)
             else:
-                scores = (self.exact[i][at] @ q).tolist()
-            for s, v in zip(scores, self.ids[i][at].tolist()):
-                item = (int(s), -v)
+                scores = rows @ q
+            if len(best) == k:
+                good = np.flatnonzero(scores >= best[0][0])
+            else:  # ids ascend in a page, so a stable sort leaves the smaller one first
+                good = np.argsort(-scores, kind="stable")[:k]
+            for x in good.tolist():
+                item = (int(scores[x]), -int(ids[x]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:

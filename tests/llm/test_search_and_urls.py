@@ -39,10 +39,11 @@ def test_odd_vectors(spark):
     assert topk.top_k(df.limit(0), queries, 5).collect() == [] and topk.top_k(df, queries.limit(0), 5).collect() == []
 
 
-def test_bounds_save_distances():
+def test_bounds_save_distances(monkeypatch):
     import numpy as np
     import pandas as pd
 
+    monkeypatch.setattr(topk, "PAGE", 32)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 1000
     x = np.floor(np.concatenate([c + rng.normal(size=(50, 8)) * 10 for c in centres]))
