@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import keep, short_batches, shuffle_partitions, small
+from gridwright.llm.common import keep, release, short_batches, shuffle_partitions, small
 from gridwright.llm.components import components
 from gridwright.llm.shingles import U64, mix, set_key, shingle_sets
 from gridwright.llm.trie import PrefixTrie, needed
 
 CHUNK = 128  # sets in a trie: bounds a task's memory
 _SEEDS = 3
-_BITMAP_BITS = 1 << 23
+_BITMAP_BITS = 1 << 25
 
 
 class Bands:
@@ -141,7 +141,7 @@ def _signed(k: int, num: int, den: int, bitmap=None):
 
 
 def _bitmap(sigs: DataFrame) -> np.ndarray:
-    """Bit ``sig mod _BITMAP_BITS`` of each signature: 1 MB whatever the input, so it may pass through the driver."""
+    """Bit ``sig mod _BITMAP_BITS`` of each signature: 4 MB whatever the input, so it may pass through the driver."""
     bit = F.col("sig").bitwiseAND(F.lit(_BITMAP_BITS - 1))
     words = sigs.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("m"))
     out = np.zeros(_BITMAP_BITS >> 6, dtype=U64)
@@ -230,12 +230,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts_only = docs.select("text")
     ends = texts_only.mapInArrow(_signed(k, num, den), "sig long, node long").groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = keep(ends.where("lo <> hi").select("sig"), "sigs")
+    release(spark)
     n_shared = shared.count()
     links = None
     if n_shared:
         bitmap = spark.sparkContext.broadcast(_bitmap(shared))
         again = texts_only.mapInArrow(_signed(k, num, den, bitmap), "sig long, node long")
         members = keep(again.join(small(shared, n_shared), "sig").distinct(), "members")
+        release(spark)
         links = _links(docs, members, classes, k, num, den)
     return _result(rows, classes, components(links) if links is not None else None, id_col)
 
@@ -262,11 +264,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> Dat
 
     wanted = keep(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(-1 << 62)).alias("key")), "wanted")
     near = docs.select(F.coalesce("id", F.lit(-1 << 62)).alias("key"), "text").join(small(wanted), "key").select("node", "text")
-    return keep(near.mapInArrow(scan, "node long, text string"), "texts").dropDuplicates(["node"])
+    return near.mapInArrow(scan, "node long, text string").dropDuplicates(["node"])
 
 
 def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     texts = keep(_texts(docs, members.select("node"), classes, k), "texts")
+    release(members.sparkSession)
     # 1. every member of a bucket with the one that has most copies
     ranked = members.join(classes.select("node", "copies"), "node")
     pivots = keep(ranked.groupBy("sig").agg(F.max(F.struct("copies", "node"))["node"].alias("pivot")), "pivots")
@@ -278,6 +281,7 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     probes = chunks.select(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("pivot").alias("node")).select(
         F.xxhash64("node", F.col("c").cast("long")).alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"))
     links = _verify(probes.unionByName(stored), texts, k, num, den)
+    release(members.sparkSession)
     # 2. the buckets whose members lie in several components still
     labels = components(links)
     placed = keep(members.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "placed")
