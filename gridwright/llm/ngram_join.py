@@ -4,18 +4,18 @@ How it runs:
 
 1. One scan turns each text into its set of distinct word shingles and keeps a 64-bit hash of the set (``node``). Texts
    with equal sets are one node, however many copies there are.
-2. Candidates come from signatures. Within a band of set sizes two similar sets differ in at most ``d`` shingles. The
-   shingle space is cut by hash into ``d + 1 + slack`` parts, so at least one part is untouched by the differences, and
-   the hashes of its shingles are equal. An aggregate by signature keeps the least and the largest node; where they
-   agree (nearly everywhere) nothing is left to do. No list of a signature's members is ever built.
-3. In each remaining bucket every member is compared with the member that has most copies: the candidates of a pivot
-   are stored in a trie (chunks of bounded size) and the pivot's set walks it. Links give components.
-4. Buckets whose members then lie in several components are taken together by pivot and cut into blocks. A trie of one
-   block is probed with the sets of another. Pairs already connected are skipped, so a group of thousands of near copies costs its size, not
-   its square, unless its members really are unconnected.
-
-The slack makes up for parts in which a set has no shingle at all. A set with too many empty parts also takes a second
-cut with another hash, then a third; after the last one its empty parts count as signatures.
+2. Candidates come from prefixes. Shingles are in one global order, that of their hashes. If two sets of sizes a and b
+   have o shingles in common, the first l of these are among the first a - o + l of the one and b - o + l of the other.
+   As o is at least the similarity times either size, each set sends its first ``prefix`` shingles (tokens), and similar
+   sets share ``reach`` of them at least. An aggregate by token keeps the least and the largest node; no list of a
+   token's members is ever built. Tokens with two nodes set bits of a bitmap. A second scan drops every set that has
+   fewer such tokens than a similar partner would need: a shared passage or a common phrase does not make a candidate.
+3. Each remaining token's members are compared with the member that has most copies, if the two meet often enough: the
+   candidates of a pivot are stored in a trie (chunks of bounded size) and the pivot's set walks it. Links give components.
+4. What is still undecided are pairs in different components, so only tokens whose members lie in several components
+   count, and only sets that have enough of those. They are taken together by pivot and cut into blocks. A trie of one
+   block is probed with the sets of another. Pairs already connected are skipped, so a group of thousands of near copies
+   costs its size, not its square, unless its members really are unconnected.
 
 Hashes have 64 bits: sets of some hundred shingles would need a collision among their own shingles to be misjudged.
 """
@@ -38,64 +38,22 @@ from gridwright.llm.shingles import U64, mix, set_key, shingle_sets
 from gridwright.llm.trie import PrefixTrie, needed
 
 CHUNK = 128  # sets in a trie: bounds a task's memory
-_SEEDS = 3
 _BITMAP_BITS = 1 << 25
 
 
-class Bands:
-    """Bands of set sizes such that any two sets that can be similar lie together in at least one band."""
+def reach(n: int, num: int, den: int) -> int:
+    """Tokens that a set of n shingles shares with each similar set that is no smaller."""
+    return max(1, min(n * (den - num) // den, n * num // den))
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.tops = [0]
-        self._parts: dict[int, tuple[int, int]] = {}
 
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(top of the band, parts, differences at most) of each band that has sets of this size."""
-        while self.tops[-1] * self.num < size * self.den:
-            top = self.tops[-1]
-            self.tops.append(max(top + 1, top * self.den * self.den // (self.num * self.num)))
-        out = []
-        for below, top in zip(self.tops, self.tops[1:]):
-            if -(-(below + 1) * self.num // self.den) <= size <= top:
-                out.append((top, *self._shape(below, top)))
-        return out
+def prefix(n: int, num: int, den: int) -> int:
+    """First shingles that a set of n sends as its tokens."""
+    return n * (den - num) // den + reach(n, num, den)
+
 
-    def _shape(self, below: int, top: int) -> tuple[int, int]:
-        if top not in self._parts:
-            d = max(a + b - 2 * needed(a, b, self.num, self.den) for a, b in ((top, top), (top, top - 1)) if b > 0) if top > 1 else 0
-            low, parts = max(1, -(-(below + 1) * self.num // self.den)), d + 1
-            for _ in range(4):  # slack for empty parts of the smallest set
-                empty = parts * math.exp(-low / parts)
-                parts = d + 1 + math.ceil(empty + 4 * math.sqrt(empty)) if d else 1
-            self._parts[top] = (parts, d)
-        return self._parts[top]
-
-
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set: sets similar enough have one in common at least."""
-    found = []
-    n = len(s)
-    if not n:
-        return s
-    for top, parts, d in bands.of(n):
-        if not d:
-            continue  # in this band only equal sets are similar
-        for seed in range(_SEEDS):
-            salt = U64(top * 8 + seed)
-            part = (mix(s ^ mix(salt[None] + U64(77))[0]) >> U64(11)) % U64(parts)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(mix(s[order] + salt), heads)
-            found.append(mix(sums + (part[heads] * U64(1 << 20) + salt) * U64(0x9E3779B97F4A7C15)))
-            empty = parts - len(heads)
-            if empty < parts - d:
-                break
-        else:
-            at = np.setdiff1d(np.arange(parts, dtype=U64), part)
-            found.append(mix((at * U64(1 << 20) + salt) * U64(0x9E3779B97F4A7C15)))
-    return np.concatenate(found) if found else s[:0]
+def least(n: int, num: int, den: int) -> int:
+    """Tokens that a set of n shares with any similar set, the smallest one included."""
+    return reach(-(-n * num // den), num, den)
 
 
 def _nodes(k: int):
@@ -110,46 +68,65 @@ def _nodes(k: int):
     return scan
 
 
-def _signed(k: int, num: int, den: int, bitmap=None):
-    """(sig, node) of every text; with a bitmap only those whose bit is set."""
+def _tokens(k: int, num: int, den: int, bitmap=None):
+    """(token, node, need) of every text; with a bitmap only tokens whose bit is set, of texts that have ``need`` of them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, bits = Bands(num, den), None if bitmap is None else bitmap.value
+        bits = None if bitmap is None else bitmap.value
 
-        def emit(sigs: list, nodes: list) -> pa.RecordBatch:
-            sig = np.concatenate(sigs) if sigs else np.zeros(0, U64)
-            node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], ["sig", "node"])
+        def emit(tokens: list, nodes: list, needs: list) -> pa.RecordBatch:
+            counts = [len(t) for t in tokens]
+            token = np.concatenate(tokens) if tokens else np.zeros(0, U64)
+            node, need = (np.repeat(np.array(x, dtype=np.int64), counts) for x in (nodes, needs))
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(need)], ["token", "node", "need"])
 
         for b in batches:
-            sigs, nodes, held = [], [], 0
+            tokens, nodes, needs, held = [], [], [], 0
             for s in shingle_sets(b.column(0), k):
-                g = signatures(s, bands)
-                if bits is not None and len(g):
-                    at = g & U64(_BITMAP_BITS - 1)
-                    g = g[(bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1]
-                if len(g):
-                    sigs.append(g)
-                    nodes.append(np.full(len(g), set_key(s)[0], dtype=np.int64))
-                    held += len(g)
+                if not len(s):
+                    continue
+                t, need = s[: prefix(len(s), num, den)], least(len(s), num, den)
+                if bits is not None:
+                    at = t & U64(_BITMAP_BITS - 1)
+                    t = t[(bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1]
+                    if len(t) < need:
+                        continue
+                tokens.append(t)
+                nodes.append(set_key(s)[0])
+                needs.append(need)
+                held += len(t)
                 if held > 100_000:
-                    yield emit(sigs, nodes)
-                    sigs, nodes, held = [], [], 0
-            yield emit(sigs, nodes)
+                    yield emit(tokens, nodes, needs)
+                    tokens, nodes, needs, held = [], [], [], 0
+            yield emit(tokens, nodes, needs)
 
     return scan
 
 
-def _bitmap(sigs: DataFrame) -> np.ndarray:
-    """Bit ``sig mod _BITMAP_BITS`` of each signature: 4 MB whatever the input, so it may pass through the driver."""
-    bit = F.col("sig").bitwiseAND(F.lit(_BITMAP_BITS - 1))
-    words = sigs.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("m"))
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """Bit ``token mod _BITMAP_BITS`` of each token: 4 MB whatever the input, so it may pass through the driver."""
+    bit = F.col("token").bitwiseAND(F.lit(_BITMAP_BITS - 1))
+    words = tokens.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(token & 63 as int)))").alias("m"))
     out = np.zeros(_BITMAP_BITS >> 6, dtype=U64)
     got = words.toPandas()
     out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(U64)
     return out
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Of ``members(token, node, need, comp)`` the tokens that lie in several components, of nodes that have ``need`` of them.
+
+    Two similar sets in different components share at least ``need`` tokens of either, and each of these lies in both
+    components: no such pair is lost. A second round uses what the first one dropped.
+    """
+    for _ in range(2):
+        several = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        shared = keep(members.join(several, "token", "left_semi"), "shared")
+        enough = shared.groupBy("node").agg(F.count("*").alias("has"), F.min("need").alias("need")).where("has >= need").select("node")
+        members = keep(shared.join(small(enough), "node", "left_semi").select("token", "node", "need", "comp"), "members")
+    return members
+
+
 class _Units:
     """Rows (unit, side, node, comp, text), sorted by unit and side, cut into units: side 0 probes, side 1 is stored."""
 
@@ -228,17 +205,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     classes = keep(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
 
     texts_only = docs.select("text")
-    ends = texts_only.mapInArrow(_signed(k, num, den), "sig long, node long").groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = keep(ends.where("lo <> hi").select("sig"), "sigs")
+    schema = "token long, node long, need long"
+    ends = texts_only.mapInArrow(_tokens(k, num, den), schema).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    bits = _bitmap(ends.where("lo <> hi").select("token"))
     release(spark)
-    n_shared = shared.count()
     links = None
-    if n_shared:
-        bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-        again = texts_only.mapInArrow(_signed(k, num, den, bitmap), "sig long, node long")
-        members = keep(again.join(small(shared, n_shared), "sig").distinct(), "members")
+    if bits.any():
+        again = texts_only.mapInArrow(_tokens(k, num, den, spark.sparkContext.broadcast(bits)), schema)
+        members = _open(keep(again.distinct().withColumn("comp", F.col("node")), "members"))
         release(spark)
-        links = _links(docs, members, classes, k, num, den)
+        if not members.isEmpty():
+            links = _links(docs, members, classes, k, num, den)
     return _result(rows, classes, components(links) if links is not None else None, id_col)
 
 
@@ -270,10 +247,11 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> Dat
 def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     texts = keep(_texts(docs, members.select("node"), classes, k), "texts")
     release(members.sparkSession)
-    # 1. every member of a bucket with the one that has most copies
+    # 1. every member of a token with the one that has most copies, if they meet in half as many tokens as similar sets share
     ranked = members.join(classes.select("node", "copies"), "node")
-    pivots = keep(ranked.groupBy("sig").agg(F.max(F.struct("copies", "node"))["node"].alias("pivot")), "pivots")
-    pairs = keep(members.join(pivots, "sig").where("node <> pivot").select("pivot", "node").distinct(), "pairs")
+    pivots = keep(ranked.groupBy("token").agg(F.max(F.struct("copies", "node"))["node"].alias("pivot")), "pivots")
+    meet = members.join(pivots, "token").where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("has"), F.min("need").alias("need"))
+    pairs = keep(meet.where("2 * has >= need").select("pivot", "node"), "pairs")
     chunks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunks = keep(chunks, "chunks")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long"))
@@ -282,15 +260,14 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
         F.xxhash64("node", F.col("c").cast("long")).alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"))
     links = _verify(probes.unionByName(stored), texts, k, num, den)
     release(members.sparkSession)
-    # 2. the buckets whose members lie in several components still
+    # 2. what can still be linked across components
     labels = components(links)
-    placed = keep(members.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    state = placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = keep(state.where("m > 2 and lo <> hi").select("sig").join(pivots, "sig"), "mixed")  # a bucket of two has been decided
-    if mixed.isEmpty():
+    placed = keep(members.drop("comp").join(labels, "node", "left").select("token", "node", "need", F.coalesce("comp", "node").alias("comp")), "placed")
+    left = _open(placed)
+    if left.isEmpty():
         return links
-    # buckets of one pivot have mostly the same members: together they are one group, in which each member is once
-    inside = keep(placed.join(small(mixed), "sig").select("pivot", "node", "comp").distinct(), "inside")
+    # tokens of one pivot have mostly the same members: together they are one group, in which each member is once
+    inside = keep(left.join(pivots, "token").select("pivot", "node", "comp").distinct(), "inside")
     parts = inside.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
     main = parts.groupBy("pivot").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
     block = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), c)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridwright.llm.components import components
-from gridwright.llm.ngram_join import Bands, ngram_jaccard_components, signatures
+from gridwright.llm.ngram_join import least, ngram_jaccard_components, prefix
 from gridwright.llm.queries import op5_ngram_jaccard_join
 from gridwright.llm.shingles import shingle_sets
 from gridwright.llm.trie import PrefixTrie
@@ -85,12 +85,11 @@ def test_trie_finds_what_brute_force_finds(stored, probe, ratio):
     assert sorted(trie.probe(np.array(sorted(probe), dtype=np.uint64), num, den)) == want
 
 
-def test_similar_sets_share_a_signature():
+def test_similar_sets_share_enough_tokens():
     rng = random.Random(1)
-    for num, den in ((9, 10), (4, 5)):
-        bands = Bands(num, den)
+    for num, den in ((9, 10), (4, 5), (1, 2), (1, 5)):
         for _ in range(600):
-            n = rng.choice([4, 5, 9, 10, 11, 20, 60, 200, 900])
+            n = rng.choice([1, 2, 4, 5, 9, 10, 11, 20, 60, 200, 900])
             x = {rng.getrandbits(63) for _ in range(n)}
             y = set(x)
             while True:
@@ -98,9 +97,8 @@ def test_similar_sets_share_a_signature():
                 if not nxt or den * len(x & nxt) < num * len(x | nxt):
                     break
                 y = nxt
-            if x != y:
-                a, b = (signatures(np.array(sorted(s), dtype=np.uint64), bands) for s in (x, y))
-                assert len(np.intersect1d(a, b)), (n, len(x ^ y))
+            a, b = (sorted(s)[: prefix(len(s), num, den)] for s in (x, y))
+            assert len({*a} & {*b}) >= max(least(len(s), num, den) for s in (x, y)), (n, len(x ^ y))
 
 
 def test_shingles_of_odd_texts():
