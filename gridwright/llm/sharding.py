@@ -10,7 +10,7 @@ capacity and the cuts are exact. So no group list ever reaches the driver, and e
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,14 +65,33 @@ class Sums:
         return (least, least) if t <= least else (largest, largest) if t == largest else (t, largest)
 
     def inside(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Windows of the bins with more than one member that meet [a, b]."""
+        """One window from the first to the last bin with more than one member that meets [a, b], if there is any."""
         i = max(0, bisect_left(self.largest, a))
-        out = []
+        found = []
         while i < len(self.bins) and self.bins[i][0] <= b:
             if self.bins[i][0] < self.bins[i][1] and self.bins[i][1] >= a:
-                out.append((self.bins[i][0] - 1, self.bins[i][1]))
+                found.append(self.bins[i])
             i += 1
-        return out
+        return [(found[0][0] - 1, found[-1][1])] if found else []
+
+    def refine(self, windows: set[tuple[int, int]]) -> None:
+        """Look at the windows again, overlapping ones as one: of their bins the leading ones, as many as leave the first at most half its width."""
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(windows):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        assert merged, "the bins are exact, but the search isn't"
+        lo, hi = self.bins[bisect_right(self.largest, merged[0][0])]
+        room, taken = BINS * max(1, (hi - lo) // 2), []
+        for a, b in merged:
+            if b - a > room:  # up to the last bin that ends in the room
+                b = max(a, self.largest[bisect_right(self.largest, a + room) - 1])
+            if b > a:
+                taken.append((a, b))
+            room -= b - a
+        self.look(taken)
 
 
 def minimax_cuts(ends: DataFrame, total: int, shards: int) -> tuple[int, list[int]]:
@@ -83,7 +102,7 @@ def minimax_cuts(ends: DataFrame, total: int, shards: int) -> tuple[int, list[in
     """
     if not total or shards < 2:
         return total, [total] * max(0, shards - 1)
-    sums, known = Sums(ends, total), set()
+    sums = Sums(ends, total)
 
     def fill(c: int, side: int) -> list[int]:
         at, out = 0, []
@@ -124,10 +143,7 @@ def minimax_cuts(ends: DataFrame, total: int, shards: int) -> tuple[int, list[in
         else:
             a, b = fill(low, 0), fill(high, 1)
             windows = {w for x, y in zip(a, b) for w in sums.inside(x, y + 1)} | {w for x, y in zip([0, *a], [0, *b]) for w in sums.inside(x + low, y + high)}
-        windows -= known
-        merged = sorted(windows)
-        assert merged, "the bins are exact, but the search isn't"
-        sums.look(merged)
+        sums.refine(windows)
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:

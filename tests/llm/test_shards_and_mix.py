@@ -1,5 +1,7 @@
 """Sharding and mixing against brute force and their stated laws."""
 
+import bisect
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -43,6 +45,25 @@ def test_capacity_is_the_smallest(spark, monkeypatch):
         assert max(b - a for a, b in zip(edges, edges[1:])) == cap and all(b >= a for a, b in zip(edges, edges[1:]))
 
 
+def test_capacity_of_many_groups(spark, monkeypatch):
+    rng, shards = random.Random(8), 24
+    for bins in (1 << 16, 1 << 11):
+        monkeypatch.setattr(sharding, "BINS", bins)
+        sizes = [rng.choice([rng.randint(20, 400), rng.randint(1000, 20000)]) for _ in range(20000)]
+        ends = list(itertools.accumulate(sizes))
+        cap, cuts = sharding.minimax_cuts(spark.createDataFrame([(e,) for e in ends], "end long"), ends[-1], shards)
+
+        def fits(c):
+            at = 0
+            for _ in range(shards):
+                at = ends[bisect.bisect_right(ends, at + c) - 1] if at + c >= ends[0] else at
+            return at == ends[-1]
+
+        assert fits(cap) and not fits(cap - 1)
+        edges = [0, *cuts, ends[-1]]
+        assert max(b - a for a, b in zip(edges, edges[1:])) <= cap and all(b >= a for a, b in zip(edges, edges[1:])) and set(cuts) <= set(ends)
+
+
 def check_shards(rows, shards):
     slots, groups, sizes = defaultdict(list), defaultdict(set), Counter()
     for r in rows:
