@@ -13,7 +13,7 @@ How it runs:
 3. Each remaining token's members are compared with the member that has most copies, if the two meet often enough: the
    candidates of a pivot are stored in a trie (chunks of bounded size) and the pivot's set walks it. Links give components.
 4. What is still undecided are pairs in different components, so only tokens whose members lie in several components
-   count, and only sets that have enough of those. They are taken together by pivot and cut into blocks. A trie of one
+   count, and only sets that have enough of those, each with its rarest ones. They are taken together by pivot and cut into blocks. A trie of one
    block is probed with the sets of another. Pairs already connected are skipped, so a group of thousands of near copies
    costs its size, not its square, unless its members really are unconnected.
 
@@ -29,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import keep, release, short_batches, shuffle_partitions, small
@@ -127,6 +127,17 @@ def _open(members: DataFrame) -> DataFrame:
     return members
 
 
+def _rarest(members: DataFrame) -> DataFrame:
+    """Each node's tokens but the ``need - 1`` that most members have.
+
+    Of the tokens that two similar sets share the rarest has ``need - 1`` more common ones above it in both, so both keep it.
+    """
+    freq = members.groupBy("token").agg(F.count("*").alias("freq"))
+    mine = Window.partitionBy("node")
+    placed = members.join(freq, "token").withColumn("at", F.row_number().over(mine.orderBy("freq", "token"))).withColumn("has", F.count("*").over(mine))
+    return keep(placed.where("at <= has - need + 1").select("token", "node", "need", "comp"), "rarest")
+
+
 class _Units:
     """Rows (unit, side, node, comp, text), sorted by unit and side, cut into units: side 0 probes, side 1 is stored."""
 
@@ -263,7 +274,7 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     # 2. what can still be linked across components
     labels = components(links)
     placed = keep(members.drop("comp").join(labels, "node", "left").select("token", "node", "need", F.coalesce("comp", "node").alias("comp")), "placed")
-    left = _open(placed)
+    left = _rarest(_open(placed))
     if left.isEmpty():
         return links
     # tokens of one pivot have mostly the same members: together they are one group, in which each member is once
