@@ -1,16 +1,18 @@
-"""Benchmark decontamination: item-sized windows of documents whose SimHash is near an item's, verified by weighted shingles.
+"""Benchmark decontamination: item-sized windows of documents, compared with the items by weighted shingles.
 
 Items come in blocks of bounded size; a block's index is broadcast and every document meets it in its own task, so
-nothing is shuffled. A window that shares no shingle with any item has similarity 0 with all of them: only windows that
-begin in reach of a shared shingle are fingerprinted. A window's fingerprint has 64 bits, each the sign of the summed
-weights of its shingles. It is cut into BLOCKS blocks; two fingerprints within RADIUS bits agree in at least one block
-up to RADIUS // BLOCKS bits, so the tables of items by block value, with all values that near entered at build time,
-give every item within the radius. Candidates within the radius are verified exactly: the weight of the shingles that
-window and item share, over the larger of their two weights.
+nothing is shuffled. The similarity of a window and an item is the weight of the shingles they share, over the larger of
+their two weights. It reaches SIMILARITY only if the shared weight is that part of the item's weight, which gives two
+filters that lose nothing: a document meets the items of which all its distinct shingles together hold enough, and of
+its windows those are verified whose shared shingles, repeats counted, weigh enough.
+
+SimHash fingerprints of items, with multi-index Hamming blocks to look them up (``ItemIndex.within``), are there for
+approximate search. They decide nothing here: windows of similarity 0.8 lie outside any radius that saves work.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections import defaultdict
@@ -31,6 +33,7 @@ BLOCKS = 4
 ITEM_BLOCK = 1_000  # items in an index
 BLOCK_BYTES = 8 << 20  # of their text: an index is broadcast, and so bounded
 
+_SLACK = 1e-12  # of sums, by rounding
 _BITS = 64 // BLOCKS
 _MASK = (1 << _BITS) - 1
 
@@ -80,13 +83,10 @@ class ItemIndex:
         self.known_weight = np.array([math.log(1 + n / count[h]) for h in self.known.tolist()])
         self.plain = math.log(1 + n)
         self.weight = np.array([self.weigh(s).sum() for s in self.shingles])
-        self.prints = np.concatenate([_pack(_signs(s, self.weigh(s)).sum(0)[None]) for s in self.shingles]) if live else np.zeros(0, U64)
-        self.having: dict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(self.shingles):
-            for h in s.tolist():
-                self.having[h].append(i)
-        self.near = _masks(RADIUS // BLOCKS)
-        self._tables = None
+        self.own = [np.searchsorted(self.known, s) for s in self.shingles]  # places in known
+        having = np.concatenate(self.own) if live else np.zeros(0, np.int64)
+        self.holders = np.repeat(np.arange(len(live)), [len(s) for s in self.own])[np.argsort(having, kind="stable")]
+        self.held = np.searchsorted(np.sort(having), np.arange(len(self.known) + 1))  # known shingle x: holders[held[x] : held[x + 1]]
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -94,17 +94,21 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.known_weight[at], self.plain)
 
-    @property
+    @functools.cached_property
+    def prints(self) -> np.ndarray:
+        """The items' fingerprints: 64 signs of the summed weights of their shingles."""
+        return np.concatenate([_pack(_signs(s, self.weigh(s)).sum(0)[None]) for s in self.shingles]) if self.ids else np.zeros(0, U64)
+
+    @functools.cached_property
     def tables(self) -> list[np.ndarray]:
         """For each block, by its value, a row of bits: items with a block value within RADIUS // BLOCKS bits."""
-        if self._tables is None:
-            self._tables = []
-            for b in range(BLOCKS):
-                t = np.zeros((1 << _BITS, -(-len(self.ids) // 8)), dtype=np.uint8)
-                for i, p in enumerate(((self.prints >> U64(b * _BITS)) & U64(_MASK)).astype(np.int64)):
-                    t[self.near ^ p, i >> 3] |= 1 << (i & 7)
-                self._tables.append(t)
-        return self._tables
+        near, out = _masks(RADIUS // BLOCKS), []
+        for b in range(BLOCKS):
+            t = np.zeros((1 << _BITS, -(-len(self.ids) // 8)), dtype=np.uint8)
+            for i, p in enumerate(((self.prints >> U64(b * _BITS)) & U64(_MASK)).astype(np.int64)):
+                t[near ^ p, i >> 3] |= 1 << (i & 7)
+            out.append(t)
+        return out
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs of fingerprints within RADIUS bits."""
@@ -116,49 +120,61 @@ class ItemIndex:
         return w[d <= RADIUS], i[d <= RADIUS]
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, end word, similarity) of each item's best window in a text of these words."""
-        n = len(words)
+        """(item, first word, end word, similarity) of each item's best window in a text of these words, the first of equals."""
+        n, out = len(words), []
         if not n or not self.ids:
             return []
-        best: dict[int, tuple[float, int, int]] = {}
-        runs: dict[int, np.ndarray] = {}
-        for k in {K, *self.length[self.length < K].tolist()}:
-            if n >= k:
-                runs[k] = shingle_hashes(words, k)
-        todo: dict[int, set[int]] = defaultdict(set)  # windows to look at, by their size
-        for k, h in runs.items():
+        for k in np.unique(np.minimum(K, self.length)).tolist():
+            if n < k:
+                continue
+            h = shingle_hashes(words, k)
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            for p in np.flatnonzero(self.known[at] == h).tolist():
-                for i in self.having[int(h[p])]:
-                    size = int(self.length[i])
-                    if min(K, size) == k:
-                        todo[size].update(range(max(0, p - size + k), max(0, min(p, n - size)) + 1))
-        for size, starts in todo.items():
-            k = min(K, size, n)
-            if k not in runs:
+            hit = np.flatnonzero(self.known[at] == h)
+            places = hit[np.argsort(at[hit], kind="stable")]  # of known shingles, by shingle and then in order
+            there = at[places]
+            for i in self._reached(np.unique(there)):
+                if min(K, self.length[i]) == k:
+                    found = self._best(h, n, k, i, places, there)
+                    if found is not None:
+                        out.append(found)
+        return sorted(out)
+
+    def _reached(self, mine: np.ndarray) -> list[int]:
+        """Items of whose weight these known shingles hold enough."""
+        counts = self.held[mine + 1] - self.held[mine]
+        if not counts.sum():
+            return []
+        at = np.repeat(self.held[mine] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        shared = np.bincount(self.holders[at], np.repeat(self.weigh(self.known[mine]), counts), len(self.ids))
+        return np.flatnonzero(shared >= SIMILARITY * self.weight * (1 - _SLACK)).tolist()
+
+    def _best(self, h: np.ndarray, n: int, k: int, i: int, places: np.ndarray, there: np.ndarray) -> tuple[int, int, int, float] | None:
+        size, weight = int(self.length[i]), float(self.weight[i])
+        span, last = min(size, n) - k + 1, max(0, n - size)
+        low, high = np.searchsorted(there, self.own[i]), np.searchsorted(there, self.own[i], side="right")
+        p = np.sort(np.concatenate([places[a:b] for a, b in zip(low.tolist(), high.tolist())]))
+        # windows that hold a shared shingle: the union of the starts in reach of each
+        a, b = np.maximum(0, p - span + 1), np.minimum(p, last)
+        new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1] + 1]))
+        ends = np.append(new[1:], len(p)) - 1
+        starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a[new].tolist(), b[ends].tolist())])
+        sums = np.concatenate([[0.0], np.cumsum(self.weigh(h[p]))])
+        most = sums[np.searchsorted(p, starts + span)] - sums[np.searchsorted(p, starts)]
+        most = most / weight + _SLACK * (1 + sums[-1] / weight)
+        starts, most = starts[most >= SIMILARITY], most[most >= SIMILARITY]
+        best = (0.0, 0)
+        for x in np.argsort(-most, kind="stable").tolist():
+            start = int(starts[x])
+            if most[x] < best[0]:
+                break
+            if best[0] >= 1 and start > -best[1]:
                 continue
-            h, span = runs[k], max(1, min(size, n) - k + 1)
-            order = np.array(sorted(starts), dtype=np.int64)
-            low, high = order[0], min(len(h), order[-1] + span)
-            for part in np.array_split(order, max(1, (high - low) // 4096)):
-                if not len(part):
-                    continue
-                a, b = part[0], min(len(h), part[-1] + span)
-                w = self.weigh(h[a:b])
-                sums = np.zeros((b - a + 1, 64))
-                np.cumsum(_signs(h[a:b], w), axis=0, out=sums[1:])
-                ends = np.minimum(part + span, len(h))
-                at, items = self.within(_pack(sums[ends - a] - sums[part - a] - 1e-9))
-                for x, i in zip(at.tolist(), items.tolist()):
-                    if self.length[i] != size:
-                        continue
-                    mine = np.unique(h[part[x] : ends[x]])
-                    both = mine[np.isin(mine, self.shingles[i], assume_unique=True)]
-                    s = float(self.weigh(both).sum() / max(self.weigh(mine).sum(), self.weight[i]))
-                    found = (s, -int(part[x]), int(min(part[x] + size, n)))
-                    if s >= SIMILARITY and found > best.get(i, (0.0, 0, 0)):
-                        best[i] = found
-        return [(i, -s[1], s[2], s[0]) for i, s in sorted(best.items())]
+            mine = np.unique(h[start : start + span])
+            both = mine[np.isin(mine, self.shingles[i], assume_unique=True)]
+            s = float(self.weigh(both).sum() / max(self.weigh(mine).sum(), weight))
+            if s >= SIMILARITY:
+                best = max(best, (s, -start))
+        return (i, -best[1], min(size - best[1], n), best[0]) if best[0] else None
 
 
 def _scan(shared):

@@ -52,3 +52,44 @@ def test_blocks_find_all_within_the_radius():
     w, i = index.within(prints)
     dist = np.bitwise_count(prints[:, None] ^ index.prints[None])
     assert set(zip(w.tolist(), i.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(dist <= d.RADIUS))))
+
+
+def every_window(index, words, i):
+    """(similarity, first start) of the best of all item-sized windows."""
+    size, want, best = int(index.length[i]), set(index.shingles[i].tolist()), (0.0, 0)
+    for a in range(max(0, len(words) - size) + 1):
+        mine = np.unique(d.shingle_hashes(words[a : a + size], min(d.K, size)))
+        both = np.array([h for h in mine.tolist() if h in want], dtype=np.uint64)
+        best = max(best, (float(index.weigh(both).sum() / max(index.weigh(mine).sum(), index.weight[i])), -a))
+    return best
+
+
+def test_near_the_threshold_against_every_window():
+    rng = np.random.default_rng(5)
+    some = lambda n, of=10**6: [f"w{x}" for x in rng.integers(of, size=n)]
+    common = some(12)
+    bench = [common + some(18) if i % 2 else some(int(rng.integers(3, 90))) for i in range(60)]
+    index = d.ItemIndex(list(range(60)), [" ".join(b) for b in bench])
+    near = 0
+    for trial in range(600):
+        x = list(bench[trial % 60])
+        for _ in range(rng.integers(1, 4)):
+            at = int(rng.integers(len(x)))
+            x[at : at + int(rng.integers(0, 2))] = some(int(rng.integers(0, 3)))
+        words = d.item_words([" ".join(some(int(rng.integers(0, 30))) + x + x[: trial % 3] + some(int(rng.integers(0, 30))))])[0]
+        want = every_window(index, words, trial % 60)
+        near += 0.8 <= want[0] <= 0.9
+        found = [(s, -a) for i, a, _, s in index.leaks(words) if i == trial % 60]
+        assert found == ([want] if want[0] >= d.SIMILARITY else [])
+    assert near > 60
+
+
+def test_none_is_lost_at_the_threshold():
+    """40 words, three in a row of them replaced: 29 of 36 shingles are left."""
+    rng = np.random.default_rng(8)
+    bench = [[f"w{x}" for x in rng.integers(10**6, size=40)] for _ in range(400)]
+    index = d.ItemIndex(list(range(400)), [" ".join(b) for b in bench])
+    for i, b in enumerate(bench):
+        at = int(rng.integers(8, 30))
+        words = d.item_words([" ".join(["before", *b[:at], "x", f"y{i}", "z", *b[at + 3 :], "after"])])[0]
+        assert [(r[0], r[1], r[2]) for r in index.leaks(words)] == [(i, 1, 41)]
