@@ -1,7 +1,7 @@
 """Benchmark decontamination: item-sized windows of documents, compared with the items by weighted shingles.
 
 Items come in blocks of bounded size; a block's index is broadcast and every document meets it in its own task, so
-nothing is shuffled. The similarity of a window and an item is the weight of the shingles they share, over the larger of
+no document is shuffled. Weights are counted over all items first, so blocks change no result. The similarity of a window and an item is the weight of the shingles they share, over the larger of
 their two weights. It reaches SIMILARITY only if the shared weight is that part of the item's weight, which gives two
 filters that lose nothing: a document meets the items of which all its distinct shingles together hold enough, and of
 its windows those are verified whose shared shingles, repeats counted, weigh enough.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,23 +64,20 @@ class ItemIndex:
     """Items with their weighted shingles, fingerprints, and block tables.
 
     A shingle weighs log(1 + items / items that have it): one that many items share tells little. Shingles that no item
-    has weigh like those that one has.
+    has weigh like those that one has. Items are those of the whole benchmark if ``shared`` has its counts (see
+    ``_shared``), else the given ones.
     """
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], shared: tuple[int, np.ndarray, np.ndarray] | None = None):
         words = item_words(texts)
         live = [i for i, w in enumerate(words) if len(w)]
         self.ids = [ids[i] for i in live]
         self.length = np.array([len(words[i]) for i in live], dtype=np.int64)
         self.shingles = [np.unique(shingle_hashes(words[i], K)) for i in live]
-        count: dict[int, int] = defaultdict(int)
-        for s in self.shingles:
-            for h in s.tolist():
-                count[h] += 1
-        self.known = np.array(sorted(count), dtype=U64)
-        n = max(1, len(live))
-        self.known_weight = np.array([math.log(1 + n / count[h]) for h in self.known.tolist()])
-        self.plain = math.log(1 + n)
+        self.known, count = np.unique(np.concatenate(self.shingles) if live else np.zeros(0, U64), return_counts=True)
+        n, self.common, count = (len(live), self.known[count > 1], count[count > 1]) if shared is None else shared
+        self.common_weight = np.array([math.log(1 + n / c) for c in count.tolist()])
+        self.plain = math.log(1 + max(1, n))
         self.weight = np.array([self.weigh(s).sum() for s in self.shingles])
         self.own = [np.searchsorted(self.known, s) for s in self.shingles]  # places in known
         having = np.concatenate(self.own) if live else np.zeros(0, np.int64)
@@ -89,10 +85,10 @@ class ItemIndex:
         self.held = np.searchsorted(np.sort(having), np.arange(len(self.known) + 1))  # known shingle x: holders[held[x] : held[x + 1]]
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.common):
             return np.full(len(hashes), self.plain)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.known_weight[at], self.plain)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.common_weight[at], self.plain)
 
     @functools.cached_property
     def prints(self) -> np.ndarray:
@@ -177,9 +173,9 @@ class ItemIndex:
         return (i, -best[1], min(size - best[1], n), best[0]) if best[0] else None
 
 
-def _scan(shared):
+def _scan(block, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value)
+        index = ItemIndex(*block.value, shared.value)
         for batch in batches:
             found: list[list] = [[], [], [], [], []]
             row = 0
@@ -210,11 +206,35 @@ def _documents_with(index: ItemIndex, w: Words) -> np.ndarray:
     return np.unique(np.concatenate(at)) if at else np.zeros(0, dtype=np.int64)
 
 
+def _own(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("t")).where("t is not null")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item, and a null for each item with words."""
+    for batch in batches:
+        for i, j, data, offsets in slices(batch.column(0)):
+            w = Words(data, offsets, IS_PUNCT)
+            sets = [np.unique(shingle_hashes(w.hashes[w.first[t] : w.first[t + 1]], K)).view(np.int64) for t in range(j - i)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([*map(pa.array, sets), pa.nulls(sum(len(x) > 0 for x in sets), pa.int64())])], ["h"])
+
+
+def _shared(items: DataFrame, id_col: str, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of the whole benchmark: the number of items with words, the shingles that several have, sorted, and how many have each."""
+    short_batches(items.sparkSession)
+    got = _own(items, id_col, text_col).select("t").mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    got = got.where("n > 1 or h is null").select(F.coalesce("h", F.lit(0)).alias("h"), "n", F.col("h").isNull().alias("items")).toPandas()
+    total, many = got[got["items"]], got[~got["items"]]
+    h, n = many["h"].to_numpy().astype(np.int64).view(U64), many["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return int(total["n"].sum()), h[order], n[order]
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The items, a block of bounded size at a time."""
     short_batches(items.sparkSession)
     ids, texts, held = [], [], 0
-    own = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("t")).where("t is not null")
+    own = _own(items, id_col, text_col)
     for i, t in own.toLocalIterator():
         if ids and (len(ids) == ITEM_BLOCK or held + len(t) > BLOCK_BYTES):
             yield ids, texts
@@ -243,17 +263,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("rid"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     shape = LEAKS.replace("rid long", f"rid {rows.schema['rid'].dataType.simpleString()}")
-    out = None
+    out, shared = None, spark.sparkContext.broadcast(_shared(items, item_id_col, item_text_col))
     for block in _blocks(items, item_id_col, item_text_col):
-        part = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), shape)
+        part = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), shared), shape)
         out = part if out is None else out.unionByName(part)
     out = spark.createDataFrame([], shape) if out is None else out
     return out.withColumnRenamed("rid", id_col)
 
 
-def _clean(shared, names: list[str]):
+def _clean(block, shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value)
+        index = ItemIndex(*block.value, shared.value)
         for batch in batches:
             leaky = set()
             row = 0
@@ -273,6 +293,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     slim = [f"c{i}" for i in range(len(names))]
     shape = ", ".join([*(f"{s} {docs.schema[c].dataType.simpleString()}" for s, c in zip(slim, names)), "low string"])
     out = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)], F.lower(F.col(f"`{text_col}`").cast("string")).alias("low"))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(_shared(items, item_id_col, item_text_col))
     for block in _blocks(items, item_id_col, item_text_col):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), [*slim, "low"]), shape)
+        out = out.mapInArrow(_clean(context.broadcast(block), shared, [*slim, "low"]), shape)
     return out.select(*[F.col(s).alias(c) for s, c in zip(slim, names)])

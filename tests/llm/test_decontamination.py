@@ -93,3 +93,18 @@ def test_none_is_lost_at_the_threshold():
         at = int(rng.integers(8, 30))
         words = d.item_words([" ".join(["before", *b[:at], "x", f"y{i}", "z", *b[at + 3 :], "after"])])[0]
         assert [(r[0], r[1], r[2]) for r in index.leaks(words)] == [(i, 1, 41)]
+
+
+def test_weights_are_those_of_all_items(spark, monkeypatch):
+    """Items with a beginning in common: it weighs the same whatever block they are in, as do shingles of other blocks' items."""
+    head = "choose the best answer to the question below and explain it in one short sentence"
+    own = [" ".join(f"n{i}x{j}" for j in range(12)) for i in range(20)]
+    items = spark.createDataFrame([(i, f"{head} {t}") for i, t in enumerate(own)], "item_id long, text string")
+    tail = " ".join(head.split()[-5:])
+    docs = spark.createDataFrame([(i, f"{tail} {t}" if i % 2 else t) for i, t in enumerate(own)], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, d.find_leaks(docs, items).collect()))
+    whole, clean = rows(), sorted(r.doc_id for r in d.without_leaks(docs, items).collect())
+    assert [(r[0], r[1]) for r in whole] == [(i, i) for i in range(1, 20, 2)] and clean == list(range(0, 20, 2))
+    monkeypatch.setattr(d, "ITEM_BLOCK", 7)
+    assert rows() == whole
+    assert sorted(r.doc_id for r in d.without_leaks(docs, items).collect()) == clean
