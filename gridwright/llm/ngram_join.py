@@ -207,6 +207,44 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component is named after one: if all its ids are null, so is ``component_id``. Other columns are ignored, whatever
     their names. An empty table gives an empty result. Texts are taken whole at any length.
     """
+    rows, named = _components(docs, id_col, text_col, k, similarity)
+    out = rows.where("n > 0").join(small(named), "node")
+    lone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("named").alias("component_id")).unionByName(lone)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
+    """``docs`` with one row of each component (see ngram_jaccard_components): of those with its smallest id, the same in every run.
+
+    Rows are told apart by id and shingle set, so that equal ids in different components stay apart. Rows without words
+    or without an id stay. All columns must be orderable.
+    """
+    rows, named = _components(docs, id_col, text_col, k, similarity)
+    first = rows.where("n > 0").join(small(named), "node").where("id = named").groupBy("comp").agg(F.min("id").alias("_id"), F.min("node").alias("_node"))
+    kept = keep(first.select("_id", "_node"), "kept")
+    names, slim = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)])
+    key, text = slim[names.index(id_col)], slim[names.index(text_col)]
+    worded = f"{key} is not null and coalesce(cast({text} as string) rlike '[^ \\\\t-\\\\r]', false)"
+    shape = ", ".join(["node long", *(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)])
+    tagged = own.where(worded).mapInArrow(_tagged(k, slim.index(text)), shape)
+    same = tagged.join(small(kept), (tagged[key].cast("long") == F.col("_id")) & (tagged["node"] == F.col("_node")))
+    one = same.groupBy("_id", "_node").agg(F.min(F.struct(*slim)).alias("row")).select("row.*")
+    out = one.unionByName(own.where(f"not ({worded})"))
+    return out.select(*[F.col(s).alias(c) for s, c in zip(slim, names)])
+
+
+def _tagged(k: int, text: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = pa.array([set_key(s)[0] for s in shingle_sets(b.column(text), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, *b.columns], ["node", *b.schema.names])
+
+    return scan
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: Fraction | str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node) of every row, and (node, comp, named) of every set: its component and the smallest id in that."""
     spark = docs.sparkSession
     short_batches(spark)
     ratio = Fraction(similarity)
@@ -227,18 +265,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         release(spark)
         if not members.isEmpty():
             links = _links(docs, members, classes, k, num, den)
-    return _result(rows, classes, components(links) if links is not None else None, id_col)
-
-
-def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
-    named = classes.select("node", F.col("id").alias("named"))
-    if labels is not None:
+    named = classes.select("node", F.col("node").alias("comp"), F.col("id").alias("named"))
+    if links is not None:
+        labels = components(links)
         of = classes.join(labels, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
-        named = of.join(of.groupBy("comp").agg(F.min("id").alias("named")), "comp").select("node", "named")
-    named = keep(named, "named")
-    out = rows.where("n > 0").join(small(named), "node")
-    lone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("named").alias("component_id")).unionByName(lone)
+        named = of.join(of.groupBy("comp").agg(F.min("id").alias("named")), "comp").select("node", "comp", "named")
+    return rows, keep(named, "named")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:

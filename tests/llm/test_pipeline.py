@@ -46,3 +46,17 @@ def test_odd_rows_pass_through(spark, tmp_path):
     assert {r.doc_id for r in out} >= {None, 1, 2, 4} and len({(r.shard, r.slot) for r in out}) == len(out)
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_equal_ids_of_different_texts_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (3, b + " more"), (9, c), (9, c + " more"), (9, c), (None, a), (8, ""), (8, " \t\r\n"), (8, None), (6, "é")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.drop_near_copies(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    nine = [x for x in got if x[0] == 9]
+    assert out.columns == docs.columns and len(nine) == 1 and nine[0][1] in (c, c + " more")
+    want = [(5, a), (3, b + " more"), (None, a), (8, ""), (8, " \t\r\n"), (8, None), (6, "é")]
+    assert sorted(map(str, got)) == sorted(map(str, want + nine))
+    same = spark.createDataFrame([(5, a, "en", "s", 0), (5, b, "en", "s", 0)], docs.schema)
+    assert {r.text for r in p.drop_near_copies(spark, same, "").collect()} == {a, b}
