@@ -19,10 +19,14 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def without_repeats(items: DataFrame, similar: float = 0.85, same: float = 0.95) -> DataFrame:
     """``items(id, name, amount)`` without those that a later item repeats: names alike and amounts equal, or names nearly equal.
 
-    Pairs meet on equal amounts, or on equal first three letters: not every item against every other.
+    Pairs meet on equal amounts; of other amounts all pairs of distinct names whose lengths let them be that alike.
     """
-    a = items.select("id", "name", "amount", F.left(F.lower("name"), F.lit(3)).alias("head"))
-    b = a.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("amount").alias("amount2"), F.col("head").alias("head2"))
+    a = items.select("id", "name", "amount")
+    b = a.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("amount").alias("amount2"))
     equal = a.join(b, (F.col("amount") == F.col("amount2")) & (F.col("id") < F.col("id2"))).where(name_ratio("name", "name2") >= similar).select("id")
-    alike = a.join(b, (F.col("head") == F.col("head2")) & (F.col("id") < F.col("id2"))).where(name_ratio("name", "name2") >= same).select("id")
+    names = a.where("name is not null").groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first(F.length(F.lower("name"))).alias("n"))
+    later = names.select(F.col("name").alias("name2"), F.col("last").alias("last2"), F.col("n").alias("n2"))
+    fits = 2 * F.least("n", "n2") >= F.lit(same - 1e-9) * (F.col("n") + F.col("n2"))
+    near = names.join(later, fits & (F.col("first") < F.col("last2"))).where(name_ratio("name", "name2") >= same)
+    alike = a.join(near.groupBy("name").agg(F.max("last2").alias("last2")), "name").where("id < last2").select("id")
     return items.join(equal.union(alike).distinct(), "id", "left_anti")

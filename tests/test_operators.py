@@ -212,3 +212,10 @@ def test_streams(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_repeats_with_other_beginnings(spark):
+    name = "repair of the main heating line"
+    rows = [(1, "x" + name[1:], 1.0), (2, name, 2.0), (3, name.upper(), 3.0), (4, "something else", 4.0), (5, None, 5.0), (6, None, 6.0), (7, "", 7.0), (8, "", 8.0)]
+    items = spark.createDataFrame(rows, "id long, name string, amount double")
+    assert sorted(r.id for r in without_repeats(items).collect()) == [3, 4, 5, 6, 8]
