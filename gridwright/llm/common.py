@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-gridwright-")
@@ -45,12 +46,6 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done and no longer referred to, as it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Arrow batches of whole texts hold ``rows`` rows at most from now on in this session (a lower setting stays)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,14 +2,15 @@
 
 How it runs:
 
-1. One scan turns each text into its set of distinct word shingles and keeps a 64-bit hash of the set (``node``). Texts
-   with equal sets are one node, however many copies there are.
+1. One scan turns each text into its set of distinct word shingles and keeps the set's size, a key of 128 bits and the
+   tokens of step 2. Texts with equal sets are one ``node``, however many copies there are.
 2. Candidates come from prefixes. Shingles are in one global order, that of their hashes. If two sets of sizes a and b
    have o shingles in common, the first l of these are among the first a - o + l of the one and b - o + l of the other.
    As o is at least the similarity times either size, each set sends its first ``prefix`` shingles (tokens), and similar
    sets share ``reach`` of them at least. An aggregate by token keeps the least and the largest node; no list of a
-   token's members is ever built. Tokens with two nodes set bits of a bitmap. A second scan drops every set that has
-   fewer such tokens than a similar partner would need: a shared passage or a common phrase does not make a candidate.
+   token's members is ever built. Tokens with two nodes set bits of a bitmap, with which a second pass over the tokens
+   drops every set that has fewer of them than a similar partner would need: a shared passage or a common phrase does
+   not make a candidate. Sets that are left are read once more from the texts, one row for each, and travel as hashes.
 3. Each remaining token's members are compared with the member that has most copies, if the two meet often enough: the
    candidates of a pivot are stored in a trie (chunks of bounded size) and the pivot's set walks it. Links give components.
 4. What is still undecided are pairs in different components, so only tokens whose members lie in several components
@@ -22,23 +23,22 @@ Hashes have 64 bits: sets of some hundred shingles would need a collision among
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import keep, release, short_batches, shuffle_partitions, small
+from gridwright.llm.common import keep, short_batches, shuffle_partitions, small
 from gridwright.llm.components import components
-from gridwright.llm.shingles import U64, mix, set_key, shingle_sets
-from gridwright.llm.trie import PrefixTrie, needed
+from gridwright.llm.shingles import U64, Words, set_key, sets_of, slices
+from gridwright.llm.trie import PrefixTrie
 
 CHUNK = 128  # sets in a trie: bounds a task's memory
-_BITMAP_BITS = 1 << 25
+BITMAP_BITS = 1 << 28
+NO_ID = -1 << 62  # stands for a null id where ids are compared
 
 
 def reach(n: int, num: int, den: int) -> int:
@@ -56,61 +56,103 @@ def least(n: int, num: int, den: int) -> int:
     return reach(-(-n * num // den), num, den)
 
 
-def _nodes(k: int):
+def _rows(k: int, num: int, den: int):
+    """id, size of the set, its key (128 bits) and its tokens for every text; columns behind the text are passed on."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, nodes = [], []
-            for s in shingle_sets(b.column(1), k):
-                sizes.append(len(s))
-                nodes.append(set_key(s)[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["id", "n", "node"])
+        for batch in batches:
+            at = 0
+            for i, j, data, offsets in slices(batch.column(1)):
+                sizes, first, second, tokens = [], [], [], []
+                for s in sets_of(Words(data, offsets), k):
+                    key = set_key(s)
+                    sizes.append(len(s))
+                    first.append(key[0])
+                    second.append(key[1])
+                    tokens.append(s[: prefix(len(s), num, den)].view(np.int64))
+                ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+                part = batch.slice(at + i, j - i)
+                made = [part.column(0), *part.columns[2:], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(made, [batch.schema.names[0], *batch.schema.names[2:], "n", "a", "b", "tokens"])
 
     return scan
 
 
-def _tokens(k: int, num: int, den: int, bitmap=None):
-    """(token, node, need) of every text; with a bitmap only tokens whose bit is set, of texts that have ``need`` of them."""
+class Bits:
+    """A bitmap of keys by their low bits, for skipping what can't be wanted; a wrong hit costs time, never a result.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else bitmap.value
+    It has some eight bits a key and at most BITMAP_BITS (32 MB), whatever the input: executors get it by broadcast and
+    build it, so that the driver holds the one array of bytes. Beyond that size it fills up, and what it lets through
+    is sorted out by the joins that follow in any case.
+    """
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        bits = 1 << 16
+        while bits < min(8 * n, BITMAP_BITS):
+            bits <<= 1
+        self.bits, self.empty = bits, n == 0
+        key = F.col(keys.columns[0])
+        words = keys.groupBy(F.shiftright(key.bitwiseAND(F.lit(bits - 1)), 6).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{keys.columns[0]}` & 63 as int)))").alias("m"))
+        made = None if self.empty else words.repartition(1).mapInArrow(_packed(bits), "bits binary").first()
+        self.shared = keys.sparkSession.sparkContext.broadcast(bytes(made[0]) if made else bytes(bits >> 3))
+
+    def test(self):
+        """The function that a task tests keys with."""
+        at, mask = np.frombuffer(self.shared.value, dtype=U64), U64(self.bits - 1)
+
+        def has(keys: np.ndarray) -> np.ndarray:
+            low = keys.view(U64) & mask
+            return (at[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1) == 1
 
-        def emit(tokens: list, nodes: list, needs: list) -> pa.RecordBatch:
-            counts = [len(t) for t in tokens]
-            token = np.concatenate(tokens) if tokens else np.zeros(0, U64)
-            node, need = (np.repeat(np.array(x, dtype=np.int64), counts) for x in (nodes, needs))
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(need)], ["token", "node", "need"])
+        return has
 
+
+def _packed(bits: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits >> 6, dtype=np.int64)
+        for b in batches:
+            out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+
+    return pack
+
+
+def _members(shared: Bits, num: int, den: int):
+    """(token, node, need) of the tokens that ``shared`` may have, for sets that have ``need`` of them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = shared.test()
         for b in batches:
-            tokens, nodes, needs, held = [], [], [], 0
-            for s in shingle_sets(b.column(0), k):
-                if not len(s):
-                    continue
-                t, need = s[: prefix(len(s), num, den)], least(len(s), num, den)
-                if bits is not None:
-                    at = t & U64(_BITMAP_BITS - 1)
-                    t = t[(bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1]
-                    if len(t) < need:
-                        continue
-                tokens.append(t)
-                nodes.append(set_key(s)[0])
-                needs.append(need)
-                held += len(t)
-                if held > 100_000:
-                    yield emit(tokens, nodes, needs)
-                    tokens, nodes, needs, held = [], [], [], 0
-            yield emit(tokens, nodes, needs)
+            sizes, lists = b.column(1).to_pylist(), b.column(2)
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            hit = has(token)
+            token, row = token[hit], row[hit]
+            need = np.array([least(n, num, den) for n in sizes], dtype=np.int64)
+            enough = np.bincount(row, minlength=b.num_rows) >= need
+            token, row = token[enough[row]], row[enough[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(pa.array(row)), pa.array(need[row])], ["token", "node", "need"])
 
     return scan
 
 
-def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """Bit ``token mod _BITMAP_BITS`` of each token: 4 MB whatever the input, so it may pass through the driver."""
-    bit = F.col("token").bitwiseAND(F.lit(_BITMAP_BITS - 1))
-    words = tokens.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(token & 63 as int)))").alias("m"))
-    out = np.zeros(_BITMAP_BITS >> 6, dtype=U64)
-    got = words.toPandas()
-    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(U64)
-    return out
+def _wanted_sets(wanted: Bits, k: int):
+    """(a, b, id, set) of the rows whose key and id ``wanted`` may have."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = wanted.test()
+        for batch in batches:
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            for i, j, data, offsets in slices(batch.column(1)):
+                sets = list(sets_of(Words(data, offsets), k))
+                keys = np.array([set_key(s) for s in sets], dtype=np.int64).reshape(len(sets), 2)
+                hit = np.flatnonzero(has(keys[:, 0] ^ ids[i:j]))
+                made = [pa.array(keys[hit, 0]), pa.array(keys[hit, 1]), pa.array(ids[i:j][hit]), pa.array([sets[x].tobytes() for x in hit], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["a", "b", "id", "set"])
+
+    return scan
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -139,20 +181,20 @@ def _rarest(members: DataFrame) -> DataFrame:
 
 
 class _Units:
-    """Rows (unit, side, node, comp, text), sorted by unit and side, cut into units: side 0 probes, side 1 is stored."""
+    """Rows (unit, side, node, comp, set), sorted by unit and side, cut into units: side 0 probes, side 1 is stored."""
 
-    def __init__(self, k: int, num: int, den: int):
-        self.k, self.num, self.den = k, num, den
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
         for b in batches:
             units, sides, nodes, comps = (b.column(i).to_pylist() for i in range(4))
-            for u, side, node, comp, s in zip(units, sides, nodes, comps, shingle_sets(b.column(4), self.k)):
+            for u, side, node, comp, s in zip(units, sides, nodes, comps, b.column(4)):
                 if u != now:
                     out += self.links(rows)
                     now, rows = u, []
-                rows.append((side, node, comp, s))
+                rows.append((side, node, comp, np.frombuffer(s.as_buffer(), dtype=U64)))
             if len(out) > 1000:
                 yield self.batch(out)
                 out = []
@@ -186,12 +228,12 @@ class _Units:
         return out
 
 
-def _verify(units: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(units: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``units(unit, side, node, comp)`` -> links found by the tries."""
     spark = units.sparkSession
-    rows = units.join(texts, "node").select("unit", "side", "node", "comp", "text")
+    rows = units.join(sets, "node").select("unit", "side", "node", "comp", "set")
     dealt = rows.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "side")
-    return keep(dealt.mapInArrow(_Units(k, num, den), "a long, b long"), "links")
+    return keep(dealt.mapInArrow(_Units(num, den), "a long, b long"), "links")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
@@ -207,10 +249,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component is named after one: if all its ids are null, so is ``component_id``. Other columns are ignored, whatever
     their names. An empty table gives an empty result. Texts are taken whole at any length.
     """
-    rows, named = _components(docs, id_col, text_col, k, similarity)
-    out = rows.where("n > 0").join(small(named), "node")
-    lone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("named").alias("component_id")).unionByName(lone)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows, named = _components(own, k, similarity)
+    out = rows.where("n > 0").join(small(named), "node").select("id", "n", "named")
+    lone = rows.where("n = 0").select("id", "n", F.col("id").alias("named"))
+    return out.unionByName(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("named").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
@@ -219,50 +262,41 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows are told apart by id and shingle set, so that equal ids in different components stay apart. Rows without words
     or without an id stay. All columns must be orderable.
     """
-    rows, named = _components(docs, id_col, text_col, k, similarity)
-    first = rows.where("n > 0").join(small(named), "node").where("id = named").groupBy("comp").agg(F.min("id").alias("_id"), F.min("node").alias("_node"))
-    kept = keep(first.select("_id", "_node"), "kept")
     names, slim = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)])
     key, text = slim[names.index(id_col)], slim[names.index(text_col)]
-    worded = f"{key} is not null and coalesce(cast({text} as string) rlike '[^ \\\\t-\\\\r]', false)"
-    shape = ", ".join(["node long", *(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)])
-    tagged = own.where(worded).mapInArrow(_tagged(k, slim.index(text)), shape)
-    same = tagged.join(small(kept), (tagged[key].cast("long") == F.col("_id")) & (tagged["node"] == F.col("_node")))
-    one = same.groupBy("_id", "_node").agg(F.min(F.struct(*slim)).alias("row")).select("row.*")
-    out = one.unionByName(own.where(f"not ({worded})"))
+    own = docs.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(slim, names)])
+    own = own.withColumns({"id": F.col(key).cast("long"), "h": F.xxhash64(text), "g": F.xxhash64(text, F.lit(1))})
+    rows, named = _components(own.select("id", F.col(text).cast("string").alias("text"), "h", "g"), k, similarity)
+    mine = keep(rows.where("n > 0 and id is not null").groupBy("id", "h", "g", "node").count().join(named.select("node", "comp"), "node"), "mine")
+    stays = mine.groupBy("comp").agg(F.min(F.struct("id", "node", "h", "g")).alias("first"), F.count("*").alias("several")).where("several > 1")
+    gone = keep(mine.join(small(stays), "comp").where(F.struct("id", "node", "h", "g") != F.col("first")).select("id", "h", "g"), "gone")
+    again = keep(mine.where("count > 1").select("id", "h", "g").join(small(gone), ["id", "h", "g"], "left_anti"), "again")
+    marked = gone.unionByName(again)
+    out = own.where("id is null").select(*slim).unionByName(own.where("id is not null").join(small(marked), ["id", "h", "g"], "left_anti").select(*slim))
+    if not again.isEmpty():
+        out = out.unionByName(own.join(small(again), ["id", "h", "g"], "left_semi").groupBy("id", "h", "g").agg(F.min(F.struct(*slim)).alias("row")).select("row.*"))
     return out.select(*[F.col(s).alias(c) for s, c in zip(slim, names)])
 
 
-def _tagged(k: int, text: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = pa.array([set_key(s)[0] for s in shingle_sets(b.column(text), k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, *b.columns], ["node", *b.schema.names])
-
-    return scan
-
-
-def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: Fraction | str) -> tuple[DataFrame, DataFrame]:
-    """(id, n, node) of every row, and (node, comp, named) of every set: its component and the smallest id in that."""
-    spark = docs.sparkSession
-    short_batches(spark)
+def _components(docs: DataFrame, k: int, similarity: Fraction | str) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs(id, text, ...)``: (id, ..., n, node) of every row, and (node, comp, named) of every set: its component and the smallest id in that."""
+    short_batches(docs.sparkSession)
     ratio = Fraction(similarity)
     num, den = ratio.numerator, ratio.denominator
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(docs.mapInArrow(_nodes(k), "id long, n long, node long"), "nodes")
-    classes = keep(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-
-    texts_only = docs.select("text")
-    schema = "token long, node long, need long"
-    ends = texts_only.mapInArrow(_tokens(k, num, den), schema).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    bits = _bitmap(ends.where("lo <> hi").select("token"))
-    release(spark)
+    extra = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:]]
+    scanned = keep(docs.mapInArrow(_rows(k, num, den), ", ".join(["id long", *extra, "n long", "a long", "b long", "tokens array<long>"])), "rows")
+    keys = keep(scanned.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "keys")
+    node = _node(keys)
+    rows = scanned.withColumn("node", node)
+    classes = keys.withColumn("node", node)
+
+    each = rows.where("n > 0").select("node", F.explode("tokens").alias("token"))
+    ends = each.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = Bits(keep(ends.where("lo <> hi").select("token"), "shared"))
     links = None
-    if bits.any():
-        again = texts_only.mapInArrow(_tokens(k, num, den, spark.sparkContext.broadcast(bits)), schema)
+    if not shared.empty:
+        again = rows.where("n > 0").select("node", "n", "tokens").mapInArrow(_members(shared, num, den), "token long, node long, need long")
         members = _open(keep(again.distinct().withColumn("comp", F.col("node")), "members"))
-        release(spark)
         if not members.isEmpty():
             links = _links(docs, members, classes, k, num, den)
     named = classes.select("node", F.col("node").alias("comp"), F.col("id").alias("named"))
@@ -270,26 +304,25 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
         labels = components(links)
         of = classes.join(labels, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
         named = of.join(of.groupBy("comp").agg(F.min("id").alias("named")), "comp").select("node", "comp", "named")
-    return rows, keep(named, "named")
+    return rows.drop("tokens", "a", "b"), keep(named, "named")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``(node, text)`` with one text for each of ``nodes``."""
+def _node(keys: DataFrame) -> Column:
+    """The number of a set: the first half of its key, or where several sets share that (some in 10^11), a hash of both halves."""
+    twice = [r.a for r in keys.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y").select("a").collect()]
+    return F.when(F.col("a").isin(twice), F.xxhash64("a", "b")).otherwise(F.col("a")) if twice else F.col("a")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mine = pa.array([set_key(s)[0] for s in shingle_sets(b.column(1), k)], pa.int64())
-            ok = pc.equal(mine, b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["node", "text"])
 
-    wanted = keep(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(-1 << 62)).alias("key")), "wanted")
-    near = docs.select(F.coalesce("id", F.lit(-1 << 62)).alias("key"), "text").join(small(wanted), "key").select("node", "text")
-    return near.mapInArrow(scan, "node long, text string").dropDuplicates(["node"])
+def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``(node, set)`` of each of ``nodes``, from a second scan that sends on one row of each set: the one with its class's id."""
+    wanted = keep(classes.join(nodes.distinct(), "node", "left_semi").select("node", "a", "b", F.coalesce("id", F.lit(NO_ID)).alias("id")), "wanted")
+    bits = Bits(wanted.select(F.col("a").bitwiseXOR(F.col("id")).alias("key")))
+    found = docs.select("id", "text").mapInArrow(_wanted_sets(bits, k), "a long, b long, id long, set binary").dropDuplicates(["a", "b", "id"])
+    return found.join(small(wanted), ["a", "b", "id"]).select("node", "set")
 
 
 def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    texts = keep(_texts(docs, members.select("node"), classes, k), "texts")
-    release(members.sparkSession)
+    sets = keep(_sets(docs, members.select("node"), classes, k), "sets")
     # 1. every member of a token with the one that has most copies, if they meet in half as many tokens as similar sets share
     ranked = members.join(classes.select("node", "copies"), "node")
     pivots = keep(ranked.groupBy("token").agg(F.max(F.struct("copies", "node"))["node"].alias("pivot")), "pivots")
@@ -301,8 +334,7 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     stored = pairs.join(chunks, "pivot").select(F.xxhash64("pivot", chunk).alias("unit"), F.lit(1).alias("side"), "node", F.col("node").alias("comp"))
     probes = chunks.select(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("pivot").alias("node")).select(
         F.xxhash64("node", F.col("c").cast("long")).alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"))
-    links = _verify(probes.unionByName(stored), texts, k, num, den)
-    release(members.sparkSession)
+    links = _verify(probes.unionByName(stored), sets, num, den)
     # 2. what can still be linked across components
     labels = components(links)
     placed = keep(members.drop("comp").join(labels, "node", "left").select("token", "node", "need", F.coalesce("comp", "node").alias("comp")), "placed")
@@ -322,5 +354,5 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     asked = dealt.where("comp <> main").select("pivot", "node", "comp", block(F.col("probes")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     units = kept.select(unit(F.col("i"), F.col("j")), F.lit(1).alias("side"), "node", "comp").unionByName(
         asked.select(unit(F.col("i"), F.col("j")), F.lit(0).alias("side"), "node", "comp"))
-    more = _verify(units, texts, k, num, den)
+    more = _verify(units, sets, num, den)
     return links.unionByName(more)

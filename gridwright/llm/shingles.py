@@ -116,15 +116,19 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return fold([words[i : n - k + 1 + i] for i in range(k)])
 
 
+def sets_of(w: Words, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a slice; empty for a text without words."""
+    n = len(w.hashes)
+    runs = fold([w.hashes[x : n - k + 1 + x] for x in range(k)]) if n >= k else w.hashes[:0]
+    for t in range(len(w.first) - 1):
+        a, b = w.first[t], w.first[t + 1]
+        yield np.unique(runs[a : b - k + 1]) if b - a >= k else shingle_hashes(w.hashes[a:b], k)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text, as an array for each; empty for a text without words or a null."""
-    for i, j, data, offsets in slices(texts):
-        w = Words(data, offsets)
-        n = len(w.hashes)
-        runs = fold([w.hashes[x : n - k + 1 + x] for x in range(k)]) if n >= k else w.hashes[:0]
-        for t in range(j - i):
-            a, b = w.first[t], w.first[t + 1]
-            yield np.unique(runs[a : b - k + 1]) if b - a >= k else shingle_hashes(w.hashes[a:b], k)
+    for _, _, data, offsets in slices(texts):
+        yield from sets_of(Words(data, offsets), k)
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
