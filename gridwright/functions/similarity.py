@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -16,17 +16,25 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
 
 
+def _near(a: str, b: str, least: float) -> Column:
+    """What a ratio of ``least`` needs: matched characters stand in one order in both names, so that few edits lead from one to the other. JVM-side."""
+    a, b = F.lower(a), F.lower(b)
+    n = F.char_length(a) + F.char_length(b)
+    return (2 * F.least(F.char_length(a), F.char_length(b)) >= F.lit(least - 1e-9) * n) & (F.levenshtein(a, b) <= F.lit(1 - least + 1e-9) * n)
+
+
 def without_repeats(items: DataFrame, similar: float = 0.85, same: float = 0.95) -> DataFrame:
     """``items(id, name, amount)`` without those that a later item repeats: names alike and amounts equal, or names nearly equal.
 
-    Pairs meet on equal amounts; of other amounts all pairs of distinct names whose lengths let them be that alike.
+    Pairs meet on equal amounts; of other amounts all pairs of distinct names whose lengths let them be that alike. Pairs
+    too many edits apart are left out before any name is compared in Python.
     """
     a = items.select("id", "name", "amount")
     b = a.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("amount").alias("amount2"))
-    equal = a.join(b, (F.col("amount") == F.col("amount2")) & (F.col("id") < F.col("id2"))).where(name_ratio("name", "name2") >= similar).select("id")
+    equal = a.join(b, (F.col("amount") == F.col("amount2")) & (F.col("id") < F.col("id2"))).where(_near("name", "name2", similar)).where(name_ratio("name", "name2") >= similar).select("id")
     names = a.where("name is not null").groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first(F.length(F.lower("name"))).alias("n"))
     later = names.select(F.col("name").alias("name2"), F.col("last").alias("last2"), F.col("n").alias("n2"))
     fits = 2 * F.least("n", "n2") >= F.lit(same - 1e-9) * (F.col("n") + F.col("n2"))
-    near = names.join(later, fits & (F.col("first") < F.col("last2"))).where(name_ratio("name", "name2") >= same)
+    near = names.join(later, fits & (F.col("first") < F.col("last2"))).where(_near("name", "name2", same)).where(name_ratio("name", "name2") >= same)
     alike = a.join(near.groupBy("name").agg(F.max("last2").alias("last2")), "name").where("id < last2").select("id")
     return items.join(equal.union(alike).distinct(), "id", "left_anti")

@@ -216,7 +216,7 @@ def snapped(text: str, start: int, end: int) -> int:
 def fixed_parts(text: str, size: int, overlap: int = 0) -> list[str]:
     """Pieces of about ``size`` characters that end where a sentence or word does, each beginning ``overlap`` before the end of the last."""
     out, at = [], 0
-    while at < len(text) and len(out) < MOST_CHUNKS:
+    while at < len(text):
         end = snapped(text, at, min(at + size, len(text)))
         out.append(text[at:end].strip())
         if end >= len(text):
@@ -265,8 +265,8 @@ def recursive_parts(text: str, size: int, separators: tuple[str, ...] = ("\n\n",
 
 
 def exploded(docs: DataFrame, cut: Callable[..., list[str]], inputs: list[str]) -> DataFrame:
-    """Rows of ``docs`` with ``part`` (from 0) and ``piece`` for each piece that ``cut`` makes of their inputs, in Arrow batches."""
-    keep = [c for c in docs.columns if c not in ("part", "piece")]
+    """Rows of ``docs`` without their inputs, with ``part`` (from 0) and ``piece`` for each piece that ``cut`` makes of these, in Arrow batches."""
+    keep = [c for c in docs.columns if c not in ("part", "piece", *inputs)]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "part int", "piece string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,15 +281,15 @@ def exploded(docs: DataFrame, cut: Callable[..., list[str]], inputs: list[str])
     return docs.mapInPandas(run, shape)
 
 
-def chunked(docs: DataFrame, mode: str = "structural", size: int = 1000, overlap: int = 0, least: int = 50, separator: str = "&&") -> DataFrame:
-    """``docs(doc, text)`` cut by a named mode -> ``(doc, part, piece)``; short pieces left out, MOST_CHUNKS of a document kept.
+def chunked(docs: DataFrame, mode: str = "structural", size: int = 1000, overlap: int = 0, least: int = 50, separator: str = "&&", most: int | None = None) -> DataFrame:
+    """``docs(doc, text)`` cut by a named mode -> ``(doc, part, piece)``; short pieces left out. Whole texts, unless ``most`` keeps a document's first pieces only (MOST_CHUNKS is the usual number).
 
     protocol_articles falls back to structural for documents without its headings.
     """
     if mode == "protocol_articles":
         found = protocol_articles(docs, least)
         made = found.select("doc", F.col("block").alias("part"), F.col("text").alias("piece"))
-        rest = chunked(docs.join(found.select("doc").distinct(), "doc", "left_anti"), "structural", size, overlap, least)
+        rest = chunked(docs.join(found.select("doc").distinct(), "doc", "left_anti"), "structural", size, overlap, least, most=most)
         return made.unionByName(rest)
     if mode == "legal":
         cut = legal_chunks(docs, size).select("doc", (F.col("chunk") * 10_000 + F.col("part")).cast("int").alias("part"), "piece")
@@ -300,5 +300,8 @@ def chunked(docs: DataFrame, mode: str = "structural", size: int = 1000, overlap
         cut = exploded(docs, how, ["text"]).select("doc", "part", "piece")
     if overlap and mode in ("structural", "separator"):
         cut = overlapped(cut.select("doc", F.col("part").alias("pos"), F.col("piece").alias("text")), overlap).select("doc", F.col("pos").alias("part"), F.col("text").alias("piece"))
+    sound = cut.where(F.char_length("piece") >= least)
+    if most is None:
+        return sound
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("part"))
-    return cut.where(F.char_length("piece") >= least).withColumn("_n", rank).where(F.col("_n") <= MOST_CHUNKS).drop("_n")
+    return sound.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")

@@ -2,56 +2,112 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.text import let
+from gridwright.sources.scratch import keep
+
+
+NAMED = 10_000  # keys that are looked up where a text is read; with more of them all its word runs are joined
 
 
 def mentions(texts: DataFrame, names: DataFrame, words: int = 5) -> DataFrame:
     """``texts(src, text)``, ``names(dst, name)`` -> distinct ``(src, dst)`` where the text has the name in it, in either case.
 
-    A name's second to last-but-one of its first ``words`` words stand in the text between blanks, too, so texts and names
-    meet on these: an equi-join instead of every text against every name. Only names with fewer words, which have no such
-    key, are looked for in every text.
+    A name's words but the first and the last (and the next ``words - 2`` of them at most) stand in the text between
+    blanks, too, so texts and names meet on these: an equi-join instead of every text against every name. Only names of
+    one or two words, which have no such key, are looked for in every text.
     """
     split = lambda c: F.split(F.lower(c), r"\s+")
-    n, parts = words - 2, split(F.col("name"))
-    keyed = names.where("trim(name) <> ''").select("dst", F.lower("name").alias("name"), F.when(F.size(parts) >= words, F.array_join(F.slice(parts, 2, n), " ")).alias("key"))
-    grams = let(split(F.col("text")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    met = texts.select("src", F.explode(F.array_distinct(grams)).alias("key")).join(keyed, "key").select("src", "dst", "name").distinct()
+    parts = split(F.trim("name"))
+    inner = F.least(F.size(parts) - 2, F.lit(words - 2))
+    keyed = names.where("trim(name) <> ''").select("dst", F.lower("name").alias("name"), F.when(inner > 0, F.array_join(F.slice(parts, F.lit(2), F.greatest(inner, F.lit(1))), " ")).alias("key"))
+    keys = [r.key for r in keyed.where("key is not null").select("key").distinct().limit(NAMED + 1).collect()]
+    lengths = range(1, words - 1) if len(keys) > NAMED else sorted({k.count(" ") + 1 for k in keys})
+    known = (lambda g: g.isin(keys)) if len(keys) <= NAMED else (lambda g: F.lit(True))
+
+    def grams(w: Column) -> Column:
+        runs = [_runs(w, n, known) for n in lengths]
+        return F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
+
+    met = texts.select("src", F.explode(let(split(F.col("text")), grams)).alias("key")).join(keyed, "key").select("src", "dst", "name").distinct()
     long = texts.join(met, "src").where(F.lower("text").contains(F.col("name"))).select("src", "dst")
-    short = texts.join(keyed.where("key is null").select("dst", "name"), F.lower("text").contains(F.col("name"))).select("src", "dst")
-    return long.unionByName(short).where("src is distinct from dst").distinct()
+    short = keyed.where("key is null").select("dst", "name")
+    if not short.isEmpty():
+        long = long.unionByName(texts.join(short, F.lower("text").contains(F.col("name"))).select("src", "dst"))
+    return long.where("src is distinct from dst").distinct()
+
+
+def _runs(words: Column, n: int, known: Callable[[Column], Column]) -> Column:
+    """The runs of n words that are known."""
+    return F.filter(F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")), known)
 
 
-def on_cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """Nodes ``(node)`` that reach themselves in at most ``longest`` steps. Pairs (start, end) are kept distinct at every step."""
-    step = edges.select("src", "dst").distinct()
-    reach, found = step, step.where("src = dst").select(F.col("src").alias("node"))
-    for _ in range(longest - 1):
-        reach = reach.select(F.col("src").alias("start"), F.col("dst").alias("src")).join(step, "src").select(F.col("start").alias("src"), "dst").distinct()
-        found = found.unionByName(reach.where("src = dst").select(F.col("src").alias("node")))
-    return found.distinct()
+def on_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Nodes ``(node)`` that reach themselves, in at most ``longest`` steps if that is given. Pairs (start, end) are kept distinct at every step.
+
+    Without ``longest`` nodes that can't be on a cycle, with no edge to or from the others left, go first, round by
+    round; then pairs are added until none is new.
+    """
+    step = keep(edges.select("src", "dst").distinct(), "edges")
+    if longest is None:
+        step = _core(step)
+    pairs = new = step
+    done = 1
+    while longest is None or done < longest:
+        further = new.select(F.col("src").alias("start"), F.col("dst").alias("src")).join(step, "src").select(F.col("start").alias("src"), "dst").distinct()
+        new = keep(further.join(pairs, ["src", "dst"], "left_anti"), "pairs")
+        if new.isEmpty():
+            break
+        pairs = pairs.unionByName(new)
+        done += 1
+    return pairs.where("src = dst").select(F.col("src").alias("node")).distinct()
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges that are left when those without one before them, or without one behind them, are taken away again and again."""
+    n = edges.count()
+    while n:
+        starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = keep(edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"), "core")
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return edges
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)``: 0 for nodes that depend on none, else one more than the highest they depend on; -1 on or behind a cycle.
 
-    Edges ``(src, dst)`` say that src depends on dst. Each round places the nodes all of whose dependencies are placed.
+    Edges ``(src, dst)`` say that src depends on dst. Each round places the nodes all of whose dependencies are placed,
+    until no node is left that can be; what a round leaves open is written, so that plans stay short at any depth.
     """
-    placed = None
-    left = nodes.select("node").distinct()
-    for level in range(most):
-        open_edges = edges if placed is None else edges.join(placed.select(F.col("node").alias("dst")), "dst", "left_anti")
+    open_edges = keep(edges.select("src", "dst").distinct(), "edges")
+    left = keep(nodes.select("node").distinct(), "nodes")
+    placed, level = [], 0
+    while True:
         blocked = open_edges.select(F.col("src").alias("node")).distinct()
-        ready = left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)).cache()
+        ready = keep(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), "ready")
         if ready.isEmpty():
             break
-        placed = ready if placed is None else placed.unionByName(ready)
-        left = left.join(ready.select("node"), "node", "left_anti")
-    rest = left.withColumn("level", F.lit(-1))
-    return rest if placed is None else placed.unionByName(rest)
+        placed.append(ready)
+        left = keep(left.join(ready, "node", "left_anti").select("node"), "nodes")
+        open_edges = keep(open_edges.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        level += 1
+        if len(placed) == 20:
+            placed = [keep(_union(placed), "placed")]
+    return _union([*placed, left.withColumn("level", F.lit(-1))])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def schedule(items: Column, start: Column) -> Column:

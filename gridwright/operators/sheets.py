@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import rules
 from gridwright.functions.text import number, year_of_cell
+from gridwright.sources.scratch import keep
 
 SHEET = ["book", "sheet"]
 # Machine keys and header words that are no article names.
@@ -19,8 +20,14 @@ SERVICE_KEYS = [
     "dyn_names", "dyn_name", "uni_prd_data", "uni_org_reg", "uni_pf", "V_POK", "D_YEAR", "obj_mo", "obj_obj",
 ]
 HEADER_WORDS = ["Наименование", "Наименование показателя", "Наименование показател", "№ п/п", "Ед. изм.", "Единица измерения", "Показатель", "Код", "всего", "горячая вода", "пар", "Не определено", "Добавить строку", "Комментарии и примечания", "Комментарии и примечан"]
+# What a unit of measure looks like, sheets that hold no articles, and sheets of technical figures.
 UNIT = r"(?iu)^\s*(тыс\.?\s*руб\.?|руб\.?|млн\.?\s*руб\.?|Гкал.*|куб\.?\s*м.*|тыс\.?\s*куб\.?\s*м.*|кВт.*|тыс\.?\s*кВт.*|тонн|тн|чел\.?|ед\.?|%|шт\.?|км|руб\.?\s*/.*|т\.у\.т\.?|°?С)\s*$"
-SKIPPED_SHEETS = ["Инструкция", "Список листов", "Общие сведения", "Заявление", "Комментарии", "TEHSHEET", "TECHSHEET", "DICTIONARIES", "Настройка", "Титульный", "Документы"]
+SKIPPED_SHEETS = [
+    "Инструкция", "Информация JSON", "Список листов", "Общие сведения", "Заявление", "Список территорий", "Список объектов", "Сценарии", "Сценарии (МСА)", "Расчет УЕ", "Транспорт", "Комментарии",
+    "TEHSHEET", "TECHSHEET", "REESTR_OBJECT", "REESTR_OBJ_MO", "REESTR_OBJ_TRANSP", "REESTR_MO", "REESTR_ORG", "REESTR_DOP", "REESTR_SEP_DIV", "REESTR_IP_KS", "DICTIONARIES", "Настройка",
+    "Титульный", "Документы", "Выбор метода", "Список периодов", "Виды деятельности", "Базы распределения", "Земельные участки", "Реестр жилых домов", "Реестр юр лиц", "Реестр СН", "Реестр ТСО",
+    "Реестр договоров", "Информ-я о регулируемой орг-и", "Объекты теплоснабжения", "Список объектов теплоснабжения",
+]
 SKIPPED_PREFIXES = ["Черновик", "REESTR_", "DICT"]
 TECHNICAL = r"(?iu)^(К_ФАС|Р_ФАС|БТр_|БПр_|ТМ\d|Столбцы|Экон\.|Индексы|Справочники|Перечень|Амортизация_ФАС|Реестр потребит)"
 LABELS = ["Факт", "Принято", "Предложение", "План", "Ожидаемое"]
@@ -95,9 +102,14 @@ def unit_column(cells: DataFrame, header: DataFrame) -> DataFrame:
 
 def facts(cells: DataFrame) -> DataFrame:
     """Cells -> ``(book, sheet, pos, article, period, pf, value, unit)`` of all numbers other than 0 under a year and beside an article name."""
-    cells = kept_sheets(cells.persist()).persist()  # read once for each thing that is looked for
-    header = year_columns(cells).persist()
-    names, units, labels = name_column(cells, header), unit_column(cells, header), plan_fact_labels(cells, header)
+    cells = keep(kept_sheets(cells), "cells")  # read once for each thing that is looked for
+    header = keep(year_columns(cells), "header")
+    return _values(cells, header, plan_fact_labels(cells, header))
+
+
+def _values(cells: DataFrame, header: DataFrame, labels: DataFrame) -> DataFrame:
+    """Facts below ``header(…, r, c, year)``, labelled by ``labels(…, c, pf)``."""
+    names, units = name_column(cells, header), unit_column(cells, header)
     named = cells.join(names, SHEET).where(F.col("c") == F.col("name_c")).where(is_article_name(F.col("s")) & (F.char_length(F.trim("s")) <= 160)).select(*SHEET, "r", F.trim("s").alias("article"))
     united = cells.join(units, SHEET).where((F.col("c") == F.col("unit_c")) & is_unit(F.col("s"))).select(*SHEET, "r", F.trim("s").alias("unit"))
     values = cells.join(header.select(*SHEET, F.col("r").alias("hr"), "c", "year"), [*SHEET, "c"]).where("r > hr").withColumn("value", number(F.col("s"))).where("value <> 0")
@@ -105,6 +117,36 @@ def facts(cells: DataFrame) -> DataFrame:
     return out.select(*SHEET, F.col("r").alias("pos"), "article", F.col("year").alias("period"), F.coalesce("pf", F.lit("")).alias("pf"), "value", F.coalesce("unit", F.lit("")).alias("unit"))
 
 
+def header_text_facts(cells: DataFrame, depth: int = 8) -> DataFrame:
+    """Facts of sheets whose years and labels stand in the texts of their first ``depth`` rows. Those end where the first article with a number begins."""
+    cells = keep(kept_sheets(cells), "cells")
+    numbered = cells.where(number(F.col("s")).isNotNull() & year_of_cell(F.col("s")).isNull()).select(*SHEET, "r").distinct()
+    begins = cells.where((F.col("r") < depth + 1) & is_article_name(F.col("s"))).join(numbered, [*SHEET, "r"]).groupBy(*SHEET).agg(F.min("r").alias("first"))
+    top = cells.join(begins, SHEET, "left").where(F.col("r") < F.least(F.coalesce("first", F.lit(depth)), F.lit(depth))).drop("first")
+    columns = keep(header_text_columns(top, depth), "header")
+    header = columns.join(begins, SHEET, "left").select(*SHEET, (F.least(F.coalesce("first", F.lit(depth)), F.lit(depth)) - 1).alias("r"), "c", "year")
+    return _values(cells, keep(header, "header"), columns.select(*SHEET, "c", "pf"))
+
+
+def parsed(cells: DataFrame) -> DataFrame:
+    """The facts of whole books: the regulator's own forms by their header rows; other books by header texts, and by header rows on
+    sheets where these tell nothing. Cleaned, one of each, other than 0, with the book's ``format``."""
+    kind = keep(is_template_book(cells), "books")
+    own, other = (cells.join(kind.where(F.col("template") == t).select("book"), "book", "left_semi") for t in (True, False))
+    texts = keep(header_text_facts(other), "facts")
+    rest = other.join(texts.select(*SHEET).distinct(), SHEET, "left_anti")
+    both = facts(own).unionByName(texts).unionByName(facts(rest))
+    form = F.when(F.col("template"), F.lit("template")).otherwise(F.lit("free"))
+    return deduplicated(cleaned(both)).where("value <> 0").join(kind.select("book", form.alias("format")), "book")
+
+
+def book_counts(cells: DataFrame, long: DataFrame) -> DataFrame:
+    """``(book, sheets, sheets_parsed, records, articles)``: of all sheets those that gave facts, and what these are."""
+    sheets = cells.groupBy("book").agg(F.count_distinct("sheet").alias("sheets"))
+    got = long.groupBy("book").agg(F.count_distinct("sheet").alias("sheets_parsed"), F.count("*").alias("records"), F.count_distinct("article").alias("articles"))
+    return sheets.join(got, "book", "left").fillna(0)
+
+
 def header_text_columns(cells: DataFrame, depth: int = 8) -> DataFrame:
     """``(…, c, year, pf)`` of sheets whose years stand in header texts: a column's first rows stacked, decree numbers and dates
     dropped, a range of years taken by its end, columns without a year taking that of the column to the left."""
@@ -117,8 +159,8 @@ def header_text_columns(cells: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def deduplicated(long: DataFrame, pos: str = "pos") -> DataFrame:
-    """One fact for each (sheet, article, period, pf): by the label's rank, then the first."""
-    w = Window.partitionBy("sheet", "article", "period", "pf").orderBy(rules.rank_in(F.col("pf"), rules.PLAN_FACT_RANK), pos)
+    """One fact for each (book, sheet, article, period, pf): by the label's rank, then the first."""
+    w = Window.partitionBy(*[c for c in ("book", "sheet") if c in long.columns], "article", "period", "pf").orderBy(rules.rank_in(F.col("pf"), rules.PLAN_FACT_RANK), pos)
     return long.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -31,11 +31,11 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT article, period, pf, value FROM (
   SELECT l_partkey AS article, year(l_shipdate) AS period, l_returnflag AS pf, l_quantity AS value,
-    row_number() OVER (PARTITION BY l_partkey, year(l_shipdate), l_returnflag ORDER BY CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1""")
+    row_number() OVER (PARTITION BY l_partkey, year(l_shipdate), l_returnflag ORDER BY CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, l_orderkey, l_linenumber, l_quantity) AS k FROM lineitem) WHERE k = 1""")
 def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact an article, year and label: by the rank of its status, then the first."""
+    """One fact an article, year and label: by the rank of its status, then the first, then the smallest."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("article"), F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("pf"), F.col("l_quantity").alias("value"), "l_linestatus", "l_orderkey", "l_linenumber")
-    first = F.min_by("value", F.struct(rules.rank_in(F.col("l_linestatus"), ["O", "F"]), "l_orderkey", "l_linenumber"))
+    first = F.min_by("value", F.struct(rules.rank_in(F.col("l_linestatus"), ["O", "F"]), "l_orderkey", "l_linenumber", "value"))
     return li.groupBy("article", "period", "pf").agg(first.alias("value"))
 
 

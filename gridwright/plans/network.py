@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.operators import graph
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
+from gridwright.sources.scratch import keep
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ reach(a, b, n) AS (SELECT src, dst, 1 FROM edges UNION SELECT a, dst, n + 1 FROM
 SELECT DISTINCT a AS node FROM reach WHERE a = b""")
 def nodes_in_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations that trade leads back to in four steps or fewer."""
-    return graph.on_cycles(_trade(spark, sf_dir).persist(), 4).select("node")
+    return graph.on_cycles(_trade(spark, sf_dir), 4).select("node")
 
 
 @query("WITH" + _EDGES + ", n AS (SELECT src AS node, dst FROM edges UNION ALL SELECT dst, src FROM edges) SELECT node, count(DISTINCT dst) AS partners FROM n GROUP BY node")
@@ -57,15 +58,28 @@ def trade_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("node").agg(F.count_distinct("dst").alias("partners"))
 
 
-@query()
+@query("WITH RECURSIVE" + _EDGES + """,
+nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+walk(node, here, n) AS (SELECT src, dst, 1 FROM edges UNION SELECT w.node, e.dst, w.n + 1 FROM walk w JOIN edges e ON e.src = w.here WHERE w.n <= (SELECT count(*) FROM nodes)),
+deep AS (SELECT node, max(n) AS n FROM walk GROUP BY node)
+SELECT node, CAST(CASE WHEN n IS NULL THEN 0 WHEN n > (SELECT count(*) FROM nodes) THEN -1 ELSE n END AS INTEGER) AS level FROM nodes LEFT JOIN deep USING (node)""")
 def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations by how far trade depends on others, -1 on or behind a cycle."""
-    e = _trade(spark, sf_dir).persist()
+    e = keep(_trade(spark, sf_dir), "trade")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return graph.levels(nodes, e)
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (
+  SELECT o_custkey, o_orderkey AS id, CAST(o_orderdate AS DATE) AS deadline, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate) AS k,
+    min(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS start FROM orders
+), fold(o_custkey, k, id, day) AS (
+  SELECT o_custkey, k, id, CASE WHEN deadline < start + 3 THEN deadline ELSE start END FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.o_custkey, o.k, o.id, CASE WHEN o.deadline < f.day + 4 THEN o.deadline ELSE f.day + 1 END FROM fold f JOIN o ON o.o_custkey = f.o_custkey AND o.k = f.k + 1
+)
+SELECT o_custkey, id, CAST(day AS DATE) AS day FROM fold""")
 def schedule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approval days of each customer's orders, one a day from the first on, or their deadline if it is near."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("deadline")))).alias("items"), F.min(F.to_date("o_orderdate")).alias("start"))

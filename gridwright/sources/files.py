@@ -22,10 +22,18 @@ def listed(spark: SparkSession, folder: str, extensions: list[str], recursive: b
     return named.where(F.col("extension").isin(extensions) & ~F.exists("below", lambda p: p.rlike("^[0_]"))).drop("below")
 
 
+_HIGH = bytes(range(128, 256))
+_BYTES, _LETTERS = _HIGH.decode("latin-1"), _HIGH.decode("cp1251", "replace")
+
+
+def _cyrillic(latin: Column) -> Column:
+    """Text whose bytes were read as one Latin character each, in the Cyrillic code page, which Spark's readers don't offer."""
+    return F.translate(latin, _BYTES, _LETTERS)
+
+
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 if they are valid, else the Cyrillic code page (in which nearly every byte means something)."""
-    high = bytes(range(128, 256))
-    cyrillic = F.translate(F.decode(content, "iso-8859-1"), high.decode("latin-1"), high.decode("cp1251", "replace"))
+    cyrillic = _cyrillic(F.decode(content, "iso-8859-1"))
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(cyrillic)
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
@@ -51,8 +59,21 @@ def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, encoding: str = "windows-1251", separator: str = ";") -> DataFrame:
-    """A CSV with a header; all columns text."""
-    return spark.read.option("header", "true").option("sep", separator).option("encoding", encoding).csv(path)
+    """A CSV with a header; all columns text. The encoding is windows-1251 or one of Spark's."""
+    cyrillic = encoding == "windows-1251"
+    rows = spark.read.option("header", "true").option("sep", separator).option("encoding", "iso-8859-1" if cyrillic else encoding).csv(path)
+    if not cyrillic:
+        return rows
+    return rows.select(*[_cyrillic(F.col(f"`{c}`")).alias(c.translate(str.maketrans(_BYTES, _LETTERS))) for c in rows.columns])
+
+
+def csv_guessed(spark: SparkSession, path: str, separators: str = ";,\t") -> DataFrame:
+    """A CSV with a header, read as UTF-8 if its first lines are valid so, else in the Cyrillic code page; the separator is the
+    first that the header line has. The head alone is looked at; the table itself is read by tasks."""
+    raw = spark.read.text(path).limit(100)
+    head = raw.agg(F.make_valid_utf8(F.first("value")).alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
+    line = head.first or ""
+    return csv_table(spark, path, "utf-8" if head.utf8 in (True, None) else "windows-1251", next((x for x in separators if x in line), separators[0]))
 
 
 FILING = "header struct<inn:string,kpp:string,organization_name:string>, application struct<activity_sphere:string,revenue:struct<total:double,articles:array<struct<code:string,name:string,amount:double>>>>"
@@ -69,17 +90,3 @@ def filing_errors(inn: Column, organization: Column, articles: Column) -> Column
     """What is wrong with a filing, as an array of messages."""
     return F.array_compact(F.array(
         F.when(~F.coalesce(inn.rlike(r"^(\d{10}|\d{12})$"), F.lit(False)), F.lit("inn")), F.when(F.coalesce(F.trim(organization), F.lit("")) == "", F.lit("organization")), F.when(F.coalesce(F.size(articles), F.lit(0)) <= 0, F.lit("articles"))))
-
-
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """``(book, sheet, r, c, s)`` of all workbooks in a folder; needs a workbook library on the executors, which is loaded there only."""
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                for sheet, grid in pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str).items():
-                    flat = grid.stack()
-                    r, c = flat.index.get_level_values(0), flat.index.get_level_values(1)
-                    yield pd.DataFrame({"book": path.rsplit("/", 1)[-1], "sheet": str(sheet), "r": r.astype("int32"), "c": c.astype("int32"), "s": flat.to_numpy()})
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(folder).select("path", "content")
-    return found.mapInPandas(read, "book string, sheet string, r int, c int, s string")
