@@ -82,6 +82,35 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not got[101] and not got[102] and not any(got[i] for i in range(8))
 
 
+def test_planted_identifiers_are_discovered(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    some = [r.text or "" for r in docs.limit(400).collect()]
+    into = lambda i, x: f"{some[i][:300]} {x} {some[i][300:600]}"
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    ways = {
+        3: ("reach the duty desk on", "round the clock", lambda: f"+1 ({n(3)}) 555-{n(4)}", lambda: f"({n(3)}) 555-{n(4)}"),
+        0: ("write to the registrar via", "for a copy", lambda: f"{name()}@{name()}.org", lambda: f"{name()} [at] {name()} [dot] org"),
+    }
+    seeds, new, i = [], {}, 10**7
+    for kind, (before, behind, seed, unseen) in ways.items():
+        for j in range(20):
+            seeds.append((i + j, into(j, f"{before} {seed()} {behind}")))
+        for j in range(20, 70):
+            x = into(j, f"{before} {(u := unseen())} {behind}")
+            new[i + j] = (x, x.index(u), kind, x.index(u) + len(u))
+        i += 1000
+    # like the others in shape, but in no telling context
+    other = [(i + j, into(100 + j, f"{name()} {n(3)} 555-{n(4)} {name()}")) for j in range(100)]
+    planted = spark.createDataFrame(seeds + [(k, v[0]) for k, v in new.items()] + other, docs.schema)
+    got = {r.doc_id: {tuple(s) for s in r.added} for r in pii.find_pii(docs.unionByName(planted)).where("size(added) > 0").collect()}
+    right = sum(v[1:] in got.get(k, ()) for k, v in new.items())
+    assert right >= 0.9 * len(new) and right >= 0.9 * sum(map(len, got.values()))
+
+
 def test_digest_format(spark):
     docs = spark.createDataFrame([(1, TEXTS[2] + " a@b.cd"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs)).collect()}
@@ -120,6 +149,27 @@ def test_markov_models_tell_random_strings(spark):
     assert sum(got[i] for i in range(40)) >= 38 and sum(got[100 + i] for i in range(40)) <= 1
 
 
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = docs.take(300)
+    planted = [(10**6 + i, f"{(r.text or '')[:200]} {base64.b64encode(hashlib.sha256(b'%d' % i).digest()).decode()[: 24 + i % 16]} {(r.text or '')[200:400]}") for i, r in enumerate(seen)]
+    model = secrets.train(secrets.labelled(docs).unionByName(secrets.random_strings(spark)))
+    got = {r.doc_id: r.added for r in secrets.find_secrets(spark.createDataFrame(planted, docs.schema), model).collect()}
+    assert sum(bool(got[i]) for i, _ in planted) >= 0.95 * len(planted)
+    added = secrets.find_secrets(docs, model).where("size(added) > 0").collect()
+    texts = {r.doc_id: r.text for r in docs.join(spark.createDataFrame([(r.doc_id,) for r in added], "doc_id long"), "doc_id").collect()} if added else {}
+    shapes = {re.sub("[0-9]+", "9", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", texts[r.doc_id][s.start : s.end]))) for r in added for s in r.added}
+    assert not shapes & {"9", "a", "A", "Aa"} and len(added) <= 3, shapes
+
+
+def test_models_without_samples_tell_nothing(spark):
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    model = secrets.train(secrets.labelled(empty))
+    assert [len(r.added) for r in secrets.find_secrets(rows(spark), model).collect()] == [0] * len(rows(spark).collect())
+
+
 def brute_lines(rows, least=40, most=5):
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     seen = {}
