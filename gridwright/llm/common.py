@@ -2,48 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most some thirty bytes each: the largest side that is ever broadcast has some 3 MB.
-BROADCAST_ROWS = 100_000
+from gridwright.sources.scratch import keep, shared_dir
 
-#: Attribute of a session that has no ``spark.checkpoint.dir``: the folder made for it once (single-machine tests).
-_OWN: dict[str, str] = {}
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "keep", "shared_dir", "short_batches", "shuffle_partitions", "small", "table"]
 
+#: Rows of at most some thirty bytes each: the largest side that is ever broadcast has some 3 MB.
+BROADCAST_ROWS = 100_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-gridwright-")
-    return _OWN[app]
-
-
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut there, and the rows outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridwright/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small, else as it is (a shuffle join follows)."""
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have ``most`` rows at most, else as it is (a shuffle join follows)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:

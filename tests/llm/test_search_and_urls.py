@@ -39,19 +39,48 @@ def test_odd_vectors(spark):
     assert topk.top_k(df.limit(0), queries, 5).collect() == [] and topk.top_k(df, queries.limit(0), 5).collect() == []
 
 
-def test_bounds_save_distances(monkeypatch):
-    import numpy as np
+def tree_of(x):
     import pandas as pd
 
+    return topk.Tree(topk.build_tree(pd.DataFrame({"dim": x.shape[1], "tree": 0, "id": range(len(x)), "v": list(x)})))
+
+
+def test_bounds_save_distances(monkeypatch, spark, tiny):
+    import numpy as np
+
     monkeypatch.setattr(topk, "PAGE", 32)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 1000
-    x = np.floor(np.concatenate([c + rng.normal(size=(50, 8)) * 10 for c in centres]))
-    tree = topk.Tree(topk.build_pages(pd.DataFrame({"dim": 8, "tree": 0, "id": range(1000), "v": list(x)})))
-    for q in range(0, 1000, 100):
-        want = sorted((-int(x[q] @ x[i]), i) for i in range(1000) if i != q)[:5]
-        assert [(-s, i) for s, i in tree.search(x[q], q, 5)] == want
-    assert tree.distances < 0.6 * 10 * 1000
+    planted = np.floor(np.concatenate([c + rng.normal(size=(50, 8)) * 10 for c in centres]))
+    real = np.floor(256 * np.array([r.embedding for r in spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/embeddings.parquet").collect()], dtype=float))
+    for x, share in ((planted, 0.3), (real, 1.0)):
+        tree = tree_of(x)
+        assert max(len(c) for c in tree.children) <= topk.FANOUT and tree.to_parent[1:].min() > 0
+        asked = range(0, len(x), max(1, len(x) // 10))
+        searched = 0
+        for q in asked:
+            tree.distances = 0
+            want = sorted((-int(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]
+            assert [(-s, i) for s, i in tree.search(x[q], q, 5)] == want
+            searched += tree.distances
+            floor = -want[2][0]
+            assert [(-s, i) for s, i in tree.search(x[q], q, 5, floor)] == [w for w in want if -w[0] >= floor]
+        print("distances a query and vector:", searched / len(asked) / len(x))
+        assert searched < share * len(asked) * len(x) + len(asked) * len(tree.radii)
+
+
+def test_many_trees_match_brute_force(monkeypatch, spark):
+    monkeypatch.setattr(topk, "TREE", 40)
+    monkeypatch.setattr(topk, "ROOTS", 3)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = random.Random(9)
+    data = [(i, [c + rng.uniform(-0.1, 0.1) for c in (i % 5, -(i % 3), 1)]) for i in range(400)] + [(400 + i, [0.5, 0.25, 0.125]) for i in range(150)]
+    data += [(10, [0.0, 5.0, 1.0]), (10, [4.0, -1.0, 0.5])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = [r for r in data if r[0] % 10 == 0]
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == brute(data, asked, 5)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
 def brute_rule(url):
@@ -90,3 +119,13 @@ def test_trees_learn_from_labelled_urls(spark):
     test = spark.createDataFrame([(i, (bad if i % 2 else good)()) for i in range(100)], "page_id long, url string")
     got = urls.judge(test, [], labelled).select("page_id", "verdict").collect()
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) >= 98
+
+
+def test_held_out_pages_are_judged_right(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    told = urls.judge(pages, URL_RULES).where("rule is not null").select("url", (F.col("verdict") == "block").cast("int").alias("blocked")).distinct()
+    held = F.pmod(F.xxhash64("url", F.lit(77)), F.lit(4)) == 0
+    got = urls.judge(told.where(held), [], told.where(~held)).collect()
+    right = sum((r.verdict == "block") == bool(r.blocked) for r in got) / len(got)
+    print("held-out accuracy", right, len(got))
+    assert right >= 0.9
