@@ -132,11 +132,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cases are those of Mix; documents without words, which no mix can take, are passed on once.
     """
     mix = Mix(docs, id_col, text_col, source_col, weights, cap)
-    key = lambda i, s, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("\0")), F.coalesce(s, F.lit("\0")), h)
+    # two hashes of id, source and the text's hash: rows of one id and source would need texts of one hash to be taken for each other
+    key = lambda i, s, h: [F.xxhash64(F.lit(seed), F.coalesce(i.cast("string"), F.lit("\0")), F.coalesce(s, F.lit("\0")), h).alias(f"_k{seed}") for seed in (1, 2)]
     times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size") - 0.5)).cast("int")
-    counts = mix.rows.select(key(F.col("id"), F.col("source"), F.col("text_hash")).alias("_key"), times.alias("t")).groupBy("_key").agg(F.sum("t").cast("int").alias("_times")).where("_times > 0")
+    counts = mix.rows.select(*key(F.col("id"), F.col("source"), F.col("text_hash")), times.alias("t")).groupBy("_k1", "_k2").agg(F.sum("t").cast("int").alias("_times")).where("_times > 0")
     names = docs.columns
     text = F.col(f"`{text_col}`").cast("string")
-    row = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.xxhash64(text)).alias("_key")).dropDuplicates(["_key"])
-    out = row.join(counts, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    row = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.xxhash64(text))).dropDuplicates(["_k1", "_k2"])
+    out = row.join(counts, ["_k1", "_k2"]).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
