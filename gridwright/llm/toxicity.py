@@ -9,7 +9,9 @@ on the same labelled sample gives the score.
 
 from __future__ import annotations
 
+import itertools
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ from gridwright.llm.common import keep, short_batches, small
 from gridwright.llm.shingles import mix, pieces, shingle_sets
 
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the curve are fitted on, at most about
-MAX_TERMS = 5_000  # of the lexicon: the strongest ones
-MAX_PHRASES = 5_000
+MAX_TERMS = 5_000  # size of the lexicon that the sample is fitted to: the strongest terms
+MAX_PHRASES = 5_000  # and the exception phrases that most of the sample's documents have
 MIN_TOXIC = 5  # toxic documents that a term needs
 MIN_ODDS = 3.2
 MIN_PHRASE = 3  # documents without the label that an exception phrase needs
@@ -97,7 +99,10 @@ class Lexicon:
         folded = fold(text)
         terms, ranges = self.hits(folded)
         if ranges:
-            terms = {at: w for at, w in terms.items() if not any(a <= at < b for a, b in ranges)}
+            ranges.sort()
+            ends = list(itertools.accumulate((b for _, b in ranges), max))  # the farthest end of all ranges that begin so far
+            begins = [a for a, _ in ranges]
+            terms = {at: w for at, w in terms.items() if not (n := bisect_right(begins, at)) or at >= ends[n - 1]}
         n = max(1, folded.count(" ") - 1)
         total = sum(terms.values())
         return [math.log1p(total), total / math.sqrt(n), math.log1p(len(terms)), max(terms.values(), default=0.0), min(1.0, len(terms) * 100 / n)]
@@ -132,7 +137,7 @@ def _counted(batches: Iterator[pa.RecordBatch], units) -> Iterator[pa.RecordBatc
 
 
 def _word_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted(batches, lambda folded: _terms({w for w in folded.split() if 3 <= len(w) <= 40}))
+    return _counted(batches, lambda folded: _terms(set(folded.split())))
 
 
 def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def _phrase_units(terms: dict[str, float]):
                     out.add(folded[before : end + 1])
                 if behind > end + 1:
                     out.add(folded[at : behind + 1])
-            return {x for x in out if len(x) < 100}
+            return out
 
         yield from _counted(batches, around)
 
