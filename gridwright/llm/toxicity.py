@@ -28,7 +28,7 @@ from gridwright.llm.shingles import mix, pieces, shingle_sets
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the curve are fitted on, at most about
 MAX_TERMS = 5_000  # size of the lexicon that the sample is fitted to: the strongest terms
 MAX_PHRASES = 5_000  # and the exception phrases that most of the sample's documents have
-MIN_TOXIC = 5  # toxic documents that a term needs
+MIN_TOXIC = 4  # toxic documents that a term needs
 MIN_ODDS = 3.2
 MIN_PHRASE = 3  # documents without the label that an exception phrase needs
 STEMS = range(4, 9)  # letters of the word beginnings that may become terms

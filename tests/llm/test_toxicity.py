@@ -58,10 +58,21 @@ def test_odd_rows(spark):
 
 
 def test_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
-    got = op1_toxicity(spark, sf)
-    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
-    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    wrong = sum(r.predicted == 1 and r.toxic == 0 for r in rows)
-    hit = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
-    assert wrong <= 2 and hit >= 0.5 * sum(r.toxic for r in rows)
+    """Of the toxic documents held out some have no word that any other toxic one has (4 of 18 at sf0.01, 9 of 144 at sf0.1): no lexicon finds them."""
+    for sf, least in (("sf0.01", 0.75), ("sf0.1", 0.9)):
+        got = op1_toxicity(spark, f"/root/testdata/{sf}")
+        assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+        rows = got.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+        wrong = sum(r.predicted == 1 and r.toxic == 0 for r in rows)
+        hit, toxic = sum(r.predicted == 1 and r.toxic == 1 for r in rows), sum(r.toxic for r in rows)
+        print("held out", sf, hit, "of", toxic, "false alarms", wrong, "of", len(rows) - toxic)
+        assert wrong <= 2 and hit >= least * toxic
+
+
+def test_many_exceptions_in_one_long_text():
+    lex = toxicity.Lexicon({" scum ": 2.0}, [" pond scum ", " scum pond "])
+    text = toxicity.fold("pond scum pond x " * 30000 + "scum")
+    import time
+
+    began = time.perf_counter()
+    assert lex.features(text)[3] == 2.0 and time.perf_counter() - began < 5
