@@ -144,3 +144,49 @@ def test_odd_mix(spark):
     pieces = mix.pieces.collect()
     assert all(p.end_word > p.first_word for p in pieces) and sum(p.end_word - p.first_word for p in pieces) == sum(taken.values())
     assert mixing.Mix(docs.limit(0)).rows.collect() == [] and mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
+def test_query_shards_are_the_smallest_possible(spark, tiny):
+    """The largest shard of the query's own result against the least capacity of its groups in their order, by brute force."""
+    from gridwright.llm.queries import op3_sharding
+
+    rows = op3_sharding(spark, tiny).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    shards = [[r for r in rows if r.shard == s] for s in range(24)]
+    bytes_ = [sum(r.size for r in rows_) for rows_ in shards]
+    groups = {}
+    for s, rows_ in enumerate(shards):
+        for r in sorted(rows_, key=lambda r: r.slot):
+            groups.setdefault((s, texts[r.doc_id]), []).append(r.size)
+    alone = [s for s in range(24) if len({texts[r.doc_id] for r in shards[s]}) == 1]
+    sizes = [sum(v) for (s, _), v in groups.items() if s not in alone]
+    assert len({t for _, t in groups}) == len(groups)
+    assert max(b for s, b in enumerate(bytes_) if s not in alone) == brute_capacity(sizes, 24 - len(alone))
+
+
+def test_query_mix_against_a_plain_schedule(spark, tiny):
+    """Words taken of each document, by walking the schedule slot by slot over the shuffled streams."""
+    mix = mixing.Mix(spark.read.parquet(f"{tiny}/documents.parquet"))
+    rows, pieces = mix.rows.collect(), mix.pieces.collect()
+    streams = {}
+    for p in pieces:
+        streams.setdefault((p.s, p.slot), []).append((p.end_word - p.first_word, p.epoch))
+    slots, golden = sum(x[3] for x in mix.plan), 0.6180339887498949
+    ends = [sum(x[3] for x in mix.plan[: i + 1]) / slots for i in range(len(mix.plan))]
+    rank, want = {}, {}
+    for k in range(slots):
+        u = k * golden % 1.0
+        s = min(sum(u >= e for e in ends[:-1]), len(ends) - 1)
+        n = rank[s] = rank.get(s, -1) + 1
+        if n < mix.plan[s][3]:
+            want[(s, k)] = n
+    missing = {s: x[3] - 1 - rank.get(s, -1) for s, x in enumerate(mix.plan) if x[3] - 1 > rank.get(s, -1)}
+    got = set(streams)
+    assert set(want) <= got and len(got) == len(want) + sum(missing.values())
+    for (s, _), parts in streams.items():
+        assert sum(n for n, _ in parts) <= mix.block and len({e for _, e in parts}) == 1
+    for s, (source, size, goal, _) in enumerate(mix.plan):
+        mine = [r for r in rows if r.source == source]
+        assert sum(r.taken for r in mine) == min(round(goal), int(3 * size)) and max((r.taken / r.size for r in mine if r.size), default=0) <= 3
+        epochs = {e for (z, _), parts in streams.items() if z == s for _, e in parts}
+        assert epochs == set(range(len(epochs)))
