@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import rules
+from gridwright.operators.retrieval import stated
 
 
 def registry_status(rows: DataFrame, registry: DataFrame, days: int = 30, share: float = 0.1) -> DataFrame:
@@ -61,7 +62,7 @@ def indexed(articles: DataFrame, indices: DataFrame, multiplier: float, default:
     """
     names = articles.select("name").distinct()
     a, b = F.lower("name"), F.lower("title")
-    hits = names.join(F.broadcast(indices), a.contains(b) | b.contains(a)).groupBy("name").agg(F.min_by("factor", "pos").alias("factor"))
+    hits = names.join(stated(indices), a.contains(b) | b.contains(a)).groupBy("name").agg(F.min_by("factor", "pos").alias("factor"))
     found = F.round(F.col("factor") * multiplier, 3)
     factor = F.when(found.isNull() | ((found == 1.0) & F.lit(legacy)), F.lit(default)).otherwise(found)
     return articles.join(hits, "name", "left").withColumn("factor", factor).withColumn("forecast", F.col("amount") * F.col("factor"))

@@ -87,12 +87,34 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "structural", 1000)
 
 
-@query()
+def _first(text: str, signs: str = ".!?") -> str:
+    """The first place of any of the signs, null without one."""
+    return "least(" + ", ".join(f"nullif(instr({text}, '{c}'), 0)" for c in signs) + ")"
+
+
+# positions are followed one cut at a time: ``at`` is where a piece begins, ``until`` where it ends
+_FOLLOWED = """
+WITH RECURSIVE d AS (SELECT doc_id AS doc, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+cut(doc, at_, until_) AS (
+  SELECT doc, 0, {end0} FROM (SELECT d.*, 0 AS a FROM d) d
+  UNION ALL
+  SELECT doc, a, {end0} FROM (SELECT d.*, {next} AS a FROM cut c JOIN d ON d.doc = c.doc WHERE c.until_ < d.n) d
+)
+SELECT doc, count(*) AS parts, CAST(sum(length(piece)) AS BIGINT) AS chars, max(length(piece)) AS longest FROM (
+  SELECT d.doc, CASE WHEN d.n <= {whole} THEN text ELSE regexp_replace(substr(text, at_ + 1, until_ - at_), '^\\s+|\\s+$', '', 'g') END AS piece FROM cut JOIN d ON cut.doc = d.doc) WHERE length(piece) > 0 GROUP BY doc"""
+
+_FIXED_END = f"""CASE WHEN a + 1000 >= n THEN n ELSE coalesce(a + 1001 - {_first("reverse(substr(text, a + 751, 250))")}, a + 1000 + {_first("substr(text, a + 1001)")},
+    a + 1001 - nullif(instr(reverse(substr(text, a + 751, 250)), ' '), 0), a + 1000 + nullif(instr(substr(text, a + 1001), ' '), 0), a + 1000) END"""
+_WINDOW_END = """CASE WHEN a + 6000 >= n THEN n ELSE a + 6001 - coalesce(nullif(instr(reverse(substr(text, a + 4501, 1500)), chr(10) || chr(10)), 0),
+    nullif(instr(reverse(substr(text, a + 4501, 1500)), ' .'), 0), nullif(instr(reverse(substr(text, a + 4501, 1500)), ' '), 0), 1) END"""
+
+
+@query(_FOLLOWED.format(end0=_FIXED_END, next="greatest(c.until_ - 100, c.until_ - 999, c.at_ + 1)", whole=-1))
 def fixed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "fixed", 1000, 100)
 
 
-@query()
+@query(_FOLLOWED.format(end0=_WINDOW_END, next="greatest(c.at_ + 3000, c.until_ - 300)", whole=6000))
 def window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "window", 6000, 300)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import parsing
-from gridwright.operators import flows, matching, registers
+from gridwright.operators import chunking, flows, knowledge, matching, registers
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
 
@@ -256,3 +256,69 @@ def claim_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "claim long, doc long, text string, w array<double>")
     vectors = spark.createDataFrame([], "claim long, article long, v array<double>")
     return flows.risk_summary(flows.article_risks(f, none, vectors))
+
+
+@query("SELECT event_id FROM events WHERE floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(ts)) <= 604800")
+def cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the last week, the newest event telling what time it is."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"))
+    now = e.agg(F.max("at").alias("now"))  # one row
+    return knowledge.fresh(e.crossJoin(F.broadcast(now)), F.col("now")).select("event_id")
+
+
+@query("""
+WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[а-яёa-z0-9]+') AS t FROM documents), p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t)
+SELECT id, CAST(dl AS INTEGER) AS dl, count(DISTINCT term) AS terms, count(*) AS tf FROM p GROUP BY id, dl""")
+def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of all documents, summed up by document."""
+    p = knowledge.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return p.groupBy("id", "dl").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"))
+
+
+@query("""
+SELECT conv_id, md5(first(text ORDER BY turn) || ' ' || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE turn > 0), '')) AS text_md5 FROM conversations GROUP BY conv_id HAVING min(turn) = 0""")
+def faq_entry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as FAQ entries: the first turn the question, the others its variations."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).where(F.col("t")[0]["turn"] == 0)
+    texts = F.transform("t", lambda x: x["text"])
+    faq = c.select(F.col("conv_id").alias("id"), texts[0].alias("question"), F.slice(texts, F.lit(2), F.size(texts)).alias("variations"))
+    return knowledge.faq_texts(faq).select(F.col("id").alias("conv_id"), F.md5("entry_text").alias("text_md5"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(lower(url), 'page=') OR contains('paged', 'page=') OR (contains(lower(url), 'pills') AND contains('spam', 'page='))")
+def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"), parsing.tags_of(F.col("url"), F.lit(""), TAGS).alias("tags"))
+    return knowledge.tagged_with(p, "PAGE=").select("page_id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+p AS (SELECT doc_id, pos // 5 + 1 AS page, string_agg(line, chr(10) ORDER BY pos) AS t FROM l GROUP BY 1, 2)
+SELECT doc_id, md5(left(string_agg(t, chr(10) ORDER BY page), 1500)) AS head_md5 FROM p WHERE page <= 2 GROUP BY doc_id ORDER BY doc_id LIMIT 100""")
+def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of the first hundred files, as a claim's summary shows them: 1,500 characters of two pages."""
+    pages = chunking.paginated(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), 5)
+    return matching.heads(pages).select(F.col("doc").alias("doc_id"), F.md5("text").alias("head_md5"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+k AS (SELECT doc_id, trim(line) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx FROM l WHERE length(trim(line)) >= 50)
+SELECT 'base' AS collection, doc_id, CAST(idx AS INTEGER) AS idx, md5(text) AS text_md5 FROM k""")
+def collection_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection rebuilt from the documents that are not left out of training."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    out = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("doc"))
+    made = knowledge.collection(files, out, "base", "separator", separator="\n")
+    return made.select("collection", F.col("doc").alias("doc_id"), "idx", F.md5("text").alias("text_md5"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS file, o_orderkey AS pos, unnest([o_orderpriority, o_orderstatus]) AS name, unnest([0, 1]) AS i FROM orders)
+SELECT file, name, CAST(arg_min(pos, pos * 2 + i) AS VARCHAR) AS number FROM r GROUP BY file, name""")
+def document_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that answers list as JSON, each name once a file: an order's answer lists its priority and its status."""
+    doc = lambda name: F.struct(name.alias("name"), F.col("o_orderkey").cast("string").alias("number"))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(doc(F.col("o_orderpriority")), doc(F.col("o_orderstatus"))).alias("documents"))), F.lit("\n```"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("pos"), answer.alias("answer"))
+    return knowledge.inventory(a).select("file", "name", "number")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import parsing
-from gridwright.operators import chunking, flows, graph, matching, registers, retrieval, scorers, sheets
+from gridwright.operators import chunking, flows, graph, knowledge, matching, registers, retrieval, scorers, sheets
 from gridwright.sources import files
 
 
@@ -148,3 +148,24 @@ def test_cuts_keep_the_whole_text(spark, tiny):
     big = spark.createDataFrame([(1, long)], "doc int, text string")
     assert chunking.chunked(big, "fixed", 100, 0, 1).count() > chunking.MOST_CHUNKS and chunking.chunked(big, "fixed", 100, 0, 1, most=7).count() == 7
     assert retrieval.QUERY_TERMS
+
+
+def test_knowledge(spark):
+    docs = spark.createDataFrame([(1, "Газ и вода газ"), (2, None), (3, "")], "id int, text string")
+    assert sorted(map(tuple, knowledge.postings(docs).collect())) == [("вода", 1, 4, 1), ("газ", 1, 4, 2), ("и", 1, 4, 1)]
+    assert knowledge.version_of(docs).first() == knowledge.version_of(docs.repartition(3)).first() != knowledge.version_of(docs.where("id < 3")).first()
+    faq = spark.createDataFrame([("faq_007", "q", "a"), ("other", "q2", "a2")], "id string, question string, answer string")
+    assert sorted(r.id for r in knowledge.faq_added(faq, "new", "b").collect()) == ["faq_007", "faq_008", "other"] and knowledge.faq_added(faq.limit(0), "n", "b").first().id == "faq_001"
+    five = knowledge.sampled(spark.range(100), 5, 7)
+    assert sorted(five.collect()) == sorted(knowledge.sampled(spark.range(100).repartition(7), 5, 7).collect()) and five.count() == 5
+    one_ = lambda t: spark.createDataFrame([(t,)], "s string").select(knowledge.hashed_vector(F.col("s")).alias("v")).first().v
+    assert abs(sum(x * x for x in one_("a b c")) - 1) < 1e-9 and one_("a b") == one_("b a") and not any(one_(None)) and len(one_("x")) == 64
+    files = spark.createDataFrame([(1, f"f{i:02}", f"text {i}") for i in range(12)], "claim int, file string, text string")
+    b = {r.batch: (len(r.files), r.prompt[:22]) for r in knowledge.batches(files).collect()}
+    assert b == {0: (10, "Документ 1 (f00):\ntext"), 1: (2, "Документ 1 (f10):\ntext")}
+    groups = spark.createDataFrame([(1, "ENERGY", 2, 5.0), (2, "RENT", 1, 1.0)], "claim int, category string, articles int, total double")
+    s = {r.claim: r.summary for r in knowledge.claim_summary(files.where("file = 'f00'"), groups, lambda c: c).collect()}
+    assert s == {1: "f00: text 0\n\nENERGY 2 5.0", 2: "RENT 1 1.0"}
+    asked = spark.createDataFrame([("q", "c" * 20), ("q", " "), ("q", None)], "q string, c string").select(knowledge.position(F.col("q"), F.col("c"), lambda p: p, 3).alias("a")).collect()
+    assert asked[0].a.endswith("\nccc") and asked[1].a is None and asked[2].a is None
+    assert spark.createDataFrame([(None,)], "s string").select(knowledge.prefixed(F.col("s"), "query")).first()[0] == "query: "
