@@ -38,3 +38,15 @@ def without_repeats(items: DataFrame, similar: float = 0.85, same: float = 0.95)
     near = names.join(later, fits & (F.col("first") < F.col("last2"))).where(_near("name", "name2", same)).where(name_ratio("name", "name2") >= same)
     alike = a.join(near.groupBy("name").agg(F.max("last2").alias("last2")), "name").where("id < last2").select("id")
     return items.join(equal.union(alike).distinct(), "id", "left_anti")
+
+
+def one_edit(names: DataFrame) -> DataFrame:
+    """``names(name)``, distinct -> ``(name, other)`` of all pairs, both ways, that are equal or one edit apart.
+
+    Such names share a variant, being the name or the name less one character; an equi-join on variants finds them, at
+    any place of the edit, and the distance is checked. Null names are left out.
+    """
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("name"), F.lit(1))), lambda i: F.concat(F.left("name", i - 1), F.substr("name", i + 1)))
+    variants = names.where("name is not null").select("name", F.explode(F.array_distinct(F.concat(F.array("name"), gaps))).alias("variant"))
+    other = variants.select(F.col("name").alias("other"), "variant")
+    return variants.join(other, "variant").where(F.levenshtein("name", "other") <= 1).select("name", "other").distinct()

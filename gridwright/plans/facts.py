@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import rules
+from gridwright.functions.similarity import one_edit
 from gridwright.operators import logs, reconcile, sheets
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
@@ -340,3 +341,15 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.left("p_name", F.lit(6)).alias("block"))
     b = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), "block")
     return p.join(b, "block").where((F.col("p_partkey") < F.col("k")) & (F.levenshtein("p_name", "n") <= 1)).select("p_partkey").distinct()
+
+
+@query("""
+WITH n AS (SELECT p_name AS name, max(p_partkey) AS last FROM part WHERE p_name IS NOT NULL GROUP BY p_name),
+b AS (SELECT a.name, max(b.last) AS last FROM n a JOIN n b ON levenshtein(a.name, b.name) <= 1 GROUP BY a.name)
+SELECT p_partkey FROM part JOIN b ON p_name = name WHERE p_partkey < last""")
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name a later part has but for one edit, wherever that is: distinct names meet, each with its last part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    last = p.where("name is not null").groupBy("name").agg(F.max("p_partkey").alias("last"))
+    best = one_edit(last.select("name")).join(last.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.max("last").alias("last"))
+    return p.join(best, "name").where("p_partkey < last").select("p_partkey")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import parsing
+from gridwright.functions.similarity import one_edit
 from gridwright.operators import chunking, flows, graph, knowledge, matching, registers, retrieval, scorers, sheets
 from gridwright.sources import files
 
@@ -169,3 +170,11 @@ def test_knowledge(spark):
     asked = spark.createDataFrame([("q", "c" * 20), ("q", " "), ("q", None)], "q string, c string").select(knowledge.position(F.col("q"), F.col("c"), lambda p: p, 3).alias("a")).collect()
     assert asked[0].a.endswith("\nccc") and asked[1].a is None and asked[2].a is None
     assert spark.createDataFrame([(None,)], "s string").select(knowledge.prefixed(F.col("s"), "query")).first()[0] == "query: "
+
+
+def test_names_one_edit_apart(spark):
+    names = ["old plate", "cold plate", "old plat", "bold plate", "", "a", None, "xy", "yx"]
+    got = sorted((r.name, r.other) for r in one_edit(spark.createDataFrame([(n,) for n in names], "name string")).collect())
+    def near(a, b):
+        return a == b or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
+    assert got == sorted((a, b) for a in names for b in names if a is not None and b is not None and near(a, b))
