@@ -12,6 +12,7 @@ __all__ = ["BROADCAST_ROWS", "ascii_lower", "keep", "shared_dir", "short_batches
 #: Rows of at most some thirty bytes each: the largest side that is ever broadcast has some 3 MB.
 BROADCAST_ROWS = 100_000
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
