@@ -28,8 +28,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     becomes empty. Columns of the input named ``n_lines`` or ``n_dropped`` are replaced; others are passed on, whatever
     their names. An empty table stays empty. Long texts and lines are taken whole.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
     row_key = F.unhex(F.md5("_text"))
     cut = own.select("_id", row_key.alias("_row"), F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     keyed = cut.select("_id", "_row", "_pos", line_key(F.col("_line")).alias("_line")).where(F.char_length("_line") >= min_chars)
@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = keep(words.groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("w", "m"))).alias("_marks")), "dropped-lines")
 
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).alias("_id"), text.alias("_text"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
     met = plain.withColumn("_row", F.unhex(F.md5("_text"))).join(
         marks.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "_marks"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     lines = F.split("_text", "\n", -1)

@@ -51,7 +51,8 @@ class Mix:
     of id and text, so reruns agree.
 
     A null text has no words and is never taken, nor is one without words; a source without words has the target 0.
-    Null is a source like others. Repeated rows are rows of their own. Null ids are allowed. Other columns are ignored.
+    Null is a source like others. Sources are some thousands at most: each is a term of the schedule's expression.
+    Repeated rows are rows of their own. Null ids are allowed. Other columns are ignored.
     An empty table gives empty results. The names and sizes of sources pass through the driver, documents don't.
     """
 

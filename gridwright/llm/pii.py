@@ -137,5 +137,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts, the hash of the base spans and all spans as text."""
     of = lambda i: F.size(F.filter("base", lambda s: s["k"] == i)).cast("long")
     counts = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select(id_col, *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"),
+    return found.select(F.col(f"`{id_col}`"), *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"),
                         joined(F.concat("base", "added"), KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))

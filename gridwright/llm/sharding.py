@@ -155,6 +155,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     in parts by a hash of their id, so that a group with a third of all rows is spread over many tasks; the law is
     ``bytes``. Which rows share a shard doesn't depend on their order or partitioning.
 
+    Rows of one text whose ids are null or equal are numbered by one task.
+
     A null text has no bytes and the checksum of the empty text; null texts are a group of their own. Repeated rows and
     null ids count as rows. Columns of the input that have one of the new names are replaced. An empty table stays
     empty; with fewer groups than shards some shards are empty.
@@ -207,6 +209,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write each shard to its own folder ``shard=N``, rows by slot within each file; a shard's rows are spread over tasks by slot."""
+    """Write each shard to its own folder ``shard=N``, rows by slot within each file; a shard's rows are spread over tasks by slot.
+
+    Rows are written as they are, null ids and texts too; a shard without rows has no folder, and an empty table writes none.
+    """
     spread = sharded.repartition(F.col("shard"), F.floor(F.col("slot") / 1_000_000))
     spread.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridwright.llm.components import components
-from gridwright.llm.ngram_join import least, ngram_jaccard_components, prefix
+from gridwright.llm import ngram_join
+from gridwright.llm.ngram_join import Bits, least, ngram_jaccard_components, prefix, without_near_copies
 from gridwright.llm.queries import op5_ngram_jaccard_join
 from gridwright.llm.shingles import shingle_sets
 from gridwright.llm.trie import PrefixTrie
@@ -111,3 +112,36 @@ def test_components(spark):
     rows = {r.node: r.comp for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {rows[i] for i in range(41)} == {0} and rows[300] == 0 and rows[101] == 100 and rows[501] == 500
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sets_that_share_half_a_key_stay_apart(spark):
+    """Where several sets share the first half of their keys, both halves tell them apart."""
+    keys = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "a long, b long")
+    nodes = [r[0] for r in keys.select(ngram_join._node(keys)).collect()]
+    assert len(set(nodes)) == 3 and nodes[2] == 2 and 1 not in nodes
+    assert [r[0] for r in keys.where("a = 2").select(ngram_join._node(keys.where("a = 2"))).collect()] == [2]
+
+
+def test_bits_have_all_their_keys(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 5000):
+        keys = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+        bits = Bits(spark.createDataFrame([(k,) for k in keys], "key long"))
+        has = bits.test()
+        assert bits.empty == (n == 0) and has(np.array(keys, dtype=np.int64)).all()
+        assert has(np.array([rng.getrandbits(64) - (1 << 63) for _ in range(4000)], dtype=np.int64)).mean() < 0.2
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(5)
+    rows = family(rng, 80, 100, 3, 0) + [(i, f"lonely text number {i} " * 8) for i in range(200, 230)]
+    rows += [rows[3], (3, rows[4][1]), (None, rows[0][1]), (None, rows[0][1]), (500, ""), (500, ""), (501, None)]
+    df = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(rows)], "`my.text` string, `my.id` long, h long")
+    got = without_near_copies(df, "my.id", "my.text")
+    assert got.columns == ["my.text", "my.id", "h"]
+    left = [(r[1], r[0]) for r in got.collect()]
+    kept = [eval(x) for x in brute(rows, 5, "0.8")]
+    want = sorted({i for i, n, c in kept if n and i is not None and i == c})
+    assert sorted(i for i, t in left if i is not None and (t or "").strip()) == want
+    assert sum(i is None for i, _ in left) == 2 and sum(i == 500 for i, _ in left) == 2 and sum(i == 501 for i, _ in left) == 1
+    assert without_near_copies(df.limit(0), "my.id", "my.text").collect() == []

@@ -196,3 +196,12 @@ def test_line_dedup_matches_brute_force(spark, tiny):
     got = dedup_lines(spark.read.parquet(f"{tiny}/documents.parquet")).select("doc_id", "text", "n_lines", "n_dropped").collect()
     assert same(map(tuple, got), brute_lines(real))
     assert dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_columns_named_with_a_dot(spark):
+    data = [(1, 'mail a@b.cd token = "abcdef12"\nx'), (None, None)]
+    docs = spark.createDataFrame(data, "`doc.id` long, `a.text` string")
+    assert [r[0] for r in pii.digest(pii.find_pii(docs, "doc.id", "a.text"), "doc.id").orderBy("n_email").collect()] == [None, 1]
+    model = secrets.SecretModel([0.0] * secrets.SIDE**2, 1.0)
+    assert [r.n_assign for r in secrets.digest(secrets.find_secrets(docs, model, "doc.id", "a.text"), "doc.id").orderBy("n_assign").collect()] == [0, 1]
+    assert sorted(r.n_lines for r in dedup_lines(docs, "doc.id", "a.text").collect()) == [1, 2]
