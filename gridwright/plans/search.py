@@ -82,6 +82,18 @@ def vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 10).select(F.col("id").alias("vec_id"), F.round("score", 4).alias("score"), "rank")
 
 
+@query("""
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.id AS query, v.id AS id, list_cosine_similarity(v.v, q.v) AS score FROM v JOIN v q ON q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s)
+SELECT query, id AS vec_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
+def vector_batch_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to each whose id is divisible by 20, all in one job."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = rt.nearest(vectors, vectors.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q")), 10)
+    return near.select("query", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"), "rank")
+
+
 @query(_with_queries([(0, WORDS)]) + "," + _COSINE + """,
 a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS r FROM cosines QUALIFY r < 20),
 b AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1 AS r FROM bm25 QUALIFY r < 20)
