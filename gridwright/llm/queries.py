@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridwright.llm import decontamination, pii, secrets, toxicity
 from gridwright.llm.common import table
 from gridwright.llm.line_dedup import dedup_lines
+from gridwright.llm.lm import lm_scores
 from gridwright.llm.mixing import Mix
 from gridwright.llm.ngram_join import ngram_jaccard_components
 from gridwright.llm.sharding import shard
@@ -127,3 +128,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, each with its best window."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by word counts and by a recurrent network, learnt outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
