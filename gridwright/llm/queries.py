@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm import decontamination, pii, secrets, toxicity
 from gridwright.llm.common import table
+from gridwright.llm.divergence import source_divergence
 from gridwright.llm.line_dedup import dedup_lines
 from gridwright.llm.lm import lm_scores
 from gridwright.llm.mixing import Mix
@@ -135,3 +136,39 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document by word counts and by a recurrent network, learnt outside the held-out seventh."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT + 2 * (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS n FROM groups g
+), whole AS (
+  SELECT lang, sum(n)::HUGEINT + 2 * count(*) AS n FROM kept GROUP BY lang
+), p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // t.n AS p, 1 + 1000000000 * (k.n + 2) // w.n AS q
+  FROM totals t JOIN kept k USING (lang) JOIN whole w USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 10"""
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each two sources of a language lie apart in their terms, and each source's most telling terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
