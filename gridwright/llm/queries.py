@@ -17,6 +17,7 @@ from gridwright.llm.ngram_join import ngram_jaccard_components
 from gridwright.llm.sharding import shard
 from gridwright.llm.topk import top_k
 from gridwright.llm.urls import judge
+from gridwright.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,3 +173,10 @@ QUALIFY part = 'pair' OR rank <= 10"""
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each two sources of a language lie apart in their terms, and each source's most telling terms."""
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first four whitened components, by covariances from exact variances of dimensions and their sums."""
+    done = whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
