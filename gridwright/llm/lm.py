@@ -19,6 +19,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ WORDS = 1024  # most frequent words that the network tells apart
 TAILS = 128  # tail classes: the most frequent last two bytes, and one for the others
 DICTIONARY = 60_000  # most frequent words whose counts every task holds, of LONGEST bytes at most: some 4 MB at the most
 LONGEST = 64
-HIDDEN, PER_CLASS, LANES, STEPS, RATE = 16, 32, 256, 16, 0.005
-TASK_TOKENS = 1_000_000  # about as many train one replica in a round
+HIDDEN, PER_CLASS, LANES, STEPS, RATE = 16, 32, 512, 16, 0.006
+TASK_TOKENS = 2_000_000  # about as many train one replica in a round
 BLOCK = 8192  # weights averaged at once
 ROUNDS = (1, 1, 2, 4)  # eighths of the training documents, short rounds first, so that replicas part little
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
@@ -91,7 +92,7 @@ class Vocabulary:
         tail = np.where(np.arange(len(self.words)) < k, 0.0, np.log10((self.counts + 1) / (self.tail_n[kinds] + self.tail_v[kinds] + 1)))
 
         def run(words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
-            at = np.array([code.get(w, -1) for w in words], np.int64)
+            at = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
             gaps = np.flatnonzero(at < 0)
             lacking = [words[i] for i in gaps]
             known = at[at >= 0]

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 LN10 = float(np.log(10.0))
+WIDEST = 256  # steps of a window at most
 CHUNK = 1024  # rows whose class scores fit in a core's cache
 
 
@@ -28,10 +29,11 @@ def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, grads:
     """Log probability of each ``y`` by a softmax of ``h @ w + b``; ``grads`` get the loss' gradient, as does the second result for ``h``."""
     logits = h @ w
     logits += b
-    if float(np.abs(w).sum(axis=0).max() + np.abs(b).max()) > 80.0:  # states lie between -1 and 1, so else nothing overflows
-        logits -= logits.max(axis=1, keepdims=True)
     at = (np.arange(len(y)), y)
     chosen = logits[at]
+    if logits.max() > 80.0 or chosen.min() < -80.0:  # else no sum is infinite, none is 0
+        logits -= logits.max(axis=1, keepdims=True)
+        chosen = logits[at]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], np.float32)
     if grads is None:
@@ -190,50 +192,67 @@ class Adam:
             self.net.p[k] -= d
 
 
-def windows(sequences: Iterable[np.ndarray], lanes: int, steps: int, start: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole sequences dealt to lanes, each lane's one behind the other, in windows: (inputs, targets, first of its sequence, live)."""
-    source = iter(sequences)
-    now: list[np.ndarray | None] = [None] * lanes
-    at = [0] * lanes
-    more = True
-    while True:
-        x = np.full((steps, lanes), start, np.int64)
-        y = np.zeros((steps, lanes), np.int64)
-        first, live = np.zeros((steps, lanes), bool), np.zeros((steps, lanes), bool)
-        for i in range(lanes):
+def ahead(sequences: Iterable, symbols: int, length) -> Iterator[list]:
+    """Runs of sequences of about ``symbols`` symbols, the longest first in each, so that lanes end about together."""
+    some, held = [], 0
+    for s in sequences:
+        if length(s):
+            some.append(s)
+            held += length(s)
+        if held >= symbols:
+            yield sorted(some, key=length, reverse=True)
+            some, held = [], 0
+    if some:
+        yield sorted(some, key=length, reverse=True)
+
+
+def _width(steps: int, lanes: int, live: int) -> int:
+    """Steps of a window: more where few lanes are live, so that windows stay about as large."""
+    return max(steps, min(WIDEST, lanes * steps // (2 * live)))
+
+
+def windows(sequences: list[np.ndarray], lanes: int, steps: int, start: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole sequences dealt to lanes, each lane's one behind the other, in windows.
+
+    (inputs, targets, first of its sequence, live, lanes that go on); a lane that doesn't is not in the next window.
+    """
+    queue = deque(sequences)
+    now = [queue.popleft() for _ in range(min(lanes, len(queue)))]
+    at = [0] * len(now)
+    while now:
+        n = len(now)
+        wide = steps if queue else min(_width(steps, lanes, n), max(len(s) - a for s, a in zip(now, at)))
+        x = np.full((wide, n), start, np.int64)
+        y = np.zeros((wide, n), np.int64)
+        first, live = np.zeros((wide, n), bool), np.zeros((wide, n), bool)
+        for i in range(n):
             t = 0
-            while t < steps:
-                s = now[i]
-                if s is None or at[i] == len(s):
-                    s = next(source, None) if more else None
-                    if s is None:
-                        more = False
-                        now[i] = None
+            while t < wide:
+                s, a = now[i], at[i]
+                if a == len(s):
+                    if not queue:
                         break
-                    now[i], at[i] = s, 0
-                    if not len(s):
-                        continue
-                a = at[i]
-                n = min(steps - t, len(s) - a)
-                y[t : t + n, i] = s[a : a + n]
+                    now[i], at[i] = s, a = queue.popleft(), 0
+                m = min(wide - t, len(s) - a)
+                y[t : t + m, i] = s[a : a + m]
                 if a:
-                    x[t : t + n, i] = s[a - 1 : a + n - 1]
+                    x[t : t + m, i] = s[a - 1 : a + m - 1]
                 else:
                     first[t, i] = True
-                    x[t + 1 : t + n, i] = s[: n - 1]
-                live[t : t + n, i] = True
-                at[i], t = a + n, t + n
-        if not live.any():
-            return
-        yield x, y, first, live
+                    x[t + 1 : t + m, i] = s[: m - 1]
+                live[t : t + m, i] = True
+                at[i], t = a + m, t + m
+        on = [i for i in range(n) if queue or at[i] < len(now[i])]
+        yield x, y, first, live, np.array(on, np.int64)
+        now, at = [now[i] for i in on], [at[i] for i in on]
 
 
-def fit(net: Network, sequences: Iterable[np.ndarray], lanes: int, steps: int, rate: float) -> tuple[int, float]:
+def fit(net: Network, sequences: Iterable[np.ndarray], lanes: int, steps: int, rate: float, symbols: int = 4_000_000) -> tuple[int, float]:
     """One pass of truncated backpropagation; the state goes on from window to window. (symbols, their log probability)
 
-    An update takes place once half a full window's symbols have been seen, so that the last, narrow windows share one.
+    An update takes place once half a full window's symbols have been seen, so that narrow windows share one.
     """
-    adam, h = Adam(net, rate), np.zeros((lanes, net.hidden), np.float32)
+    adam = Adam(net, rate)
     grads = {n: np.zeros_like(v) for n, v in net.p.items()}
     seen, pending, total = 0, 0, 0.0
 
@@ -244,75 +263,53 @@ def fit(net: Network, sequences: Iterable[np.ndarray], lanes: int, steps: int, r
         for g in grads.values():
             g[...] = 0
 
-    for x, y, first, live in windows(sequences, lanes, steps, net.start):
-        used = np.flatnonzero(live.any(axis=0))  # towards the end some lanes have run out
-        lp, h[used] = net.gradient(grads, x[:, used], y[:, used], first[:, used], live[:, used], h[used])
-        pending += int(live.sum())
-        seen, total = seen + int(live.sum()), total + lp
-        if 2 * pending >= lanes * steps:
-            update()
-            pending = 0
+    for some in ahead(sequences, symbols, len):
+        h = np.zeros((min(lanes, len(some)), net.hidden), np.float32)
+        for x, y, first, live, on in windows(some, lanes, steps, net.start):
+            lp, h = net.gradient(grads, x, y, first, live, h)
+            h = h[on]
+            n = int(live.sum())
+            pending, seen, total = pending + n, seen + n, total + lp
+            if 2 * pending >= lanes * steps:
+                update()
+                pending = 0
     if pending:
         update()
     return seen, total
 
 
-def score(net: Network, sequences: Iterable[tuple[object, np.ndarray]], lanes: int = 512, steps: int = 32, ahead: int = 2_000_000) -> Iterator[tuple[object, float]]:
-    """(key, log10 probability of the whole sequence) of each (key, sequence), the state carried from its first symbol to its last.
-
-    Of some ``ahead`` symbols the long sequences begin first, so that lanes end about together.
-    """
-    waiting: list[tuple[object, np.ndarray]] = []
-    held = 0
-    for key, s in sequences:
-        waiting.append((key, s))
-        held += len(s)
-        if held >= ahead:
-            yield from _scored(net, waiting, lanes, steps)
-            waiting, held = [], 0
-    yield from _scored(net, waiting, lanes, steps)
+def score(net: Network, sequences: Iterable[tuple[object, np.ndarray]], lanes: int = 512, steps: int = 48, symbols: int = 4_000_000) -> Iterator[tuple[object, float]]:
+    """(key, log10 probability of the whole sequence) of each (key, sequence), the state carried from its first symbol to its last."""
+    for some in ahead(sequences, symbols, lambda s: len(s[1])):
+        yield from _scored(net, some, lanes, steps)
 
 
 def _scored(net: Network, some: list[tuple[object, np.ndarray]], lanes: int, steps: int) -> Iterator[tuple[object, float]]:
-    queue = deque(sorted(range(len(some)), key=lambda i: -len(some[i][1])))
     sums = np.zeros(len(some))
-    lane_of, at = np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.zeros((0, net.hidden), np.float32)
-    while True:
-        free = min(lanes - len(lane_of), len(queue))
-        if free > 0:
-            new = [queue.popleft() for _ in range(free)]
-            new = np.array([i for i in new if len(some[i][1])], np.int64)
-            lane_of, at = np.concatenate([lane_of, new]), np.concatenate([at, np.zeros(len(new), np.int64)])
-            h = np.concatenate([h, np.zeros((len(new), net.hidden), np.float32)])
-        if not len(lane_of):
-            if queue:
-                continue
-            break
-        n = len(lane_of)
-        left = np.array([len(some[i][1]) for i in lane_of]) - at
-        wide = int(min(steps, left.max()))
+    length = np.array([len(s) for _, s in some])
+    lane_of, at = np.arange(min(lanes, len(some))), np.zeros(min(lanes, len(some)), np.int64)
+    taken = len(lane_of)
+    h = np.zeros((taken, net.hidden), np.float32)
+    while n := len(lane_of):
+        left = length[lane_of] - at
+        wide = min(_width(steps, lanes, n), int(left.max()))
         x = np.full((wide, n), net.start, np.int64)
         y = np.zeros((wide, n), np.int64)
-        for j, (i, a) in enumerate(zip(lane_of, at)):
-            s = some[i][1]
-            m = min(wide, len(s) - a)
-            y[:m, j] = s[a : a + m]
-            if a:
-                x[:m, j] = s[a - 1 : a + m - 1]
-            else:
-                x[1:m, j] = s[: m - 1]
+        for j, (i, a) in enumerate(zip(lane_of.tolist(), at.tolist())):
+            s = some[i][1][max(0, a - 1) : a + wide]
+            y[: len(s) - (a > 0), j] = s[a > 0 :]
+            x[a == 0 : len(s) - (a > 0), j] = s[:-1]
         states = np.empty((wide, n, net.hidden), np.float32)
-        gates = net.p["x"]
         for t in range(wide):
-            h = net.step(gates[x[t]], h)[0]
-            states[t] = h
-        live = np.arange(wide)[:, None] < left[None, :]
-        where = np.flatnonzero(live.ravel())
+            states[t] = h = net.step(net.p["x"][x[t]], h)[0]
+        where = np.flatnonzero((np.arange(wide)[:, None] < left[None, :]).ravel())
         lp = np.zeros(wide * n)
         lp[where] = net.log_probs(states.reshape(-1, net.hidden)[where], y.ravel()[where])[0]
         sums[lane_of] += lp.reshape(wide, n).sum(axis=0)
         on = left > wide
-        lane_of, at, h = lane_of[on], at[on] + wide, h[on]
+        new = np.arange(taken, min(len(some), taken + lanes - int(on.sum())))
+        taken += len(new)
+        lane_of, at = np.concatenate([lane_of[on], new]), np.concatenate([at[on] + wide, np.zeros(len(new), np.int64)])
+        h = np.concatenate([h[on], np.zeros((len(new), net.hidden), np.float32)])
     for (key, _), v in zip(some, sums):
         yield key, float(v) / LN10
