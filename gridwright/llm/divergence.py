@@ -30,28 +30,27 @@ _TO = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of what comes in, pre-aggregated; one row without a term for each (lang, source)."""
+    """(lang, source, term, n, docs) of what comes in, pre-aggregated."""
     n: dict[tuple[str, str], Counter] = {}
     docs: dict[tuple[str, str], Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), own in n.items():
-            terms, within = list(own), docs[lang, source]
-            k = len(terms) + 1
-            cols = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array([None, *(t.decode() for t in terms)], pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([0, *(own[t] for t in terms)], pa.int64()), pa.array([0, *(within[t] for t in terms)], pa.int64())], ["lang", "source", "term", "n", "docs"])
+            within, k = docs[lang, source], len(own)
+            cols = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(list(own), pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(own.values()), pa.int64()), pa.array([within[t] for t in own], pa.int64())], ["lang", "source", "term", "n", "docs"])
         n.clear(), docs.clear()
 
     held = 0
     for b in (p for whole in batches for p in pieces(whole)):
         for text, lang, source in zip(*(c.to_pylist() for c in b.columns)):
-            own = Counter(text.translate(_TO).split())
-            at = n.setdefault((lang, source), Counter())
-            held -= len(at)
-            at.update(own)
-            held += len(at)
-            docs.setdefault((lang, source), Counter()).update(own.keys())
-            if held > 400_000:
+            terms = text.translate(_TO).split()
+            own = n.setdefault((lang, source), Counter())
+            held -= len(own)
+            own.update(terms)
+            held += len(own)
+            docs.setdefault((lang, source), Counter()).update(set(terms))
+            if held > 1_000_000:
                 yield from out()
                 held = 0
     yield from out()
@@ -144,12 +143,13 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     short_batches(docs.sparkSession)
     read = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     units = read.select(F.col("text").cast("binary").alias("text"), "lang", "source").mapInArrow(_units, "lang string, source string, term string, n long, docs long")
-    counts = keep(units.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
-    by_term = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("entries"))
+    # One shuffle, by term, serves both groupings.
+    counts = units.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("entries"))
     kept = keep(by_term.where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "n", "entries", F.floor(F.log2("n")).cast("int").alias("level")), "divergence-kept")
 
     sums = kept.select("lang", F.explode("entries").alias("e")).groupBy("lang", F.col("e.source").alias("source")).agg(F.sum("e.n").alias("n"))
-    sources = counts.where("term is null").select("lang", "source")
+    sources = keep(read.select("lang", "source").distinct(), "divergence-sources")
     per_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("all"))
     of_lang = sources.groupBy("lang").agg(F.count("*").alias("sources")).join(per_lang, "lang", "left").select("lang", "sources", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all", F.lit(0)).alias("all"))
     groups = sources.join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")).unionByName(of_lang.select("lang", F.lit(None).cast("string").alias("source"), F.col("all").alias("n")))
