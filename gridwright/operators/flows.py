@@ -14,6 +14,7 @@ from gridwright.functions import rules
 from gridwright.functions.parsing import section_of
 from gridwright.operators import logs, retrieval, scorers
 from gridwright.operators.matching import matched
+from gridwright.operators.postings import SearchIndex
 
 ANSWER_CHARS, CONTEXT_CHARS, QUESTION_CHARS = 2_000, 35_000, 400
 #: What a scorer is: a column of prompts in, a column of answers out.
@@ -30,7 +31,7 @@ def asked(questions: DataFrame, faq: DataFrame, docs: DataFrame, cache: DataFram
     known = retrieval.faq_by_tokens(questions.select(F.col("query").alias("question"), "text"), faq.select("pos", "entry_text"), least, 1)
     short = known.join(faq.select("pos", "answer"), "pos").select(F.col("question").alias("query"), F.lit("faq").alias("kind"), "answer", F.array().cast("array<string>").alias("sources"))
     open_ = questions.join(short.select("query"), "query", "left_anti")
-    hits = retrieval.top(retrieval.bm25(docs, open_), k, ["query"], [F.desc(F.round("score", 6)), F.asc("id")])
+    hits = SearchIndex.of(docs).top(open_, k)
     fitting = retrieval.within_budget(hits.join(docs, "id"), ["query"], [F.asc("rank")], F.char_length("text"), budget)
     context = fitting.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id"), "text"))).alias("s"))
     ready = open_.join(context, "query").select("query", F.transform("s", lambda x: x["id"]).alias("sources"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("prompt"))
@@ -57,7 +58,7 @@ def article_risks(facts: DataFrame, documents: DataFrame, vectors: DataFrame, ta
     The regulated year is the claim's last one unless ``year`` is given; an article's base is its value of the year
     before, labels by rank. Growth gives a colour; an article without a document of ``documents(claim, doc, text, w)``
     that matches its name or its vector of ``vectors(claim, article, v)`` is at least yellow. Articles without a value
-    in the regulated year are left out.
+    in the regulated year are left out; where a claim's values add up to 0 no article has a share, and risks go by names alone.
     """
     years = facts.groupBy("claim").agg(F.max("period").alias("last")).select("claim", F.when(F.lit(year) > 0, F.lit(year)).otherwise(F.col("last")).alias("now"))
     first = F.min_by("value", F.struct(rules.rank_in(F.col("pf"), rules.PLAN_FACT_RANK), "value"))
@@ -67,7 +68,7 @@ def article_risks(facts: DataFrame, documents: DataFrame, vectors: DataFrame, ta
     grown = rules.growth_color(F.col("base"), F.col("value"), target, margin)
     whole = both.groupBy("claim").agg(F.sum("value").alias("whole"))
     out = both.join(found, ["claim", "article"], "left").join(whole, "claim").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
-    risk, _ = rules.article_risk(F.col("name"), F.col("value") / F.col("whole") * 100)
+    risk, _ = rules.article_risk(F.col("name"), F.try_divide(F.col("value"), F.col("whole")) * 100)
     color = F.when((grown == "green") & (F.col("evidence") == 0), F.lit("yellow")).otherwise(grown)
     return out.select("claim", "article", "name", "base", "value", color.alias("color"), "evidence", risk.alias("inclusion_risk"), rules.risk_level(risk).alias("level"))
 
@@ -93,7 +94,7 @@ def forecast(requests: DataFrame, chunks: DataFrame, decide: Scorer, verify: Sco
     Requests without a hit have no votes.
     """
     queries = requests.select(F.col("request").alias("query"), F.concat_ws(" ", "article", F.left("justification", F.lit(QUESTION_CHARS))).alias("text"))
-    hits = retrieval.top(retrieval.bm25(chunks.select("id", "text"), queries), k, ["query"], [F.desc(F.round("score", 6)), F.asc("id")])
+    hits = SearchIndex.of(chunks.select("id", "text")).top(queries, k)
     near = retrieval.within_budget(hits.join(chunks, "id"), ["query"], [F.asc("rank")], F.char_length("text"), CONTEXT_CHARS)
     told = classified(near.select("query", "file", "pos", "text"), decide, verify)
     votes = logs.majority(told.select(F.struct("query", "file").alias("file"), "decision", "pos", F.col("text").alias("quote")))

@@ -19,17 +19,6 @@ def fresh(cache: DataFrame, now: Column, seconds: int = TTL) -> DataFrame:
     return cache.where(F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` -> ``(term, id, dl, tf)``: what a ranked search needs of the texts, to be written once for each version of them."""
-    t = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
-def version_of(docs: DataFrame) -> DataFrame:
-    """One row ``(n, version)`` that changes with any text: the key under which postings are kept."""
-    return docs.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))).alias("version"))
-
-
 def prefixed(text: Column, kind: str) -> Column:
     """A text as an embedding model wants it: marked as a query or a passage."""
     return F.concat(F.lit({"query": "query: ", "passage": "passage: "}[kind]), F.coalesce(text, F.lit("")))

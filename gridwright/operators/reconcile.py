@@ -69,12 +69,12 @@ def indexed(articles: DataFrame, indices: DataFrame, multiplier: float, default:
 
 
 def top_and_rest(amounts: DataFrame, k: int, rest: str = "other") -> DataFrame:
-    """``amounts(name, amount)``: the k largest and the sum of the rest, with their shares."""
+    """``amounts(name, amount)``: the k largest and the sum of the rest, with their shares, null where all add up to 0."""
     order = F.row_number().over(Window.orderBy(F.desc("amount"), F.asc("name")))
     best = amounts.orderBy(F.desc("amount"), F.asc("name")).limit(k).withColumn("rank", order).select("name", "rank")
     named = amounts.join(F.broadcast(best), "name", "left").withColumn("name", F.when(F.col("rank").isNull(), rest).otherwise(F.col("name")))
     whole = amounts.agg(F.sum("amount").alias("whole"))
-    return named.groupBy("name").agg(F.sum("amount").alias("amount")).crossJoin(F.broadcast(whole)).select("name", "amount", (F.col("amount") / F.col("whole")).alias("share"))
+    return named.groupBy("name").agg(F.sum("amount").alias("amount")).crossJoin(F.broadcast(whole)).select("name", "amount", F.try_divide("amount", "whole").alias("share"))
 
 
 def top_by_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

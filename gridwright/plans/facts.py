@@ -166,7 +166,7 @@ def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("v"))
     a = li.join(part, li.l_partkey == part.p_partkey).groupBy(F.col("p_type").alias("name")).agg(F.sum("v").alias("amount"))
     whole = a.agg(F.sum("amount").alias("whole"))
-    p = a.crossJoin(F.broadcast(whole)).withColumn("percent", F.col("amount") / F.col("whole") * 100)
+    p = a.crossJoin(F.broadcast(whole)).withColumn("percent", F.try_divide("amount", "whole") * 100)
     branches = [(["promo"], 70, 30), (["standard", "small"], 40, 85), (["econom"], 15, 95)]
     i, e = rules.article_risk(F.col("name"), F.col("percent"), branches)
     return p.select("name", "amount", "percent", i.alias("inclusion"), e.alias("exclusion"))
@@ -179,7 +179,7 @@ r AS (SELECT *, CASE WHEN contains(low, 'promo') THEN 70 WHEN contains(low, 'sta
 f AS (SELECT sum((CASE WHEN percent > 20 THEN least(100, i + 15) ELSE i END) * amount) / sum(amount) AS weighted FROM r)
 SELECT round(weighted, 3) AS weighted, round(weighted * 0.7 + 20 * 0.3, 1) AS final, CASE WHEN weighted * 0.7 + 6 >= 70 THEN 'red' WHEN weighted * 0.7 + 6 >= 40 THEN 'yellow' ELSE 'green' END AS level FROM f""")
 def application_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _risks(spark, sf_dir).agg((F.sum(F.col("inclusion") * F.col("amount")) / F.sum("amount")).alias("w"))
+    w = _risks(spark, sf_dir).agg(F.try_divide(F.sum(F.col("inclusion") * F.col("amount")), F.sum("amount")).alias("w"))
     final = F.col("w") * 0.7 + F.lit(100 - 80) * 0.3
     return w.select(F.round("w", 3).alias("weighted"), F.round(final, 1).alias("final"), rules.risk_level(final).alias("level"))
 

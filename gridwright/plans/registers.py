@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import parsing
 from gridwright.operators import chunking, flows, knowledge, matching, registers
+from gridwright.operators.postings import SearchIndex
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
 
@@ -270,8 +271,8 @@ def cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[а-яёa-z0-9]+') AS t FROM documents), p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t)
 SELECT id, CAST(dl AS INTEGER) AS dl, count(DISTINCT term) AS terms, count(*) AS tf FROM p GROUP BY id, dl""")
 def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of all documents, summed up by document."""
-    p = knowledge.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    """The kept postings of all documents, summed up by document."""
+    p = SearchIndex.of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).postings()
     return p.groupBy("id", "dl").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import text as tx
 from gridwright.operators import retrieval as rt
+from gridwright.operators.postings import SearchIndex
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
 
@@ -36,17 +37,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _bm25(spark: SparkSession, sf_dir: str, rows: list[tuple[int, str]]) -> DataFrame:
-    return rt.bm25(_docs(spark, sf_dir), spark.createDataFrame(rows, "query int, text string")).where("score <> 0")
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    return rt.top(scored, k, ["query"], [F.desc(F.round("score", 6)), F.asc("id")])
+def _ranked(spark: SparkSession, sf_dir: str, rows: list[tuple[int, str]], k: int) -> DataFrame:
+    return SearchIndex.of(_docs(spark, sf_dir)).top(spark.createDataFrame(rows, "query int, text string"), k)
 
 
 @query(_with_queries([(0, WORDS)]) + " SELECT id AS doc_id, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1 AS INTEGER) AS rank FROM bm25 ORDER BY rank LIMIT 10")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(_bm25(spark, sf_dir, [(0, WORDS)]), 10).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
+    return _ranked(spark, sf_dir, [(0, WORDS)], 10).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
 
 
 @query("""
@@ -100,7 +97,7 @@ b AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1 AS r
 SELECT coalesce(a.id, b.id) AS doc_id, round(coalesce(1.0 / (61 + a.r), 0) + coalesce(0.5 / (61 + b.r), 0), 6) AS score FROM a FULL JOIN b ON a.id = b.id""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector list and the BM25 list, fused by rank; a document and the vector of its number are one chunk."""
-    fused = rt.fuse(_near(spark, sf_dir, 20).select(F.lit(0).alias("query"), "id", "rank"), _ranked(_bm25(spark, sf_dir, [(0, WORDS)]), 20).select("query", "id", "rank"), 0.5)
+    fused = rt.fuse(_near(spark, sf_dir, 20).select(F.lit(0).alias("query"), "id", "rank"), _ranked(spark, sf_dir, [(0, WORDS)], 20).select("query", "id", "rank"), 0.5)
     return fused.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -110,7 +107,7 @@ b AS (SELECT id, score, variant, row_number() OVER (PARTITION BY id ORDER BY sco
 SELECT id AS doc_id, round(score, 4) AS score, variant FROM b WHERE k = 1""")
 def multi_variant_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of several wordings of a question, each document once with its best."""
-    hits = _ranked(_bm25(spark, sf_dir, VARIANTS), 30).select(F.col("query").alias("variant"), "id", F.round("score", 6).alias("score"))
+    hits = _ranked(spark, sf_dir, VARIANTS, 30).select(F.col("query").alias("variant"), "id", F.round("score", 6).alias("score"))
     return rt.best_of_variants(hits).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "variant")
 
 
@@ -247,8 +244,32 @@ f AS (SELECT p.id, d.lang, (CAST(list_contains(t.t, 'licensed') AS INT) + CAST(l
 SELECT id AS doc_id, round(s, 4) AS rerank_score FROM f ORDER BY s DESC, id LIMIT 20""")
 def pooled_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pool of 60 by BM25, filtered by language, ordered anew by the stand-in scorer, the best 20."""
-    pool = _ranked(_bm25(spark, sf_dir, [(0, WORDS)]), 60)
+    pool = _ranked(spark, sf_dir, [(0, WORDS)], 60)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     kept = pool.join(docs, "id").where(rt.where_metadata({"lang": ["en"]}))
     best = rt.rerank(kept, rt.term_overlap(F.col("text"), F.lit(WORDS)), 20)
     return best.select(F.col("id").alias("doc_id"), F.round("rerank_score", 4).alias("rerank_score"))
+
+
+PHRASES = [(0, "General Public License"), (1, "without warranty"), (2, "of the"), (3, "the the")]
+
+
+@query("WITH phrases(query, i, term, size) AS (VALUES " + ", ".join(f"({q}, {i}, '{w}', {len(p.split())})" for q, p in PHRASES for i, w in enumerate(p.lower().split())) + """),
+t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[а-яёa-z0-9]+') AS t FROM documents),
+places AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS place FROM t),
+begins AS (SELECT query, id, place - i AS b FROM places JOIN phrases USING (term) GROUP BY query, id, place - i, size HAVING count(*) = size)
+SELECT query, id AS doc_id, count(*) AS hits, CAST(min(b) AS INTEGER) AS first FROM begins GROUP BY query, id""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have the words of a phrase one behind the other, by places in the kept index."""
+    found = SearchIndex.of(_docs(spark, sf_dir)).phrases(spark.createDataFrame(PHRASES, "query int, text string"))
+    return found.select("query", F.col("id").alias("doc_id"), "hits", "first")
+
+
+@query("""
+WITH queries(query, q) AS (SELECT item_id, text FROM benchmark),""" + _BM25 + """,
+r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM bm25 WHERE score <> 0)
+SELECT query, id AS doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 5""")
+def bm25_batch_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents that BM25 ranks first for every benchmark item, with all its words: one job, whatever the number of items."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return SearchIndex.of(_docs(spark, sf_dir)).top(items, 5).select("query", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
