@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import text as tx
@@ -123,7 +123,7 @@ def prefilter_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter before the top k."""
     all_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     kept = all_.where(rt.where_metadata({"label": [1, 2]})).select("id", "v")
-    return rt.nearest(kept, all_.where("id = 0").select(F.lit(0).alias("query"), F.col("v").alias("q")), 50).select(F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
+    return rt.nearest(all_, all_.where("id = 0").select(F.lit(0).alias("query"), F.col("v").alias("q")), 50, rt.where_metadata({"label": [1, 2]})).select(F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
 
 
 @query("WITH" + _COSINE + """, n AS (SELECT label, avg(score) AS s, count(*) AS n FROM cosines GROUP BY label)
@@ -251,6 +251,24 @@ def pooled_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), F.round("rerank_score", 4).alias("rerank_score"))
 
 
+@query("""
+WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.id AS query, v.id, v.label, list_cosine_similarity(v.v, q.v) AS score FROM v JOIN v q ON q.id % 20 = 0 WHERE v.label IN (0, 1) OR v.label = 2 AND v.id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, label = 2 ORDER BY round(score, 9) DESC, id) AS k FROM s)
+SELECT query, id AS vec_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS INTEGER) AS rank FROM r WHERE k <= CASE WHEN label = 2 THEN 5 ELSE 10 END""")
+def two_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections with filters and sizes of their own, searched in one index for every query, and their finds in one order."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    one, other = rt.nearest(v, asked, 10, F.col("label").isin(0, 1)), rt.nearest(v, asked, 5, F.expr("label = 2 and id % 3 = 0"))
+    return _merged(one.unionByName(other))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
+    return found.select("query", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"), (F.row_number().over(w) - 1).alias("rank"))
+
+
 PHRASES = [(0, "General Public License"), (1, "without warranty"), (2, "of the"), (3, "the the")]
 
 
