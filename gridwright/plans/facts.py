@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import rules
-from gridwright.functions.similarity import one_edit
+from gridwright.functions.similarity import candidates, one_edit
 from gridwright.operators import logs, reconcile, sheets
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
@@ -353,3 +353,13 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = p.where("name is not null").groupBy("name").agg(F.max("p_partkey").alias("last"))
     best = one_edit(last.select("name")).join(last.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.max("last").alias("last"))
     return p.join(best, "name").where("p_partkey < last").select("p_partkey")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part)
+SELECT a.name, b.name AS other FROM n a JOIN n b ON a.name < b.name
+WHERE 2 * least(length(a.name), length(b.name)) >= 0.749999999 * (length(a.name) + length(b.name)) AND levenshtein(lower(a.name), lower(b.name)) <= 0.250000001 * (length(a.name) + length(b.name))""")
+def alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that lengths and edits allow to be three quarters alike, met on their rarest bigrams."""
+    names = table(spark, sf_dir, "part").select(F.lit(0).alias("key"), F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
+    return candidates(names, 0.75).where("name < other").select("name", "other")
