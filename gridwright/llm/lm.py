@@ -83,22 +83,23 @@ class Vocabulary:
         self.tail_n, self.tail_v = np.array(tail_n, float), np.array(tail_v, float)
 
     def coder(self):
-        """A function from a block of words to (symbols, known, base sum, tail sum, words that the dictionary lacks)."""
+        """A function from words to (symbols, base and tail shares of each word, places of the words that the dictionary lacks)."""
         code = {w: i for i, w in enumerate(self.words)}
         last, other, k = self.tails, self.other, self.frequent
         kinds = np.array([last.get(w[-2:], other) for w in self.words], np.int64)
-        symbol = np.where(np.arange(len(self.words)) < k, np.arange(len(self.words)), k + kinds)
-        base = np.log10((self.counts + 1) / (self.n + self.v + 1))
-        tail = np.where(np.arange(len(self.words)) < k, 0.0, np.log10((self.counts + 1) / (self.tail_n[kinds] + self.tail_v[kinds] + 1)))
+        place = np.arange(len(self.words))
+        # What the dictionary lacks has code -1, the last row: no share here.
+        symbol = np.append(np.where(place < k, place, k + kinds), 0).astype(np.uint16)
+        base = np.append(np.log10((self.counts + 1) / (self.n + self.v + 1)), 0.0)
+        tail = np.append(np.where(place < k, 0.0, np.log10((self.counts + 1) / (self.tail_n[kinds] + self.tail_v[kinds] + 1))), 0.0)
 
-        def run(words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
+        def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
             at = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
             gaps = np.flatnonzero(at < 0)
-            lacking = [words[i] for i in gaps]
-            known = at[at >= 0]
-            out = symbol[at] if len(self.words) else np.zeros(len(at), np.int64)
-            out[gaps] = [k + last.get(w[-2:], other) for w in lacking]
-            return out.astype(np.uint16), len(known), float(base[known].sum()), float(tail[known].sum()), lacking
+            places = gaps.tolist()
+            out = symbol[at]
+            out[gaps] = [k + last.get(words[i][-2:], other) for i in places]
+            return out, base[at], tail[at], places
 
         return run
 
@@ -129,6 +130,37 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 _CODED = "key long, part int, n_tokens long, known long, base double, tail double, ids binary, rare_word array<binary>, rare_n array<int>, rare_kind array<int>"
 
 
+class _Texts:
+    """Texts of a batch on their way to symbols: words of several are looked up at once, long texts in several turns."""
+
+    def __init__(self, coder, n: int):
+        self.coder, self.ids, self.lacking = coder, [[] for _ in range(n)], [Counter() for _ in range(n)]
+        self.sums = np.zeros((n, 4))  # tokens, known, base, tail
+        self.words: list[bytes] = []
+        self.begins: list[tuple[int, int]] = []
+
+    def add(self, row: int, words: list[bytes]) -> None:
+        if words:
+            self.begins.append((row, len(self.words)))
+            self.words += words
+            if len(self.words) > 50_000:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.words:
+            return
+        out, base, tail, gaps = self.coder(self.words)
+        rows, at = (np.array(x) for x in zip(*self.begins))
+        ends = np.append(at[1:], len(out))
+        cut = np.searchsorted(gaps, np.append(at, len(out))).tolist()
+        known = (ends - at) - np.diff(cut)
+        np.add.at(self.sums, rows, np.stack([ends - at, known, np.add.reduceat(base, at), np.add.reduceat(tail, at)], axis=1))
+        for i, (row, a) in enumerate(self.begins):
+            self.ids[row].append(out[a : ends[i]])
+            self.lacking[row].update([self.words[j] for j in gaps[cut[i] : cut[i + 1]]])
+        self.words, self.begins = [], []
+
+
 def _coded(vocab) -> object:
     """Texts as symbols, with sums over the dictionary's words, and the other words with counts and tail classes."""
 
@@ -136,31 +168,20 @@ def _coded(vocab) -> object:
         v: Vocabulary = vocab.value
         coder = v.coder()
         for b in (p for whole in batches for p in pieces(whole)):
-            rows = []
-            flat_word, flat_n, flat_kind, offsets = [], [], [], [0]
-            for text in b.column(2).to_pylist():
-                ids, known, base, tail, lacking = [], 0, 0.0, 0.0, Counter()
-                blocks = word_blocks(text or b"")
-                words = next(blocks)
-                while words is not None:
-                    after = next(blocks, None)
-                    if after is None:
-                        words.append(b"")
-                    out, k, x, y, gaps = coder(words)
-                    ids.append(out)
-                    known, base, tail = known + k, base + x, tail + y
-                    lacking.update(gaps)
-                    words = after
-                ids = ids[0] if len(ids) == 1 else np.concatenate(ids)
-                rows.append((len(ids), known, base, tail, ids.tobytes()))
-                flat_word.extend(lacking.keys())
-                flat_n.extend(lacking.values())
-                offsets.append(len(flat_word))
+            texts = _Texts(coder, b.num_rows)
+            for row, text in enumerate(b.column(2).to_pylist()):
+                for words in word_blocks(text or b""):
+                    texts.add(row, words)
+                texts.add(row, [b""])
+            texts.flush()
+            flat_word = [w for c in texts.lacking for w in c]
+            flat_n = [n for c in texts.lacking for n in c.values()]
             flat_kind = [v.tails.get(w[-2:], v.other) for w in flat_word]
-            at = pa.array(offsets, pa.int32())
+            at = pa.array(np.append(0, np.cumsum([len(c) for c in texts.lacking])), pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((flat_word, pa.binary()), (flat_n, pa.int32()), (flat_kind, pa.int32()))]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            counts = [pa.array(texts.sums[:, i].astype(np.int64)) for i in (0, 1)]
+            ids = pa.array([x[0].tobytes() if len(x) == 1 else np.concatenate(x).tobytes() for x in texts.ids], pa.binary())
+            own = [*counts, pa.array(texts.sums[:, 2]), pa.array(texts.sums[:, 3]), ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, *lists, *b.columns[3:]], ["key", "part", "n_tokens", "known", "base", "tail", "ids", "rare_word", "rare_n", "rare_kind", *b.schema.names[3:]])
 
     return run

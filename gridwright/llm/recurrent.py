@@ -134,9 +134,11 @@ class Network:
             kept.append(out)
             h = out[0]
         at = np.flatnonzero(live.ravel())
-        lp, d = self.log_probs(np.concatenate([o[0] for o in kept])[at], y.ravel()[at], grads)
-        dh_out = np.zeros((steps * lanes, k), np.float32)
-        dh_out[at] = d
+        states, whole = np.concatenate([o[0] for o in kept]), len(at) == steps * lanes
+        lp, d = self.log_probs(states if whole else states[at], y.ravel() if whole else y.ravel()[at], grads)
+        dh_out = d if whole else np.zeros((steps * lanes, k), np.float32)
+        if not whole:
+            dh_out[at] = d
         dh_out = dh_out.reshape(steps, lanes, k)
         gates = np.empty((steps, lanes, 3 * k), np.float32)
         recurrent = np.empty_like(gates)
@@ -303,8 +305,11 @@ def _scored(net: Network, some: list[tuple[object, np.ndarray]], lanes: int, ste
         for t in range(wide):
             states[t] = h = net.step(net.p["x"][x[t]], h)[0]
         where = np.flatnonzero((np.arange(wide)[:, None] < left[None, :]).ravel())
-        lp = np.zeros(wide * n)
-        lp[where] = net.log_probs(states.reshape(-1, net.hidden)[where], y.ravel()[where])[0]
+        lp, flat = np.zeros(wide * n), states.reshape(-1, net.hidden)
+        if len(where) == len(lp):
+            lp[:] = net.log_probs(flat, y.ravel())[0]
+        else:
+            lp[where] = net.log_probs(flat[where], y.ravel()[where])[0]
         sums[lane_of] += lp.reshape(wide, n).sum(axis=0)
         on = left > wide
         new = np.arange(taken, min(len(some), taken + lanes - int(on.sum())))
