@@ -54,3 +54,26 @@ def without(store: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """The page of so many rows, counted from 1."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def amended(lines: DataFrame, updates: DataFrame, field: str, key: str = "id") -> DataFrame:
+    """``lines(line)`` of a JSON-lines log with ``field`` set in the records that ``updates(key, value)`` names, the rest of each record kept.
+
+    Lines that are no JSON object, or that no update names, come back as they are, to the letter; blank ones are left out.
+    A null value takes the field away. Several updates of one key: the last in the order of their values as JSON.
+    """
+    value = F.max(F.to_json(F.struct("value"))).alias("json")
+    last = updates.where("key is not null").groupBy(F.col("key").cast("string").alias("key")).agg(value)
+    parsed = lines.where(F.trim("line") != "").withColumns({"_v": F.try_parse_json("line"), "_k": F.get_json_object("line", f"$.{key}")})
+    met = parsed.join(last, parsed._k == last.key, "left")
+    others = F.map_filter(F.try_variant_get("_v", "$", "map<string,variant>"), lambda k, _: k != field)
+    new = F.try_variant_get(F.parse_json("json"), "$.value", "variant")
+    record = F.when(new.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(field), new)))
+    return met.select(F.when(F.col("json").isNotNull() & others.isNotNull(), F.to_json(record)).otherwise(F.col("line")).alias("line"))
+
+
+def unlisted(lines: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """``lines(line)`` without the records whose key is in ``gone(key)``; malformed lines stay."""
+    named = lines.withColumn("_k", F.get_json_object("line", f"$.{key}"))
+    ids = gone.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+    return named.join(ids, named._k == ids.key, "left_anti").select("line")

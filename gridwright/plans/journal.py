@@ -165,3 +165,20 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures that the streaming form gives by window (an extension)."""
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
     return table(spark, sf_dir, "events").groupBy(hour.alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, turn % 3 = 2 AS broken, turn = 0 AND conv_id % 2 = 0 AS asked FROM conversations)
+SELECT CASE WHEN broken THEN NULL ELSE conv_id * 100 + turn END AS id, md5(coalesce(text, '')) AS text_md5, CASE WHEN NOT broken AND asked THEN 2 ELSE 0 END AS clarifications, broken FROM c""")
+def log_amended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a log with malformed lines, clarifications set in some records: every other line is there as it was."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    record = F.to_json(F.struct((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"))
+    lines = c.select(F.when(F.col("turn") % 3 == 2, F.concat(F.lit("{broken "), F.hex("text"))).otherwise(record).alias("line"))
+    two = F.array(F.struct(F.lit("q").alias("query")), F.struct(F.lit("r").alias("query")))
+    updates = c.where("turn = 0 and conv_id % 2 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), two.alias("value"))
+    done = logs.amended(lines, updates, "clarifications")
+    broken = F.col("line").startswith("{broken ")
+    r = F.from_json("line", "id long, text string, clarifications array<struct<query:string>>")
+    text = F.when(broken, F.unhex(F.substring("line", 9, 1 << 30)).cast("string")).otherwise(r["text"])
+    return done.select(F.when(~broken, r["id"]).alias("id"), F.md5(text).alias("text_md5"), F.when(broken, 0).otherwise(F.coalesce(F.size(r["clarifications"]), F.lit(0))).alias("clarifications"), broken.alias("broken"))

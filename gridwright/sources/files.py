@@ -54,10 +54,15 @@ def raw_lines(docs: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
 
 
 def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines log; malformed lines are left out."""
+    """A JSON-lines log to be looked at; malformed lines are left out, so it is no base for a rewrite (``log_lines`` is)."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The ``line``s of a JSON-lines log as they are, malformed ones too: what an update reads and writes back."""
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def csv_table(spark: SparkSession, path: str, encoding: str = "windows-1251", separator: str = ";") -> DataFrame:
     """A CSV with a header; all columns text. The encoding is windows-1251 or one of Spark's."""
     cyrillic = encoding == "windows-1251"

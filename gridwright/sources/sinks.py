@@ -21,6 +21,11 @@ def append_log(rows: DataFrame, path: str, per_file: int = 1000) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", per_file).json(path)
 
 
+def rewrite_log(lines: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Write ``lines(line)`` as a log of so many lines a file, to a folder other than the one they are read from."""
+    lines.select("line").write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """Semicolon-separated text with a header."""
     rows.write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
