@@ -178,3 +178,12 @@ def test_names_one_edit_apart(spark):
     def near(a, b):
         return a == b or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
     assert got == sorted((a, b) for a in names for b in names if a is not None and b is not None and near(a, b))
+
+
+def test_sums_of_zero_have_no_shares(spark):
+    facts = spark.createDataFrame([(1, a, f"статья {a}", y, "план", v) for a, y, v in (("1", 2024, 5.0), ("2", 2024, -5.0), ("1", 2023, 4.0))], "claim int, article string, name string, period int, pf string, value double")
+    none = spark.createDataFrame([], "claim int, doc int, text string, w array<double>"), spark.createDataFrame([], "claim int, article string, v array<double>")
+    assert sorted((r.article, r.value, r.inclusion_risk is not None) for r in flows.article_risks(facts, *none).collect()) == [("1", 5.0, True), ("2", -5.0, True)]
+    from gridwright.operators.reconcile import top_and_rest
+
+    assert {r.share for r in top_and_rest(spark.createDataFrame([("a", 5.0), ("b", -5.0)], "name string, amount double"), 1).collect()} == {None}
