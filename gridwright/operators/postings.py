@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -183,15 +186,32 @@ def _opened(docs: DataFrame, path: str) -> SearchIndex | None:
     return SearchIndex(docs.sparkSession, path, r.n, r.words, r.mean_idf, list(r.segments), docs.schema["id"].dataType.simpleString(), False) if r else None
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row, id, t)`` with a text's tokens -> ``(term, id, row, dl, places)``: tokens sorted by text and term, in columns, never one by one."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 512):
+            row, id_, t = whole.slice(a, 512).columns
+            n, coded = t.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.flatten().dictionary_encode()
+            text = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key = text * max(1, len(coded.dictionary)) + codes
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            of, what = pa.array(text[order[begins]]), pa.array(codes[order[begins]])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(what), id_.take(of), row.take(of), pa.array(n, pa.int32()).take(of), places], ["term", "id", "row", "dl", "places"])
+
+
 def _built(docs: DataFrame, path: str, n: int, before: SearchIndex | None) -> SearchIndex:
     """Write the segment of ``docs``, all there are or those new since ``before``, then terms, then totals."""
     spark, id_type = docs.sparkSession, docs.schema["id"].dataType.simpleString()
     segment = f"{path}/segment-{uuid.uuid4().hex}"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    each = rows.select("row", "id", F.size("t").alias("dl"), F.posexplode("t").alias("place", "term"))
-    dealt = each.withColumns({"bucket": bucket(F.col("term")), "slot": F.pmod("row", F.lit(SLOTS))}).repartition("bucket", "slot")  # the only shuffle
-    posting = dealt.groupBy("bucket", "slot", "row", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    posting.select("term", "id", "row", "dl", "tf", "places", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{segment}/postings")
+    each = rows.mapInArrow(_by_term, f"term string, id {id_type}, row long, dl int, places array<int>").withColumn("bucket", bucket(F.col("term")))
+    dealt = each.repartition("bucket", F.pmod("row", F.lit(SLOTS)))  # the only shuffle: a row for each document and term
+    posting = dealt.select("term", "id", "row", "dl", F.size("places").alias("tf"), "places", "bucket")
+    posting.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{segment}/postings")
     docs.select("id", F.xxhash64("id", "text").alias("h")).write.parquet(f"{segment}/docs")
     segments = [*(before.segments if before else []), segment]
     kept = SearchIndex(spark, path, n, 0, 0.0, segments, id_type, True)
