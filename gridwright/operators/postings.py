@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from gridwright.sources.scratch import keep, shared_dir
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 BUCKETS, SLOTS = 16, 4  # folders of a segment, and parts that a folder's documents are dealt to, so that a frequent word's postings are split
+FORMAT = 2  # of what is written: an index of another one is not read
 PUSHED = 2_000  # terms that are pushed into the scan by name; beyond them the join alone selects
 SLACK = 1e-5  # scores are ranked by six digits, so what is this close below the k-th is not skipped
 _POSTING = "term string, id {id}, row long, dl int, tf int, places array<int>"
@@ -36,7 +38,7 @@ def version_of(docs: DataFrame) -> DataFrame:
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
 
 
 def _share(tf: Column, dl: Column, mean: float) -> Column:
@@ -45,7 +47,7 @@ def _share(tf: Column, dl: Column, mean: float) -> Column:
 
 
 def _path(docs: DataFrame, version: str) -> str:
-    return f"{shared_dir(docs.sparkSession)}/gridwright/search/{docs.schema['id'].dataType.simpleString()}-{version}"
+    return f"{shared_dir(docs.sparkSession)}/gridwright/search-{FORMAT}/{docs.schema['id'].dataType.simpleString()}-{version}"
 
 
 class SearchIndex:
@@ -187,7 +189,10 @@ def _opened(docs: DataFrame, path: str) -> SearchIndex | None:
 
 
 def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(row, id, t)`` with a text's tokens -> ``(term, id, row, dl, places)``: tokens sorted by text and term, in columns, never one by one."""
+    """``(row, id, t)`` with a text's tokens -> a row for each text and bucket: its terms, their counts, and the places of all one behind the other.
+
+    Tokens are sorted by text, bucket and term in columns, never one by one.
+    """
     for whole in batches:
         for a in range(0, whole.num_rows, 512):
             row, id_, t = whole.slice(a, 512).columns
@@ -195,12 +200,20 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            key = text * max(1, len(coded.dictionary)) + codes
-            order = np.argsort(key, kind="stable")
-            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
-            places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-            of, what = pa.array(text[order[begins]]), pa.array(codes[order[begins]])
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(what), id_.take(of), row.take(of), pa.array(n, pa.int32()).take(of), places], ["term", "id", "row", "dl", "places"])
+            buckets = np.array([zlib.crc32(w.encode()) % BUCKETS for w in coded.dictionary.to_pylist()], np.int64)
+            group = text * BUCKETS + buckets[codes]
+            order = np.lexsort([codes, group])  # stable, so places stay in order
+            g, c = group[order], codes[order]
+            rows = np.flatnonzero(np.diff(g, prepend=-1))  # first tokens of a text and bucket
+            terms = np.flatnonzero((np.diff(g, prepend=-1) != 0) | (np.diff(c, prepend=-1) != 0))  # and of a term in it
+            cut = np.append(np.searchsorted(terms, rows), len(terms))
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            of = g[rows] // BUCKETS
+            begins = terms - np.repeat(rows, np.diff(cut))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(g[rows] % BUCKETS, pa.int32()), id_.take(pa.array(of)), row.take(pa.array(of)), pa.array(n[of], pa.int32()), lists(cut, coded.dictionary.take(pa.array(c[terms]))),
+                lists(cut, pa.array(np.diff(np.append(terms, len(g))), pa.int32())), lists(cut, pa.array(begins, pa.int32())), lists(np.append(rows, len(g)), pa.array(place[order], pa.int32())),
+            ], ["bucket", "id", "row", "dl", "terms", "tfs", "begins", "flat"])
 
 
 def _built(docs: DataFrame, path: str, n: int, before: SearchIndex | None) -> SearchIndex:
@@ -208,9 +221,10 @@ def _built(docs: DataFrame, path: str, n: int, before: SearchIndex | None) -> Se
     spark, id_type = docs.sparkSession, docs.schema["id"].dataType.simpleString()
     segment = f"{path}/segment-{uuid.uuid4().hex}"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    each = rows.mapInArrow(_by_term, f"term string, id {id_type}, row long, dl int, places array<int>").withColumn("bucket", bucket(F.col("term")))
-    dealt = each.repartition("bucket", F.pmod("row", F.lit(SLOTS)))  # the only shuffle: a row for each document and term
-    posting = dealt.select("term", "id", "row", "dl", F.size("places").alias("tf"), "places", "bucket")
+    packed = rows.mapInArrow(_by_term, f"bucket int, id {id_type}, row long, dl int, terms array<string>, tfs array<int>, begins array<int>, flat array<int>")
+    dealt = packed.repartition("bucket", F.pmod("row", F.lit(SLOTS)))  # the only shuffle: a row for each document and bucket
+    each = dealt.select("bucket", "id", "row", "dl", "flat", F.explode(F.arrays_zip("terms", "tfs", "begins")).alias("x"))
+    posting = each.select(F.col("x.terms").alias("term"), "id", "row", "dl", F.col("x.tfs").alias("tf"), F.slice("flat", F.col("x.begins") + 1, F.col("x.tfs")).alias("places"), "bucket")
     posting.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{segment}/postings")
     docs.select("id", F.xxhash64("id", "text").alias("h")).write.parquet(f"{segment}/docs")
     segments = [*(before.segments if before else []), segment]
