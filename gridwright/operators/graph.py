@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.text import let
@@ -103,6 +103,61 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _union([*placed, left.withColumn("level", F.lit(-1))])
 
 
+def priority_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(node, deadline, seen)``, ``edges(src, dst)`` -> ``(node, place, cyclic)``: of the nodes whose dependencies have been placed,
+    the one with the earliest deadline comes next, at equal ones the first ``seen``, then the least ``node``. No deadline is the latest.
+
+    Edges say that src depends on dst. Nodes on or behind a cycle come last, in the order in which they were seen. A node
+    given twice counts with its earliest deadline; null nodes, and edges from or to nodes that are not given, count for nothing.
+
+    No queue is kept. The latest of all nodes that others wait for is placed only when nothing else can be, so everything
+    that doesn't depend on it stands before it and its dependents right behind it; the same holds again among those. So a node's
+    place is that of its path: the latest node that it depends on (itself included), the latest of those between that one and itself, and so on
+    down to itself. A node's path is the greatest of its dependencies' paths, less the steps that are earlier than the node, and the node.
+    One join for each level of the graph finds the paths, and a sort of these is the order.
+    """
+    own = F.struct(F.col("deadline").isNull().alias("open"), "deadline", "seen", "node")
+    given = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("deadline").isNull().alias("open"), "deadline", "seen")).alias("k")).select("node", "k.deadline", "k.seen")
+    left = keep(given.select("node", own.alias("own")).withColumn("path", F.array_except(F.array("own"), F.array("own"))), "nodes")
+    known = left.select("node")
+    inside = edges.select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    waits = keep(inside.select("src", "dst"), "edges")
+    placed = []
+    while True:
+        free = left.join(waits.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+        ready = keep(free.select("node", F.concat(F.filter("path", lambda x: x > F.col("own")), F.array("own")).alias("path")), "ready")
+        if ready.isEmpty():
+            break
+        placed.append(ready)
+        before = ready.select(F.col("node").alias("dst"), F.col("path").alias("through"))
+        latest = waits.join(before, "dst").groupBy(F.col("src").alias("node")).agg(F.max("through").alias("through"))
+        rest = left.join(ready.select("node"), "node", "left_anti").join(latest, "node", "left")
+        left = keep(rest.select("node", "own", F.greatest("path", "through").alias("path")), "nodes")
+        waits = keep(waits.join(before.select("dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        if len(placed) == 20:
+            placed = [keep(_union(placed), "placed")]
+    behind = left.select("node", F.array("own").alias("path"), F.struct(F.lit(True).alias("cyclic"), F.col("own.seen").alias("seen")).alias("last"))
+    ahead = [p.select("node", "path", F.struct(F.lit(False).alias("cyclic"), F.lit(None).cast(nodes.schema["seen"].dataType).alias("seen")).alias("last")) for p in placed]
+    return numbered(_union([*ahead, behind]), ["last", "path", "node"]).select("node", F.col("n").alias("place"), F.col("last.cyclic").alias("cyclic"))
+
+
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``n``, their gapless number from 1 in the order of ``by``, which must tell all rows apart.
+
+    A sort over ranges, written; then each range numbers its own rows, behind the rows of the ranges before it. The driver
+    sees a count for each range.
+    """
+    ranges = keep(rows.orderBy(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    ahead, total = [], 0
+    for r, size in sizes:
+        ahead += [F.lit(r), F.lit(total).cast("long")]
+        total += size
+    start = F.create_map(*ahead)[F.col("_range")] if ahead else F.lit(0).cast("long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return ranges.withColumn("n", start + within).drop("_range")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

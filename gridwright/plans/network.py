@@ -70,6 +70,28 @@ def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(nodes, e)
 
 
+@query("WITH RECURSIVE" + _EDGES + """,
+waits AS (SELECT src, dst FROM edges WHERE (src + dst) % 3 = 0 OR src > dst),
+due AS (SELECT c_nationkey AS node, CAST(date_trunc('year', min(o_orderdate)) AS DATE) + CAST(count(*) % 4 AS INTEGER) AS deadline FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+nodes AS (
+  SELECT n_nationkey AS node, row_number() OVER (ORDER BY deadline NULLS LAST, n_nationkey) AS key, coalesce((SELECT list(dst) FROM waits WHERE src = n_nationkey AND dst IN (SELECT n_nationkey FROM nation)), []) AS deps
+  FROM nation LEFT JOIN due ON node = n_nationkey
+), walk(k, done) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.k + 1, list_append(w.done, CAST(arg_min(n.node, n.key) AS BIGINT)) FROM walk w JOIN nodes n ON NOT list_contains(w.done, n.node) AND len(list_filter(n.deps, lambda d: NOT list_contains(w.done, d))) = 0 GROUP BY w.k, w.done
+), best AS (SELECT k, done FROM walk ORDER BY k DESC LIMIT 1),
+placed AS (SELECT unnest(done) AS node, unnest(range(1, k + 1)) AS place FROM best)
+SELECT n.node, coalesce(place, (SELECT k FROM best) + row_number() OVER (PARTITION BY place IS NULL ORDER BY n.node)) AS place, place IS NULL AS cyclic FROM nodes n LEFT JOIN placed p ON p.node = n.node""")
+def filing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in the order of their deadlines, each behind those that its trade depends on; cyclic ones last."""
+    o, c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    due = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("node")).agg(F.date_add(F.trunc(F.min("o_orderdate"), "year"), (F.count("*") % 4).cast("int")).alias("deadline"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")).join(due, "node", "left").select("node", "deadline", F.col("node").alias("seen"))
+    waits = keep(_trade(spark, sf_dir).where("(src + dst) % 3 = 0 or src > dst"), "waits")
+    return graph.priority_order(nodes, waits)
+
+
 @query("""
 WITH RECURSIVE o AS (
   SELECT o_custkey, o_orderkey AS id, CAST(o_orderdate AS DATE) AS deadline, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate) AS k,
