@@ -176,3 +176,41 @@ def summarise_plan(chars: Column, chunk: int = 6000, group: int = 10, direct: in
     groups = F.ceil(n / group).cast("int")
     levels = F.when(n <= 1, 1).when(n <= group, 2).otherwise(3)
     return F.struct(n.alias("chunks"), levels.alias("levels"), F.when(n <= 1, 1).when(n <= group, n + 1).otherwise(n + groups + 1).alias("calls"))
+
+
+# What a model's context allows, in tokens.
+CONTEXT = {"context": 25_000, "map_output": 600, "chunk": 3_000, "reduce_overhead": 1_000, "reduce_answer": 4_000, "chars_per_token": 4, "group": 3}
+SECONDS = {"map": 35, "mid": 60, "reduce": 300}  # a call's usual time
+
+
+def context_plan(chars: Column, limits: dict[str, int] = CONTEXT) -> Column:
+    """How a text of so many characters is summarised within a model's context, as a struct.
+
+    Pieces are as even as the last call allows and no longer than ``chunk``; where their summaries don't fit into it, ``group`` of
+    them are put together in a level between. ``context`` is what the largest call needs, rounded up to a thousand tokens.
+    A null length counts as 0.
+    """
+    n = F.coalesce(chars, F.lit(0)).cast("long")
+    per, out = limits["chars_per_token"], limits["map_output"]
+    fitting = max(1, (limits["context"] - limits["reduce_overhead"] - limits["reduce_answer"]) // out)
+    piece = F.least(F.greatest(F.lit(1), F.floor(F.floor(n / per) / fitting)), F.lit(limits["chunk"])).cast("long")
+    pieces = F.greatest(F.lit(1), F.ceil(n / (piece * per))).cast("long")
+    three = pieces > fitting
+    blocks = F.when(three, F.ceil(pieces / limits["group"])).otherwise(0).cast("long")
+    last = F.when(three, blocks).otherwise(pieces) * out + limits["reduce_overhead"]
+    mapped = piece + out + 200  # the map prompt itself
+    need = F.greatest(mapped, F.greatest(last, mapped) + limits["reduce_answer"])
+    seconds = pieces * SECONDS["map"] + blocks * SECONDS["mid"] + SECONDS["reduce"]
+    return F.struct(
+        (piece * per).alias("piece_chars"), pieces.alias("pieces"), F.when(three, 3).otherwise(2).alias("levels"), blocks.alias("blocks"),
+        (F.ceil(need / 1000) * 1000).cast("long").alias("context"), F.round(seconds / 60, 1).alias("minutes"))
+
+
+def mean_annual_amortization(columns: list[str], start: str = "start", end: str = "end", year: str = "year") -> Column:
+    """An aggregate: the mean of (start + end) / 2 where a table has both columns, else of the year's column, else 0.
+
+    Rows in which a needed value is null count for nothing; without any row left it is null.
+    """
+    if start in columns and end in columns:
+        return F.avg((F.col(f"`{start}`") + F.col(f"`{end}`")) / 2)
+    return F.avg(F.col(f"`{year}`")) if year in columns else F.lit(0.0)

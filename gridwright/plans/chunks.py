@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.functions import rules
 from gridwright.functions import text as tx
-from gridwright.operators import chunking
+from gridwright.operators import chunking, scorers
 from gridwright.plans.registry import query
 from gridwright.sources.files import table
 
@@ -141,3 +142,48 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.lines(_docs(spark, sf_dir).select("doc", F.array_join(marked, "\n").alias("text")))
     cut = chunking.joined(chunking.blocks(rows, F.col("line").rlike(r"^### \d+ ")), ["doc", "block"])
     return cut.select("doc", "block", F.char_length("text").cast("long").alias("chars"))
+
+
+def _within_budget(levels: int) -> str:
+    """SQL of summaries within a budget that need so many levels of putting together at most."""
+    size = lambda t: f"CAST(ceil(length({t}) / 4) AS BIGINT)"
+    ctes = [f"""p AS (SELECT doc_id AS doc, text, unnest(range(greatest((length(text) + 999) // 1000, 1))) AS part FROM documents),
+q AS (SELECT doc, part, substr(text, part * 1000 + 1, 1000) AS piece FROM p),
+w AS (SELECT doc, string_agg(piece, chr(10) ORDER BY part) AS t FROM q GROUP BY doc),
+m1 AS (SELECT doc, part, left(piece, 200) AS s, {size('piece')} AS read, 0 AS calls, 0 AS largest FROM q JOIN w USING (doc) WHERE length(t) > 2000)"""]
+    ends = [f"SELECT doc, left(t, 200) AS s, 1 AS levels, 1 AS calls, {size('t')} AS largest FROM w WHERE length(t) <= 2000"]
+    for k in range(1, levels + 1):
+        ctes.append(f"""
+e{k} AS (SELECT doc, list(s ORDER BY part) AS l, max(calls) + count(*) AS calls, greatest(max(largest), max(read)) AS largest FROM m{k} GROUP BY doc),
+h{k} AS (SELECT doc, list_transform(l, lambda x, i: '=== {'Часть' if k == 1 else 'Блок'} ' || i || '/' || len(l) || ' ===' || chr(10) || x) AS l, calls, largest FROM e{k}),
+g{k} AS (SELECT *, list_reduce(list_transform(l, lambda x: {{'o': CAST([] AS BIGINT[]), 'u': {size("x || '  '")}}}),
+  lambda a, x: CASE WHEN len(a.o) = 0 OR a.u + x.u > 300 THEN {{'o': list_append(a.o, coalesce(a.o[-1], -1) + 1), 'u': x.u}} ELSE {{'o': list_append(a.o, a.o[-1]), 'u': a.u + x.u}} END,
+  {{'o': CAST([] AS BIGINT[]), 'u': CAST(0 AS BIGINT)}}).o AS g FROM h{k}),
+u{k} AS (SELECT *, unnest(range(list_max(g) + 1)) AS part FROM g{k}),
+n{k} AS (SELECT doc, part, array_to_string(list_filter(l, lambda x, i: g[i] = part), chr(10) || chr(10)) AS t, calls, largest, list_max(g) AS final FROM u{k}),
+m{k + 1} AS (SELECT doc, part, left(t, 200) AS s, {size('t')} AS read, calls, largest FROM n{k} WHERE final > 0)""")
+        ends.append(f"SELECT doc, left(t, 200), {k + 1}, calls + 1, greatest(largest, {size('t')}) FROM n{k} WHERE final = 0")
+    return f"WITH {','.join(ctes)} SELECT doc, md5(s) AS summary_md5, CAST(levels AS INTEGER) AS levels, CAST(calls AS BIGINT) AS calls, CAST(largest AS BIGINT) AS largest FROM ({' UNION ALL '.join(ends)})"
+
+
+@query(_within_budget(6))
+def budget_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document summarised in calls of 300 tokens at most, with answers of 50, by the stand-in that gives a text's beginning."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("text") / 1000).cast("int") - 1, F.lit(0)))
+    parts = _docs(spark, sf_dir).select("doc", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * 1000 + 1, F.lit(1000)))).alias("part", "piece"))
+    made = scorers.summarised_within(parts, "head", budget=300, out=50, direct=500)
+    return made.select("doc", F.md5("summary").alias("summary_md5"), "levels", "calls", "largest")
+
+
+@query("""
+WITH s AS (SELECT source, lang, sum(length(text)) AS n FROM documents GROUP BY 1, 2),
+a AS (SELECT *, CAST(least(greatest(1, (n // 4) // 33), 3000) AS BIGINT) AS piece FROM s),
+b AS (SELECT *, greatest(1, CAST(ceil(n / (piece * 4)) AS BIGINT)) AS pieces FROM a),
+c AS (SELECT *, CASE WHEN pieces > 33 THEN CAST(ceil(pieces / 3) AS BIGINT) ELSE 0 END AS blocks FROM b),
+d AS (SELECT *, greatest(piece + 800, greatest(CASE WHEN pieces > 33 THEN blocks ELSE pieces END * 600 + 1000, piece + 800) + 4000) AS need FROM c)
+SELECT source, lang, piece * 4 AS piece_chars, pieces, CAST(CASE WHEN pieces > 33 THEN 3 ELSE 2 END AS INTEGER) AS levels, blocks, CAST((need + 999) // 1000 * 1000 AS BIGINT) AS context,
+  round((pieces * 35 + blocks * 60 + 300) / 60, 1) AS minutes FROM d""")
+def context_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a summary of all the texts of each source and language would take."""
+    n = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum(F.char_length("text")).alias("n"))
+    return n.select("source", "lang", rules.context_plan(F.col("n")).alias("p")).select("source", "lang", "p.*")

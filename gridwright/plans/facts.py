@@ -363,3 +363,13 @@ def alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts that lengths and edits allow to be three quarters alike, met on their rarest bigrams."""
     names = table(spark, sf_dir, "part").select(F.lit(0).alias("key"), F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
     return candidates(names, 0.75).where("name < other").select("name", "other")
+
+
+@query("""
+SELECT l_suppkey AS suppkey, round(avg((l_extendedprice + l_extendedprice * (1 - l_discount)) / 2), 2) AS mean_annual, round(avg(l_tax * l_extendedprice), 2) AS by_year, 0.0::DOUBLE AS without
+FROM lineitem GROUP BY 1""")
+def mean_amortization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean annual amount of each supplier's lines, by their columns: start and end, a year's, or none."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_extendedprice").alias("start"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("end"), (F.col("l_tax") * F.col("l_extendedprice")).alias("year"))
+    mean = rules.mean_annual_amortization
+    return lines.groupBy("suppkey").agg(F.round(mean(lines.columns), 2).alias("mean_annual"), F.round(mean(["year"]), 2).alias("by_year"), mean([]).alias("without"))

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from gridwright.operators import graph
+from gridwright.functions import rules
+from gridwright.operators import graph, scorers
 
 
 def queued(nodes, edges):
@@ -35,3 +37,35 @@ def test_priority_order_of_odd_input(spark):
     edges = spark.createDataFrame([("c", "b"), ("a", "a"), (None, "c"), ("c", None)], "src string, dst string")
     assert [(r.node, r.place, r.cyclic) for r in graph.priority_order(nodes, edges).orderBy("place").collect()] == [("b", 1, False), ("c", 2, False), ("a", 3, True)]
     assert graph.priority_order(nodes.limit(0), edges).count() == 0
+
+
+def test_packed(spark):
+    rng = random.Random(7)
+    for _ in range(5):
+        sizes, budget = [rng.randrange(1, 40) for _ in range(rng.randrange(0, 30))], 50
+        want, used = [], 0
+        for x in sizes:
+            new = not want or used + x > budget
+            want.append((want[-1] + 1 if want else 0) if new else want[-1])
+            used = x if new else used + x
+        assert spark.range(1).select(scorers.packed(F.lit(sizes).cast("array<long>"), budget)).first()[0] == want
+    assert spark.range(1).select(scorers.packed(F.array(F.lit(9), F.lit(1), F.lit(1)).cast("array<long>"), 3)).first()[0] == [0, 1, 1]
+
+
+def test_summaries_keep_to_the_budget(spark):
+    rows = [("long", i, f"{i:03d} " + "x" * (50 + i)) for i in range(90)] + [("short", 0, "one"), ("short", 1, None), ("empty", 0, "")]
+    got = {r.doc: r for r in scorers.summarised_within(spark.createDataFrame(rows, "doc string, part int, piece string"), "echo", budget=60, out=20, direct=30).collect()}
+    assert got["short"].summary == "one\n" and got["short"].calls == got["short"].levels == 1 and got["empty"].summary == ""
+    long = got["long"]
+    assert long.largest <= 60 and len(long.summary) <= 80 and long.summary.startswith("=== Блок 1/2 ===\n") and long.levels > 4 and long.calls > 90 + 45
+    with pytest.raises(ValueError):
+        scorers.summarised_within(spark.createDataFrame(rows, "doc string, part int, piece string"), budget=30, out=20)
+    assert scorers.summarised_within(spark.createDataFrame([], "doc string, part int, piece string")).count() == 0
+
+
+def test_mean_amortization_of_odd_rows(spark):
+    t = spark.createDataFrame([(1.0, 3.0, 9.0), (None, 5.0, 11.0)], "start double, end double, year double")
+    mean = rules.mean_annual_amortization
+    assert t.agg(mean(t.columns)).first()[0] == 2.0 and t.agg(mean(["year"])).first()[0] == 10.0 and t.agg(mean(["x"])).first()[0] == 0.0
+    assert t.limit(0).agg(mean(t.columns)).first()[0] is None
+    assert rules.context_plan(F.lit(None).cast("int")) is not None and spark.range(1).select(rules.context_plan(F.lit(None).cast("int"))["pieces"]).first()[0] == 1
