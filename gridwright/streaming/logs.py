@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
+
+from gridwright.operators.knowledge import TTL
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
@@ -63,6 +66,57 @@ def without_thoughts(deltas: DataFrame, repeats: int = 20) -> DataFrame:
     return deltas.groupBy("request").applyInPandasWithState(step, "request string, seq long, shown string, stopped boolean", "held string, inside boolean, last string, run int, stopped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def sound(answer: str | None, window: int = 10, distinct: int = 2, shortest: int = 20) -> bool:
+    """Whether an answer may be kept: long enough, and no window of words with so few different ones (as ``text.repeats_itself`` says of columns)."""
+    words = (answer or "").split()
+    poor = any(len(set(words[i : i + window])) <= distinct for i in range(len(words) - window + 1)) if len(words) > window else False
+    return len((answer or "").strip()) >= shortest and not poor
+
+
+class AnswerCache(StatefulProcessor):
+    """An answer for each key, kept for ``seconds`` from when it was made; the state's own time to live then removes it."""
+
+    def __init__(self, answer: Callable[[str], str | None], seconds: int):
+        self.answer, self.seconds = answer, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("answer", "answer string, at long", self.seconds * 1000)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        newest = initialState.sort_values("at").iloc[-1]
+        self.kept.update((str(newest["answer"]), int(newest["at"].timestamp() * 1000)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.kept.get() if self.kept.exists() else None
+        known = held[0] if held and now - held[1] <= self.seconds * 1000 and sound(held[0]) else None
+        if held and known is None:
+            self.kept.clear()
+        for batch in rows:
+            out = []
+            for request, prompt in batch[["request", "prompt"]].itertuples(index=False):
+                cached = known is not None
+                made = known if cached else self.answer(prompt)
+                if not cached and sound(made):
+                    known = made
+                    self.kept.update((made, now))
+                ok = cached or sound(made)
+                out.append((key[0], request, made if ok else None, cached, None if ok else "unusable answer"))
+            yield pd.DataFrame(out, columns=["key", "request", "answer", "cached", "error"])
+
+
+def answered_stream(questions: DataFrame, answer: Callable[[str], str | None], seconds: int = TTL, known: DataFrame | None = None) -> DataFrame:
+    """``questions(key, request, prompt)`` -> ``(key, request, answer, cached, error)``: from the state where it has a sound answer that is fresh, else by ``answer``, and then kept.
+
+    ``known(key, answer, at)`` fills the state at the start, with the age that its answers have. An unsound answer is null with an error, is never
+    kept, and is asked for again; requests of one key in one batch share the first sound answer. State is one answer for each key.
+    Null keys are one key. Time alone changes the state, so such a stream has no last batch: it runs until it is stopped (``availableNow`` doesn't end it). The session's state store must be RocksDB's (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    start = known.groupBy("key") if known is not None else None
+    shape = f"key {questions.schema['key'].dataType.simpleString()}, request {questions.schema['request'].dataType.simpleString()}, answer string, cached boolean, error string"
+    return questions.groupBy("key").transformWithStateInPandas(AnswerCache(answer, seconds), shape, "append", "ProcessingTime", start)
+
+
 def import_queue(spark: SparkSession, folder: str, work: Callable[[DataFrame], DataFrame], done: str, errors: str, checkpoint: str) -> StreamingQuery:
     """Files of a folder, one a trigger, through ``work``; rows without a result go to ``errors`` with their path."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 1).load(folder)
