@@ -26,9 +26,7 @@ from gridwright.llm.common import keep, short_batches, small
 from gridwright.llm.shingles import mix, pieces, shingle_sets
 
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the curve are fitted on, at most about
-MAX_TERMS = 5_000  # size of the lexicon that the sample is fitted to: the strongest terms
-MAX_PHRASES = 5_000  # and the exception phrases that most of the sample's documents have
-MIN_TOXIC = 4  # toxic documents that a term needs
+MIN_G = 15.0  # likelihood ratio (G) by which a term's documents must differ from all in their share of toxic ones; chance gives as much once in 10,000 terms
 MIN_ODDS = 3.2
 MIN_PHRASE = 3  # documents without the label that an exception phrase needs
 STEMS = range(4, 9)  # letters of the word beginnings that may become terms
@@ -150,7 +148,8 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame) -> tuple[dict[str, float], list[str]]:
     """Terms with weights and exception phrases from ``labelled(text, label)``.
 
-    Of documents with the same least shingle hash one counts, so that a text with many near copies has one vote.
+    Of documents with the same least shingle hash one counts, so that a text with many near copies has one vote. Every
+    term and phrase that tells enough is taken; their number is bounded by the words of the sample, TRAIN_ROWS documents.
     """
     one_each = labelled.mapInArrow(_cluster, "text string, label int, cluster long").where("cluster is not null").groupBy("cluster").agg(F.max(F.struct("label", "text")).alias("m"))
     sample = keep(one_each.select("m.text", "m.label"), "toxic-sample")
@@ -160,17 +159,15 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], list[str]]:
         return {}, []
     counts = sample.mapInArrow(_word_units, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (yes + 1.0)) - F.log((F.col("other") + 0.5) / (no + 1.0))
-    strong = counts.where(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    best = strong.orderBy(F.desc(F.col("toxic") * F.col("odds")), "unit").limit(4 * MAX_TERMS).collect()
+    seen = F.col("toxic") + F.col("other")
+    part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (yes + no) / (seen * n))).otherwise(0.0)
+    strong = counts.withColumn("odds", odds).where((2 * (part("toxic", yes) + part("other", no)) >= MIN_G) & (F.col("odds") >= MIN_ODDS))
     terms: dict[str, float] = {}
-    for r in best:  # a longer term adds nothing to a beginning of it that is about as telling
-        if any(terms.get(r.unit[:n], -1.0) >= r.odds - 1.0 for n in range(4, len(r.unit))):
-            continue
-        terms[r.unit] = round(r.odds, 6)
-        if len(terms) == MAX_TERMS:
-            break
+    for r in strong.orderBy(F.desc(F.col("toxic") * F.col("odds")), "unit").collect():  # a longer term adds nothing to a beginning of it that is about as telling
+        if not any(terms.get(r.unit[:n], -1.0) >= r.odds - 1.0 for n in range(4, len(r.unit))):
+            terms[r.unit] = round(r.odds, 6)
     phrases = sample.mapInArrow(_phrase_units(terms), "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    found = phrases.where(f"toxic = 0 and other >= {MIN_PHRASE}").orderBy(F.desc("other"), "unit").limit(MAX_PHRASES).collect()
+    found = phrases.where(f"toxic = 0 and other >= {MIN_PHRASE}").orderBy("unit").collect()
     return terms, [r.unit for r in found]
 
 
