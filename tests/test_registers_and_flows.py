@@ -49,6 +49,37 @@ def test_registers(spark):
     assert registers.rechecked(empty, "auto").collect() == [] and registers.minutes_totals(days.limit(0).selectExpr("*", "1 word_count", "1 txt_size", "1 docx_size")).first().words == 0
 
 
+def test_matches_are_those_of_all_pairs(spark, monkeypatch):
+    """Several claims, small blocks, equal vectors, repeated rows, missing and other vectors: as if every pair were scored."""
+    import random
+
+    from gridwright.functions.vectors import cosine
+
+    rng = random.Random(4)
+    stems = ["топливо", "ремонт", "аренда", "связь", "охрана", "Услуги😀"]
+    vector = lambda: rng.choice([None, [0.0, 0.0], [float(rng.randint(-2, 2)) for _ in range(2)], [float(rng.randint(1, 9)) for _ in range(2)]])
+    arts = [(i % 3 if i else None, f"a{i}", rng.choice(["Прочие", None, f"Расходы на {rng.choice(stems)}", f"{rng.choice(stems)} и {rng.choice(stems)}"]), vector()) for i in range(40)]
+    docs = [(rng.choice([0, 0, 0, 0, 1, 4, None]), rng.randint(0, 90), rng.choice([None, "", "x" * 500, f"акт {rng.choice(stems)}ный".upper(), f"договор-{rng.choice(stems)[:3]}"]), vector()) for _ in range(160)]
+    articles = spark.createDataFrame(arts, "claim int, article string, name string, v array<double>")
+    documents = spark.createDataFrame(docs + docs[:5], "claim int, doc long, text string, w array<double>")
+    monkeypatch.setattr(matching, "ARTICLES", 5)
+    monkeypatch.setattr(matching, "DOCUMENTS", 20)
+    pairs = documents.alias("d").join(articles.alias("a"), "claim").withColumn("keys", matching.keywords(F.col("name")))
+    hit = F.coalesce(F.exists("keys", lambda k: F.lower("text").contains(k)), F.lit(False))
+    every = pairs.select("claim", "article", "doc", F.when(hit, 1.0).otherwise(F.coalesce(F.round(cosine(F.col("v"), F.col("w")), 3), F.lit(0.0))).alias("s")).groupBy("claim", "article", "doc").agg(F.max("s").alias("s")).collect()
+    for floor, few in ((0.6, matching.FEW), (0.0, 0), (-1.0, matching.FEW)):
+        monkeypatch.setattr(matching, "FEW", few)
+        best = {}
+        for r in sorted(every, key=lambda r: (-r.s, r.doc)):
+            if r.s >= floor and len(best.setdefault((r.claim, r.article), [])) < 3:
+                best[r.claim, r.article].append((r.doc, r.s))
+        want = sorted((*k, n, *v) for k, own in best.items() for n, v in enumerate(own))
+        found = matching.matched(articles, documents, floor)
+        assert sorted((r.claim, r.article, r["rank"], r.doc, r.similarity) for r in found.collect()) == want and len(want) > 30
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert matching.matched(articles, documents.limit(0)).collect() == []
+
+
 def test_matching_and_risks(spark):
     arts = spark.createDataFrame([(1, 1, "Расходы на топливо", [1.0, 0.0]), (1, 2, "Прочие", [0.0, 1.0]), (2, 3, "Топливо", None)], "claim int, article int, name string, v array<double>")
     docs = spark.createDataFrame([(1, 1, "Договор ТОПЛИВО", None), (1, 2, "акт", [1.0, 0.0]), (1, 3, "счёт", [0.6, 0.8]), (1, 4, None, [0.0, 1.0]), (1, 5, "акт", [1.0, 0.0]), (3, 6, "топливо", None)], "claim int, doc int, text string, w array<double>")
