@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import rules
@@ -333,14 +333,21 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(a.union(b).distinct(), "any"))
 
 
+def _repeated(part: DataFrame, meet: Column) -> DataFrame:
+    """``p_partkey`` of the parts before the last one whose name is equal or one edit apart, where ``meet`` holds of ``name`` and ``other``."""
+    p = part.select("p_partkey", F.col("p_name").alias("name"))
+    last = p.where("name is not null").groupBy("name").agg(F.max("p_partkey").alias("last"))
+    best = one_edit(last.select("name")).where(meet).join(last.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.max("last").alias("last"))
+    return p.join(best, "name").where("p_partkey < last").select("p_partkey")
+
+
 @query("""
 WITH p AS (SELECT p_partkey, p_name, left(p_name, 6) AS block FROM part)
 SELECT DISTINCT a.p_partkey FROM p a JOIN p b ON a.block = b.block AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1""")
 def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose name a later part has but for one edit; names meet on their beginning. (The similarity ratio has a name of its own.)"""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.left("p_name", F.lit(6)).alias("block"))
-    b = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), "block")
-    return p.join(b, "block").where((F.col("p_partkey") < F.col("k")) & (F.levenshtein("p_name", "n") <= 1)).select("p_partkey").distinct()
+    """Parts whose name a later part has but for one edit, within equal beginnings: distinct names meet, each with its last part. (The similarity ratio has a name of its own.)"""
+    begins = lambda c: F.left(c, F.lit(6))
+    return _repeated(table(spark, sf_dir, "part"), begins(F.col("name")) == begins(F.col("other"))).distinct()
 
 
 @query("""
@@ -349,10 +356,7 @@ b AS (SELECT a.name, max(b.last) AS last FROM n a JOIN n b ON levenshtein(a.name
 SELECT p_partkey FROM part JOIN b ON p_name = name WHERE p_partkey < last""")
 def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose name a later part has but for one edit, wherever that is: distinct names meet, each with its last part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    last = p.where("name is not null").groupBy("name").agg(F.max("p_partkey").alias("last"))
-    best = one_edit(last.select("name")).join(last.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.max("last").alias("last"))
-    return p.join(best, "name").where("p_partkey < last").select("p_partkey")
+    return _repeated(table(spark, sf_dir, "part"), F.lit(True))
 
 
 @query("""

@@ -52,3 +52,17 @@ def test_repeats_with_a_hot_amount(spark):
     got = without_repeats(spark.createDataFrame(rows, "id int, name string, amount int"))
     assert {x.id for x in got.collect()} == {a for a, _, _ in rows} - gone
     assert without_repeats(got.limit(0)).count() == 0
+
+
+def test_near_names_meet_once_each_not_part_by_part(spark, tmp_path):
+    """60,000 parts of four names: 1.8e9 pairs of parts, sixteen of names."""
+    import time
+
+    from gridwright.plans.facts import near_names
+
+    names = ["small bolt", "small bolts", "small belt", "fmall bolt"]
+    spark.range(60_000).selectExpr("id AS p_partkey", f"element_at(array({', '.join(map(repr, names))}), CAST(if(id < 59999, id % 3, 3) AS INT) + 1) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    start = time.monotonic()
+    got = near_names(spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 59_998  # the last part of its beginning and the one that begins otherwise have none
+    assert time.monotonic() - start < 60
