@@ -130,8 +130,9 @@ def slug(text: Column, longest: int = 40) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    """Bytes as B, KB or MB."""
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    """Bytes as B, KB or MB, with one decimal from KB on: what lies halfway between two goes to the even one. Null has no label."""
+    of = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / float(unit), 1))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, of(1 << 10, "KB")).when(n >= 1 << 20, of(1 << 20, "MB"))
 
 
 def value_label(v: Column) -> Column:

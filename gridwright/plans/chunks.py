@@ -73,7 +73,7 @@ def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc", plan["chunks"].alias("chunks"), (plan["levels"] == 1).alias("direct"))
 
 
-@query(r"SELECT page_id, CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE printf('%.1f KB', length(html) / 1024) END AS size_label FROM pages")
+@query(r"SELECT page_id, CASE WHEN length(html) < 1024 THEN length(html) || ' B' WHEN length(html) < 1048576 THEN printf('%.1f KB', length(html) / 1024) ELSE printf('%.1f MB', length(html) / 1048576) END AS size_label FROM pages")
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.size_label(F.char_length("html")).alias("size_label"))
 

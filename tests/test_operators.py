@@ -219,3 +219,21 @@ def test_repeats_with_other_beginnings(spark):
     rows = [(1, "x" + name[1:], 1.0), (2, name, 2.0), (3, name.upper(), 3.0), (4, "something else", 4.0), (5, None, 5.0), (6, None, 6.0), (7, "", 7.0), (8, "", 8.0)]
     items = spark.createDataFrame(rows, "id long, name string, amount double")
     assert sorted(r.id for r in without_repeats(items).collect()) == [3, 4, 5, 6, 8]
+
+
+def test_size_labels_are_those_of_the_sql(spark, tmp_path):
+    """Halves go to the even digit, a million characters are megabytes, and null has no label, on both sides."""
+    import duckdb
+
+    from gridwright.plans import load
+
+    queries, sql = load()
+    sizes = [0, 1023, 1024, *range(1280, 6000, 256), 1048575, 1048576, 1310720, 1363149, 3 << 20, None]
+    rows = [(i, None if n is None else "x" * n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {r.page_id: r.size_label for r in queries["size_labels"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(sql["size_labels"]).fetchall())
+    want = lambda n: f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
+    assert got == {i: None if n is None else want(n) for i, n in enumerate(sizes)}
