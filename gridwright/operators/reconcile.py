@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import rules
 from gridwright.operators.retrieval import stated
+from gridwright.sources.scratch import keep
 
 
 def registry_status(rows: DataFrame, registry: DataFrame, days: int = 30, share: float = 0.1) -> DataFrame:
@@ -82,13 +83,21 @@ def top_by_group(rows: DataFrame, by: list[str], order: list[Column], k: int) ->
 
 
 def regression(rows: DataFrame, target: str, features: list[str]) -> tuple[DataFrame, dict]:
-    """Least squares on the rows without missing values; predictions, and r2, rmse, mape (None with a zero target) and the residuals' spread."""
-    clean = rows.select(*[F.col(c).try_cast("double").alias(c) for c in [target, *features]]).dropna()
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(clean)
-    model = LinearRegression(featuresCol="_x", labelCol=target, solver="normal").fit(data)
-    out = model.transform(data).drop("_x")
+    """Least squares on the rows without missing values; predictions, and r2, rmse, mape (None with a zero target) and the residuals' spread.
+
+    The rows are worked out once, other columns stay with them, and are fitted about their means: squares of values far
+    from 0 would lose the digits that tell them apart.
+    """
+    used = [target, *features]
+    clean = keep(rows.withColumns({c: F.col(c).try_cast("double") for c in used}).dropna(subset=used), "regression")
+    mean = clean.agg(*[F.avg(c).alias(c) for c in used]).first().asDict()
+    about = clean.withColumns({f"_about_{c}": F.col(c) - F.lit(mean[c]) for c in used})
+    data = VectorAssembler(inputCols=[f"_about_{c}" for c in features], outputCol="_features").transform(about)
+    model = LinearRegression(featuresCol="_features", labelCol=f"_about_{target}", predictionCol="_prediction", solver="normal").fit(data)
+    out = model.transform(data).withColumn("prediction", F.col("_prediction") + F.lit(mean[target])).select(*clean.columns, "prediction")
     miss = out.agg(F.avg(F.abs((F.col(target) - F.col("prediction")) / F.nullif(F.col(target), F.lit(0.0)))).alias("mape"), F.count_if(F.col(target) == 0).alias("zeros"), F.stddev_pop(F.col(target) - F.col("prediction")).alias("spread")).first()
-    figures = {"intercept": model.intercept, "coefficients": list(model.coefficients), "r2": model.summary.r2, "rmse": model.summary.rootMeanSquaredError, "mape": None if miss.zeros else miss.mape, "spread": miss.spread}
+    intercept = mean[target] + model.intercept - sum(b * mean[c] for b, c in zip(model.coefficients, features))
+    figures = {"intercept": intercept, "coefficients": list(model.coefficients), "r2": model.summary.r2, "rmse": model.summary.rootMeanSquaredError, "mape": None if miss.zeros else miss.mape, "spread": miss.spread}
     return out, figures
 
 

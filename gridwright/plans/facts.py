@@ -265,7 +265,9 @@ _MONTHS = "m AS (SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalpr
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("y"), F.count("*").cast("double").alias("x"))
+    """Orders by month. Whole parts are summed exactly and fractions beside them, so that the order of the rows can't be seen in a rounded sum."""
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg((F.sum(F.floor(price)) + F.sum(price - F.floor(price))).alias("y"), F.count("*").cast("double").alias("x"))
 
 
 @query(f"WITH {_MONTHS} SELECT round(regr_slope(y, x), 2) AS slope, round(regr_intercept(y, x), 0) AS intercept, round(regr_r2(y, x), 4) AS r2, count(*) AS n FROM m")
@@ -274,13 +276,13 @@ def regression_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.round(F.regr_slope("y", "x"), 2).alias("slope"), F.round(F.regr_intercept("y", "x"), 0).alias("intercept"), F.round(F.regr_r2("y", "x"), 4).alias("r2"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_MONTHS}, f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM m), e AS (SELECT stddev_pop(y - (a * x + b)) AS s FROM m, f) SELECT strftime(month, '%Y-%m') AS month, round(a * x + b, 0) AS prediction, round(a * x + b - 1.96 * s, 0) AS low, round(a * x + b + 1.96 * s, 0) AS high FROM m, f, e")
+# fsum: a plain sum of doubles depends on the order in which threads add them, and so the rounded interval
+@query(f"WITH {_MONTHS.replace('sum(', 'fsum(')}, f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM m), e AS (SELECT stddev_pop(y - (a * x + b)) AS s FROM m, f) SELECT strftime(month, '%Y-%m') AS month, round(a * x + b, 0) AS prediction, round(a * x + b - 1.96 * s, 0) AS low, round(a * x + b + 1.96 * s, 0) AS high FROM m, f, e")
 def consumption_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly totals predicted by least squares, with the 95 per cent interval."""
-    out, figures = reconcile.regression(_months(spark, sf_dir).select("month", "y", "x").withColumn("k", F.date_format("month", "yyyyMM").cast("double")), "y", ["x"])
+    out, figures = reconcile.regression(_months(spark, sf_dir), "y", ["x"])
     low, high = reconcile.interval(F.col("prediction"), figures["spread"])
-    both = _months(spark, sf_dir).select("month", "x", F.col("y")).join(out.select("x", "y", "prediction").distinct(), ["x", "y"])
-    return both.select(F.date_format("month", "yyyy-MM").alias("month"), F.round("prediction", 0).alias("prediction"), F.round(low, 0).alias("low"), F.round(high, 0).alias("high"))
+    return out.select(F.date_format("month", "yyyy-MM").alias("month"), F.round("prediction", 0).alias("prediction"), F.round(low, 0).alias("low"), F.round(high, 0).alias("high"))
 
 
 @query("""

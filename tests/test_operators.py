@@ -237,3 +237,19 @@ def test_size_labels_are_those_of_the_sql(spark, tmp_path):
     assert got == dict(con.execute(sql["size_labels"]).fetchall())
     want = lambda n: f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
     assert got == {i: None if n is None else want(n) for i, n in enumerate(sizes)}
+
+
+def test_regression_keeps_the_digits_of_large_amounts(spark):
+    """Counts and sums as of months at a large scale, against exact fractions; equal points and other columns stay."""
+    from fractions import Fraction
+
+    xs = [112_000 + 37 * (i % 61) - 11 * (i % 7) for i in range(80)]
+    ys = [1.7e10 + 151_000.25 * (x - 112_000) + 1e6 * ((i * 7919) % 101) for i, x in enumerate(xs)]
+    points = [(i, float(x), y) for i, (x, y) in enumerate(zip(xs, ys))] + [(80, float(xs[0]), ys[0])]
+    out, fit = reconcile.regression(spark.createDataFrame(points, "month int, x double, y double"), "y", ["x"])
+    n, sx, sy = len(points), sum(Fraction(p[1]) for p in points), sum(Fraction(p[2]) for p in points)
+    b = (n * sum(Fraction(p[1]) * Fraction(p[2]) for p in points) - sx * sy) / (n * sum(Fraction(p[1]) ** 2 for p in points) - sx * sx)
+    a = (sy - b * sx) / n
+    got = {r.month: r.prediction for r in out.collect()}
+    assert len(got) == 81 and max(abs(Fraction(got[m]) - (a + b * Fraction(x))) for m, x, _ in points) < 1e-4
+    assert abs(Fraction(fit["intercept"]) - a) < 1e-2
