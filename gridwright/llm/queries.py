@@ -70,7 +70,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base kinds and random-looking tokens."""
     docs = table(spark, sf_dir, "documents")
-    return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.labelled(docs).unionByName(secrets.random_strings(spark)))))
+    return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.with_random(secrets.labelled(docs)))))
 
 
 @query()

@@ -22,11 +22,10 @@ SHORTEST = 16
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z_-]{8,}+|[A-Za-z_-]{6,}+[0-9]{1,4}|[0-9][0-9_-]{7,}+)(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIDE = len(ALPHABET) + 1
-TRAIN_DOCS = 20_000  # bound of the sample of documents from which the labelled strings are taken
 BACKOFF = 20.0  # counts by which a row of transitions is drawn to the characters' own shares
 FLOOR = 0.05  # part of those that is dealt equally
 MARGIN = 0.3  # mean log-likelihood ratio a character that a secret needs at least
-DRAWN = 3_000  # strings drawn at random beside the labelled ones
+DRAWN = 3_000  # strings drawn at random beside the labelled ones, at least
 
 
 def _index(token: Column) -> Column:
@@ -43,23 +42,19 @@ def base_matches(text: Column) -> dict[str, Column]:
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(token, random)`` from a sample of about TRAIN_DOCS documents at most: values of base secrets, and ordinary tokens outside them.
+    """``(token, random)`` from all documents: values of base secrets, and ordinary tokens outside them.
 
     Ordinary are words and identifiers of letters (in either case), such with a short number at their end, and numbers
-    with or without dashes. Equal tokens count once. Rows are sampled by a hash of text and id, so that copies of one
-    text are not taken all or none, and the sample doesn't depend on how files are split. Null and empty texts give no
-    tokens, an empty table an empty result.
+    with or without dashes. Equal tokens count once, so how often a text is there, or how files are split, changes
+    nothing. Null and empty texts give no tokens, an empty table an empty result.
     """
-    n = docs.count()
-    share = min(1.0, TRAIN_DOCS / max(n, 1))
-    own = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{id_col}`").alias("row"))
-    sample = own.where(F.pmod(F.xxhash64("text", "row"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    own = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     base = base_matches(F.col("text"))
     secret = F.concat(F.transform(base["assign"], lambda m: F.regexp_extract(m["hit"], _VALUE, 1)), F.transform(base["access"], lambda m: m["hit"]), F.transform(base["hex"], lambda m: m["hit"]))
-    yes = sample.select(F.explode(secret).alias("token")).distinct().select("token", F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    no = sample.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)))).alias("token")).distinct().select("token", F.lit(False).alias("random"))
-    return yes.unionByName(no)
+    ordinary = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
+    marked = lambda tokens, random: F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(random).alias("random")))
+    return own.select(F.explode(F.concat(marked(secret, True), marked(ordinary, False))).alias("x")).select("x.*").distinct()
 
 
 def random_strings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
@@ -73,6 +68,12 @@ def random_strings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
     return spark.range(n).select(F.left(token, 24 + (F.col("id") % 17).cast("int")).alias("token"), F.lit(True).alias("random"))
 
 
+def with_random(labels: DataFrame) -> DataFrame:
+    """Labelled tokens and as many drawn strings as there are random ones among them, DRAWN at least: in a large corpus, too, these count as much as its own."""
+    kept = keep(labels, "secret-labels")
+    return kept.unionByName(random_strings(labels.sparkSession, max(DRAWN, kept.where("random").count())))
+
+
 @dataclass(frozen=True)
 class SecretModel:
     """``ratios``: log P(b|a, random) - log P(b|a, ordinary), SIDE x SIDE; tokens whose mean is above ``threshold`` are secrets."""
@@ -97,8 +98,8 @@ def train(samples: DataFrame) -> SecretModel:
     """A model from labelled ``(token, random)``: transitions from three quarters of the tokens, the threshold from the rest.
 
     Transitions are counted on the executors; SIDE * SIDE * 2 counts at most reach the driver. The threshold lets pass
-    one in a thousand of the ordinary tokens held out that are long enough to be judged, and is MARGIN at least. A null
-    token counts for nothing. Without samples of both labels nothing is told apart: no token passes.
+    one in a thousand of the ordinary tokens held out that are long enough to be judged, counted in steps of a thousandth,
+    and is MARGIN at least. A null token counts for nothing. Without samples of both labels nothing is told apart: no token passes.
     """
     kept = keep(samples.where("token is not null").select("token", "random", (F.pmod(F.xxhash64("token"), F.lit(4)) == 0).alias("held")), "secret-samples")
     path = kept.where("not held").select("random", _index(F.col("token")).alias("x"))
@@ -110,8 +111,13 @@ def train(samples: DataFrame) -> SecretModel:
     if not any(counts[True]) or not any(counts[False]):
         return SecretModel(ratios, math.inf)
     judged = kept.where(F.col("held") & ~F.col("random") & (F.char_length("token") >= SHORTEST))
-    at = judged.agg(F.percentile_approx(ratio(F.col("token"), ratios), 0.999)).first()[0]
-    return SecretModel(ratios, max(MARGIN, at if at is not None else MARGIN))
+    steps = sorted(judged.groupBy(F.floor(ratio(F.col("token"), ratios) * 1000).alias("at")).count().collect(), reverse=True)  # ratios are bounded, and so are the rows
+    most, passed = sum(r["count"] for r in steps) // 1000, 0
+    for at, n in steps:
+        passed += n
+        if passed > most:
+            return SecretModel(ratios, max(MARGIN, (at + 1) / 1000))
+    return SecretModel(ratios, MARGIN)
 
 
 def ratio(token: Column, model: list[float]) -> Column:

@@ -164,6 +164,14 @@ def test_planted_secrets_are_found_and_nothing_else(spark):
     assert not shapes & {"9", "a", "A", "Aa"} and len(added) <= 3, shapes
 
 
+def test_secrets_are_learnt_from_every_document(spark):
+    docs = spark.range(45_000).selectExpr("id AS doc_id", "concat('token = \"', md5(string(id)), '\" by identifier_of_letters ', id) AS text")
+    labels = secrets.labelled(docs)
+    assert labels.where("random").count() == 45_000 and {r.token for r in labels.where("not random").collect()} >= {"identifier_of_letters"}
+    assert secrets.with_random(labels).where("random").count() == 90_000
+    assert sorted(labels.collect()) == sorted(secrets.labelled(docs.union(docs).repartition(3)).collect())
+
+
 def test_models_without_samples_tell_nothing(spark):
     empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     model = secrets.train(secrets.labelled(empty))
