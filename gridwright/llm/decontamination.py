@@ -6,8 +6,9 @@ their two weights. It reaches SIMILARITY only if the shared weight is that part
 filters that lose nothing: a document meets the items of which all its distinct shingles together hold enough, and of
 its windows those are verified whose shared shingles, repeats counted, weigh enough.
 
-SimHash fingerprints of items, with multi-index Hamming blocks to look them up (``ItemIndex.within``), are there for
-approximate search. They decide nothing here: windows of similarity 0.8 lie outside any radius that saves work.
+The items that a document can hold by the first filter are looked up by the SimHash fingerprints of its windows in
+multi-index Hamming blocks (``ItemIndex.within``); the nearest window of each is verified. A few windows of similarity
+0.8 lie outside the radius, so the second filter then finds what fingerprints left out, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEM_BLOCK = 1_000  # items in an index
+WINDOWS = 4_096  # starts of windows whose fingerprints are made at once
 BLOCK_BYTES = 8 << 20  # of their text: an index is broadcast, and so bounded
 
 _SLACK = 1e-12  # of sums, by rounding
@@ -43,9 +45,10 @@ def _masks(bits: int) -> np.ndarray:
 
 
 def _signs(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """n x 64: plus or minus the weight by each bit."""
+    """n x 64: plus or minus the weight, in whole millionths, by each bit; so sums that are 0 are 0 in any order."""
     bits = (hashes[:, None] >> np.arange(64, dtype=U64)[None]) & U64(1)
-    return np.where(bits == 1, weights[:, None], -weights[:, None])
+    whole = np.rint(weights * 1e6).astype(np.int64)[:, None]
+    return np.where(bits == 1, whole, -whole)
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
@@ -115,9 +118,13 @@ class ItemIndex:
         d = np.bitwise_count(prints[w] ^ self.prints[i])
         return w[d <= RADIUS], i[d <= RADIUS]
 
-    def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, end word, similarity) of each item's best window in a text of these words, the first of equals."""
-        n, out = len(words), []
+    def leaks(self, words: np.ndarray, one: bool = False) -> list[tuple[int, int, int, float]]:
+        """(item, first word, end word, similarity) of each item's best window in a text of these words, the first of equals.
+
+        Fingerprints propose a window for each item, which is verified; the exact bound then looks at the windows that
+        may be better, and for items of which no window was near enough. ``one``: any item will do, if there is one.
+        """
+        n, out, later = len(words), [], []
         if not n or not self.ids:
             return []
         for k in np.unique(np.minimum(K, self.length)).tolist():
@@ -128,13 +135,58 @@ class ItemIndex:
             hit = np.flatnonzero(self.known[at] == h)
             places = hit[np.argsort(at[hit], kind="stable")]  # of known shingles, by shingle and then in order
             there = at[places]
-            for i in self._reached(np.unique(there)):
-                if min(K, self.length[i]) == k:
-                    found = self._best(h, n, k, i, places, there)
-                    if found is not None:
-                        out.append(found)
+            able = [i for i in self._reached(np.unique(there)) if min(K, self.length[i]) == k]
+            found = self.proposed(h, n, k, able, hit)
+            if one and found:
+                i, (similarity, start) = next(iter(found.items()))
+                return [(i, -start, min(int(self.length[i]) - start, n), similarity)]  # start is negative
+            later += [(h, n, k, i, places, there, found.get(i, (0.0, 0))) for i in able]
+        for x in later:
+            best = self._best(*x)
+            if best is not None:
+                out.append(best)
+                if one:
+                    break
         return sorted(out)
 
+    def proposed(self, h: np.ndarray, n: int, k: int, able: list[int], hit: np.ndarray) -> dict[int, tuple[float, int]]:
+        """{item: (similarity, -start)} of the nearest window to an item by fingerprints, within RADIUS bits, that is similar indeed.
+
+        Windows are as long as one of the items ``able`` and hold a known shingle (places ``hit``). A window's fingerprint is that of its
+        shingles, repeats counted, from running sums of their signs over pieces of bounded length.
+        """
+        near: dict[int, list[tuple[int, int]]] = {}
+        has = np.concatenate([[0], np.cumsum(np.bincount(hit, minlength=len(h)))])
+        for size in sorted({int(self.length[i]) for i in able}):
+            span, last = min(size, n) - k + 1, max(0, n - size)
+            starts = np.flatnonzero(has[span : span + last + 1] > has[: last + 1])
+            mine = [i for i in able if self.length[i] == size]
+            while len(starts):
+                low = int(starts[0])
+                now, starts = np.split(starts, [np.searchsorted(starts, low + WINDOWS)])
+                piece = h[low : int(now[-1]) + span]
+                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_signs(piece, self.weigh(piece)), axis=0)])
+                prints = _pack(sums[now - low + span] - sums[now - low])
+                w, i = self.within(prints)
+                far = np.bitwise_count(prints[w] ^ self.prints[i])
+                for item in mine:
+                    of = i == item
+                    near.setdefault(item, []).extend(zip(far[of].tolist(), now[w[of]].tolist()))
+        found = {}
+        for item, windows in near.items():
+            span = min(int(self.length[item]), n) - k + 1
+            tried = ((self._similarity(h[start : start + span], item), -start) for _, start in sorted(windows))
+            first = next((x for x in tried if x[0] >= SIMILARITY), None)
+            if first:
+                found[item] = first
+        return found
+
+    def _similarity(self, window: np.ndarray, i: int) -> float:
+        """The exact weighted similarity of a window's shingles and an item's."""
+        mine = np.unique(window)
+        both = mine[np.isin(mine, self.shingles[i], assume_unique=True)]
+        return float(self.weigh(both).sum() / max(self.weigh(mine).sum(), float(self.weight[i])))
+
     def _reached(self, mine: np.ndarray) -> list[int]:
         """Items of whose weight these known shingles hold enough."""
         counts = self.held[mine + 1] - self.held[mine]
@@ -144,7 +196,8 @@ class ItemIndex:
         shared = np.bincount(self.holders[at], np.repeat(self.weigh(self.known[mine]), counts), len(self.ids))
         return np.flatnonzero(shared >= SIMILARITY * self.weight * (1 - _SLACK)).tolist()
 
-    def _best(self, h: np.ndarray, n: int, k: int, i: int, places: np.ndarray, there: np.ndarray) -> tuple[int, int, int, float] | None:
+    def _best(self, h: np.ndarray, n: int, k: int, i: int, places: np.ndarray, there: np.ndarray, best: tuple[float, int]) -> tuple[int, int, int, float] | None:
+        """The best window by the exact bound; ``best`` is (similarity, -start) of one that is known, or (0, 0)."""
         size, weight = int(self.length[i]), float(self.weight[i])
         span, last = min(size, n) - k + 1, max(0, n - size)
         low, high = np.searchsorted(there, self.own[i]), np.searchsorted(there, self.own[i], side="right")
@@ -158,16 +211,13 @@ class ItemIndex:
         most = sums[np.searchsorted(p, starts + span)] - sums[np.searchsorted(p, starts)]
         most = most / weight + _SLACK * (1 + sums[-1] / weight)
         starts, most = starts[most >= SIMILARITY], most[most >= SIMILARITY]
-        best = (0.0, 0)
         for x in np.argsort(-most, kind="stable").tolist():
             start = int(starts[x])
             if most[x] < best[0]:
                 break
             if best[0] >= 1 and start > -best[1]:
                 continue
-            mine = np.unique(h[start : start + span])
-            both = mine[np.isin(mine, self.shingles[i], assume_unique=True)]
-            s = float(self.weigh(both).sum() / max(self.weigh(mine).sum(), weight))
+            s = self._similarity(h[start : start + span], i)
             if s >= SIMILARITY:
                 best = max(best, (s, -start))
         return (i, -best[1], min(size - best[1], n), best[0]) if best[0] else None
@@ -279,7 +329,7 @@ def _clean(block, shared, names: list[str]):
             row = 0
             for i, j, data, offsets in slices(batch.column(len(names) - 1)):
                 w = Words(data, offsets, IS_PUNCT)
-                leaky.update(row + int(t) for t in _documents_with(index, w) if index.leaks(w.hashes[w.first[t] : w.first[t + 1]]))
+                leaky.update(row + int(t) for t in _documents_with(index, w) if index.leaks(w.hashes[w.first[t] : w.first[t + 1]], one=True))
                 row += j - i
             stay = pa.array([r not in leaky for r in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(stay) for c in batch.columns], names)
