@@ -253,3 +253,21 @@ def test_regression_keeps_the_digits_of_large_amounts(spark):
     got = {r.month: r.prediction for r in out.collect()}
     assert len(got) == 81 and max(abs(Fraction(got[m]) - (a + b * Fraction(x))) for m, x, _ in points) < 1e-4
     assert abs(Fraction(fit["intercept"]) - a) < 1e-2
+
+
+def test_wide_rows_are_summed_before_they_become_long(spark, tmp_path):
+    """Zeros, nulls and a missing article, as the SQL counts them; no row is multiplied before the first sum."""
+    import duckdb
+
+    from gridwright.plans import load
+
+    queries, sql = load()
+    lines = [(1, 1, 7, 5.0, 0.0, 0.0, None), (1, 2, 7, 1.0, 2.0, 0.0, 0.5), (2, 1, None, 3.0, 0.0, None, 0.0), (3, 1, 8, 0.0, 4.0, 0.0, 0.0)]
+    shape = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    df = spark.createDataFrame(lines, shape).withColumn("l_shipdate", F.expr("timestamp_ntz'1995-03-01 00:00:00'"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = queries["wide_to_long"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("period", "label", "n", "total", "articles").collect())) == sorted(con.execute(sql["wide_to_long"]).fetchall())
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
