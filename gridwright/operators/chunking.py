@@ -8,7 +8,7 @@ ones, where each cut depends on the one before, walk a text once in an Arrow bat
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,9 +34,9 @@ def lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     return docs.select(doc, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("pos", "line"))
 
 
-def joined(rows: DataFrame, by: list[str], separator: str = "\n", text: str = "line") -> DataFrame:
-    """Lines of each group put together in order."""
-    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text))), lambda x: x[text]), separator).alias("text"))
+def joined(rows: DataFrame, by: list[str], separator: str = "\n", text: str = "line", more: Sequence[Column] = ()) -> DataFrame:
+    """Lines of each group put together in order, with ``more`` aggregates of the group beside them."""
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text))), lambda x: x[text]), separator).alias("text"), *more)
 
 
 def paginated(docs: DataFrame, per_page: int = 80) -> DataFrame:
@@ -127,16 +127,16 @@ def legal_chunks(docs: DataFrame, limit: int = 3000) -> DataFrame:
     rows = lines(docs).where(~F.trim("line").rlike(JUNK) & ~F.trim("line").rlike(RULE_LINE))
     kind, number = legal_kind(F.col("line"))
     rows = blocks(rows.withColumns({"kind": kind, "number": number}), kind != "other")
-    heads = rows.groupBy("doc", "block").agg(F.min_by("kind", "pos").alias("kind"), F.min_by("number", "pos").alias("number"), F.min_by("line", "pos").alias("head"))
-    raw = joined(rows, ["doc", "block"]).withColumn("text", F.trim("text")).where("text <> ''").join(heads, ["doc", "block"])
+    heads = [F.min_by(c, "pos").alias(a) for c, a in (("kind", "kind"), ("number", "number"), ("line", "head"))]
+    raw = joined(rows, ["doc", "block"], more=heads).withColumn("text", F.trim("text")).where("text <> ''")
     order = Window.partitionBy("doc").orderBy("block")
     glued = F.lag("kind").over(order).isin("chapter", "section") | ((F.lag("kind").over(order) == "article") & (F.lag(F.char_length("text")).over(order) < least))
     sticks = F.coalesce(glued, F.lit(False)) | ((F.col("kind") == "subpoint") & (F.lag("block").over(order).isNotNull())) | ((F.col("kind") == "other") & (F.char_length("text") < least) & F.lag("block").over(order).isNotNull())
     grouped = raw.withColumn("chunk", F.sum((~sticks).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = joined(grouped.withColumnRenamed("block", "pos"), ["doc", "chunk"], "\n\n", "text")
-    leads = grouped.groupBy("doc", "chunk").agg(*[F.min_by(c, "block").alias(c) for c in ("kind", "number", "head")], F.max(F.when(F.col("kind") == "article", F.col("number"))).alias("article"))
+    leads = [*[F.min_by(c, "pos").alias(c) for c in ("kind", "number", "head")], F.max(F.when(F.col("kind") == "article", F.col("number"))).alias("article")]
+    merged = joined(grouped.withColumnRenamed("block", "pos"), ["doc", "chunk"], "\n\n", "text", leads)
     flow = Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    context = merged.join(leads, ["doc", "chunk"]).withColumns({
+    context = merged.withColumns({
         "article": F.coalesce(F.last(F.coalesce("article", F.when(F.col("kind").isin("point", "chapter"), F.col("number"))), True).over(flow), F.lit("")),
         "section": F.coalesce(F.last(F.when(F.col("kind").isin("chapter", "section"), F.left(F.trim("head"), F.lit(80))), True).over(flow), F.lit("")),
         "is_table": is_table(F.col("text")),

@@ -271,3 +271,10 @@ def test_wide_rows_are_summed_before_they_become_long(spark, tmp_path):
     got = queries["wide_to_long"](spark, str(tmp_path))
     assert sorted(map(tuple, got.select("period", "label", "n", "total", "articles").collect())) == sorted(con.execute(sql["wide_to_long"]).fetchall())
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_legal_chunks_meet_without_joins(spark):
+    docs = spark.createDataFrame([(1, "Глава 1. Общее\nСтатья 1. О чём\n1. Пункт А\nа) подпункт\nСтатья 2. Далее\n2. Пункт Б"), (2, None), (3, "без границ")], "doc int, text string")
+    cut = chunking.legal_chunks(docs, 1500)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc for r in cut.collect()} == {1, 3}
