@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.sources.scratch import keep, shared_dir
+from gridwright.sources.scratch import keep, shared_dir, short_batches
 
 __all__ = ["BROADCAST_ROWS", "ascii_lower", "keep", "shared_dir", "short_batches", "shuffle_partitions", "small", "table"]
 
@@ -23,14 +23,6 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Arrow batches of whole texts hold ``rows`` rows at most from now on in this session (a lower setting stays)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

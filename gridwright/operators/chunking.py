@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.sources.scratch import short_batches
+
+ROWS = 100  # of which the pieces are held at once
 MOST_CHUNKS = 2000  # of one file, as the configuration has it
 
 # What marks a line as a running title, and the signs that separator lines are made of.
@@ -269,8 +272,10 @@ def exploded(docs: DataFrame, cut: Callable[..., list[str]], inputs: list[str])
     keep = [c for c in docs.columns if c not in ("part", "piece", *inputs)]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "part int", "piece string"])
 
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (x.iloc[i : i + ROWS] for x in batches for i in range(0, len(x), ROWS)):
             made = [cut(*x) for x in b[inputs].itertuples(index=False)]
             n = [len(x) for x in made]
             out = b[keep].loc[b.index.repeat(n)].reset_index(drop=True)

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and the size of the batches that Python gets."""
 
 from __future__ import annotations
 
@@ -30,3 +30,11 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridwright/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow batches of whole texts hold ``rows`` rows at most from now on in this session (a lower setting stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)

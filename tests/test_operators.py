@@ -278,3 +278,16 @@ def test_legal_chunks_meet_without_joins(spark):
     cut = chunking.legal_chunks(docs, 1500)
     assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc for r in cut.collect()} == {1, 3}
+
+
+def test_python_gets_texts_in_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10_000)
+        docs = spark.range(2_500).selectExpr("id AS doc", "repeat('слово. ', 400) AS text")
+        cut = chunking.chunked(docs, "structural", 1000, 0, 1)
+        assert int(spark.conf.get(key)) <= 1_000
+        assert cut.groupBy("doc").count().groupBy("count").count().collect() == [(3, 2_500)]
+    finally:
+        spark.conf.set(key, before)
