@@ -23,7 +23,8 @@ from gridwright.functions.text import tokens
 from gridwright.sources.scratch import keep, shared_dir
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-BUCKETS, SLOTS = 16, 4  # folders of a segment, and parts that a folder's documents are dealt to, so that a frequent word's postings are split
+BUCKETS, SLOTS = 16, 4  # folders of a segment, and parts at least that a folder's documents are dealt to, so that a frequent word's postings are split
+SORTED_BYTES = 4 << 20  # of texts whose postings a task sorts, about
 FORMAT = 2  # of what is written: an index of another one is not read
 PUSHED = 2_000  # terms that are pushed into the scan by name; beyond them the join alone selects
 SLACK = 1e-5  # scores are ranked by six digits, so what is this close below the k-th is not skipped
@@ -216,13 +217,20 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["bucket", "id", "row", "dl", "terms", "tfs", "begins", "flat"])
 
 
+def _slots(size: int) -> int:
+    """Parts that a bucket's documents are dealt to, by all texts' bytes."""
+    return max(SLOTS, -(-size // (SORTED_BYTES * BUCKETS)))
+
+
 def _built(docs: DataFrame, path: str, n: int, before: SearchIndex | None) -> SearchIndex:
     """Write the segment of ``docs``, all there are or those new since ``before``, then terms, then totals."""
     spark, id_type = docs.sparkSession, docs.schema["id"].dataType.simpleString()
     segment = f"{path}/segment-{uuid.uuid4().hex}"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     packed = rows.mapInArrow(_by_term, f"bucket int, id {id_type}, row long, dl int, terms array<string>, tfs array<int>, begins array<int>, flat array<int>")
-    dealt = packed.repartition("bucket", F.pmod("row", F.lit(SLOTS)))  # the only shuffle: a row for each document and bucket
+    slots = _slots(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # The only shuffle: a row for each document and bucket. Parts are as many as the texts need, so that what a task sorts doesn't grow with them.
+    dealt = packed.repartition(BUCKETS * slots, "bucket", F.pmod(F.xxhash64("row"), F.lit(slots)))
     each = dealt.select("bucket", "id", "row", "dl", "flat", F.explode(F.arrays_zip("terms", "tfs", "begins")).alias("x"))
     posting = each.select(F.col("x.terms").alias("term"), "id", "row", "dl", F.col("x.tfs").alias("tf"), F.slice("flat", F.col("x.begins") + 1, F.col("x.tfs")).alias("places"), "bucket")
     posting.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{segment}/postings")

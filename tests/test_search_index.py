@@ -103,3 +103,12 @@ def test_pushed_terms_or_not_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, SearchIndex.of(docs).top(ask, 4).collect()))
     monkeypatch.setattr(postings, "PUSHED", 1)
     assert sorted((q, i, round(s, 9), k) for q, i, s, k in map(tuple, SearchIndex.of(docs).top(ask, 4).collect())) == sorted((q, i, round(s, 9), k) for q, i, s, k in one)
+
+
+def test_what_a_task_sorts_does_not_grow_with_the_texts(spark):
+    from gridwright.operators import postings
+
+    assert postings._slots(0) == postings.SLOTS
+    for gb in (1, 6, 30):
+        slots = postings._slots(gb << 30)
+        assert (gb << 30) / (slots * postings.BUCKETS) <= postings.SORTED_BYTES
