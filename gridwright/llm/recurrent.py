@@ -8,7 +8,7 @@ words cost there is the caller's business. Inputs are one-hot, so a symbol's row
 
 from __future__ import annotations
 
-from collections import deque
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,31 +18,46 @@ WIDEST = 256  # steps of a window at most
 CHUNK = 1024  # rows whose class scores fit in a core's cache
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1.0
-    return np.reciprocal(a, out=a)
-
-
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each ``y`` by a softmax of ``h @ w + b``; ``grads`` get the loss' gradient, as does the second result for ``h``."""
-    logits = h @ w
-    logits += b
-    at = (np.arange(len(y)), y)
-    chosen = logits[at]
-    if logits.max() > 80.0 or chosen.min() < -80.0:  # else no sum is infinite, none is 0
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[at]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
+class Room:
+    """Arrays by name, in memory that is kept: what is made anew for each window costs more in page faults than in arithmetic."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        """An array of this shape, not cleared; it is good until the name is asked for again."""
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(shape)
+
+
+def _softmax(room: Room, h: np.ndarray, w: np.ndarray, y: np.ndarray, wild: bool, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each ``y`` by a softmax of ``h @ w``; ``grads`` get the loss' gradient, as does the second result for ``h``.
+
+    The last column of ``h`` is 1, the last row of ``w`` the biases. ``wild`` is whether a score can be beyond 80.
+    """
+    e = np.matmul(h, w, out=room("scores", len(y), w.shape[1]))
+    flat, at = e.reshape(-1), np.arange(0, e.size, e.shape[1]) + y
+    chosen = flat[at]
+    if wild and (e.max() > 80.0 or chosen.min() < -80.0):  # else no sum is infinite, none is 0
+        e -= e.max(axis=1, keepdims=True)
+        chosen = flat[at]
+    np.exp(e, out=e)
     if grads is None:
-        return chosen - np.log(total), None
-    logits *= (1.0 / total)[:, None]
-    logits[at] -= 1.0
-    grads[0][...] += h.T @ logits
-    grads[1][...] += np.ones(len(y), np.float32) @ logits
-    return chosen - np.log(total), logits @ w.T
+        return chosen - np.log(e @ np.ones(e.shape[1], np.float32)), None
+    # Shares are e / total: only what is narrow is divided, and the totals come with the product that the states get.
+    back = np.array(w.T, order="C")
+    own = np.take(back[:, :-1], y, axis=0)
+    back[:, -1] = 1.0
+    d = np.matmul(e, back, out=room("back", *h.shape))
+    total = d[:, -1].copy()
+    flat[at] -= total
+    d /= total[:, None]
+    got = e.T @ np.divide(h, total[:, None], out=room("weighed", *h.shape))
+    grads[0][...] += got[:, :-1].T
+    grads[1][...] += got[:, -1]
+    return chosen - np.log(total), np.subtract(d[:, :-1], own, out=own)
 
 
 class Network:
@@ -62,6 +77,7 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         if log_share is not None:
             self._from_shares(log_share)
+        self.room = Room()
         self.class_of = np.concatenate([np.arange(words) // per_class, self.runs + np.arange(tails)]).astype(np.int64)
 
     def _from_shares(self, log_share: np.ndarray) -> None:
@@ -86,37 +102,60 @@ class Network:
 
     # Forward
 
-    def step(self, gates_x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state from a row of ``x`` for each lane and the state before: (h, z, r, n, recurrent part of n)."""
-        k = self.hidden
-        rec = h @ self.p["u"]
-        zr = _sigmoid(gates_x[:, : 2 * k] + rec[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gates_x[:, 2 * k :] + r * rec[:, 2 * k :])
-        return n + z * (h - n), z, r, n, rec[:, 2 * k :]
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights by gate, from symbols (3, symbols, hidden) and states (3, hidden, hidden); those of z and r negated for the sigmoid."""
+        x, u = (np.ascontiguousarray(self.p[k].reshape(-1, 3, self.hidden).transpose(1, 0, 2)) for k in ("x", "u"))
+        for w in (x, u):
+            np.negative(w[:2], out=w[:2])
+        return x, u
+
+    @staticmethod
+    def step(gates: np.ndarray, u: np.ndarray, h: np.ndarray, rec: np.ndarray, out: np.ndarray) -> None:
+        """New state in ``out`` from the state before; ``gates`` (3, lanes, hidden) has the symbols' shares and gets z, r and n, ``rec`` the state's shares."""
+        np.matmul(h, u, out=rec)
+        zr, n = gates[:2], gates[2]
+        zr += rec[:2]
+        np.exp(zr, out=zr)
+        zr += 1.0
+        np.reciprocal(zr, out=zr)
+        n += zr[1] * rec[2]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[0]
+        out += n
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each ``y`` after its state; with ``grads`` also what of the loss reaches the states."""
-        cls = self.class_of[y]
+        cls, k, p = self.class_of[y], self.hidden, self.p
+        one = self.room("states and 1", len(y), k + 1)
+        one[:, :k], one[:, k] = h, 1.0
+        # States are within 1.
+        top, low = np.vstack([p["c"], p["cb"]]), np.column_stack([p["w"], p["wb"]])
+        wild = [bool(len(w)) and float(np.abs(w).sum(axis=1).max()) > 80.0 for w in (top.T, low)]
         lp = np.empty(len(y), np.float32)
-        dh = None if grads is None else np.empty_like(h)
+        dh = None if grads is None else self.room("to states", len(y), k)
         for a in range(0, len(y), CHUNK):
             part = slice(a, a + CHUNK)
             own = None if grads is None else (grads["c"], grads["cb"])
-            lp[part], d = _softmax(h[part], self.p["c"], self.p["cb"], cls[part], own)
+            lp[part], d = _softmax(self.room, one[part], top, cls[part], wild[0], own)
             if d is not None:
                 dh[part] = d
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls, np.arange(self.runs + 1), sorter=order)
-        for k in range(self.runs):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                a, b = k * self.per_class, min(self.words, (k + 1) * self.per_class)
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(cls, np.arange(self.runs + 1), sorter=order).tolist()
+        order = order[: ends[-1]]
+        one, y = np.take(one, order, axis=0, out=self.room("by run", len(order), k + 1), mode="clip"), y[order]
+        within, dw = np.empty(len(order), np.float32), self.room("to states by run", len(order), k)
+        for run in range(self.runs):
+            part = slice(ends[run], ends[run + 1])
+            if ends[run] < ends[run + 1]:
+                a, b = run * self.per_class, min(self.words, (run + 1) * self.per_class)
                 own = None if grads is None else (grads["w"][a:b].T, grads["wb"][a:b])
-                got, d = _softmax(h[rows], self.p["w"][a:b].T, self.p["wb"][a:b], y[rows] - a, own)
-                lp[rows] += got
+                within[part], d = _softmax(self.room, one[part], low[a:b].T, y[part] - a, wild[1], own)
                 if d is not None:
-                    dh[rows] += d
+                    dw[part] = d
+        lp[order] += within
+        if dh is not None:
+            dh[order] += dw
         return lp, dh
 
     # Training
@@ -124,47 +163,58 @@ class Network:
     def gradient(self, grads: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
         """Add the gradient over a window of (steps, lanes), cut at its begin, to ``grads``: (log probability, state behind)."""
         steps, lanes = y.shape
-        k, p = self.hidden, self.p
-        on = (~first).astype(np.float32)[:, :, None]
-        before, kept = [], []
+        k = self.hidden
+        wx, wu = self.gates()
+        on = [(~f).astype(np.float32)[:, None] if f.any() else None for f in first]
+        before, states, dh_out, to_z, to_n = (self.room(name, steps, lanes, k) for name in ("before", "states", "dh_out", "to_z", "to_n"))
+        rec = self.room("rec", 3, steps, lanes, k)
+        gates = np.take(wx, x.ravel(), axis=1, out=self.room("gates", 3, steps * lanes, k), mode="clip").reshape(3, steps, lanes, k)
         for t in range(steps):
-            h = h * on[t]
-            before.append(h)
-            out = self.step(p["x"][x[t]], h)
-            kept.append(out)
-            h = out[0]
+            before[t] = h if on[t] is None else h * on[t]
+            self.step(gates[:, t], wu, before[t], rec[:, t], states[t])
+            h = states[t]
         at = np.flatnonzero(live.ravel())
-        states, whole = np.concatenate([o[0] for o in kept]), len(at) == steps * lanes
-        lp, d = self.log_probs(states if whole else states[at], y.ravel() if whole else y.ravel()[at], grads)
-        dh_out = d if whole else np.zeros((steps * lanes, k), np.float32)
+        flat, whole = states.reshape(-1, k), len(at) == steps * lanes
+        lp, d = self.log_probs(flat if whole else flat[at], y.ravel() if whole else y.ravel()[at], grads)
         if not whole:
-            dh_out[at] = d
-        dh_out = dh_out.reshape(steps, lanes, k)
-        gates = np.empty((steps, lanes, 3 * k), np.float32)
-        recurrent = np.empty_like(gates)
-        dh = np.zeros((lanes, k), np.float32)
-        u = np.ascontiguousarray(p["u"].T)
+            dh_out[...] = 0
+        dh_out.reshape(-1, k)[slice(None) if whole else at] = d
+        # What a step's gates get is a product of these with what its state gets.
+        z, r, n = gates
+        np.subtract(1, z, out=to_z)
+        to_z *= np.subtract(before, n, out=to_n)
+        to_r = rec[1:]  # and to the recurrent part of n
+        np.multiply(rec[2], np.subtract(1, r, out=to_n), out=to_r[0])
+        to_r[0] *= r
+        to_r[1] = r
+        np.subtract(1, np.multiply(n, n, out=to_n), out=to_n)
+        out = self.room("out", 4, steps, lanes, k)  # z, r, recurrent part of n, n
+        back = self.room("back of a step", 3, lanes, k)
+        dh, keep = np.zeros((lanes, k), np.float32), np.empty((lanes, k), np.float32)
+        u = np.ascontiguousarray(self.p["u"].reshape(k, 3, k).transpose(1, 2, 0))
         for t in range(steps - 1, -1, -1):
-            _, z, r, n, rec = kept[t]
+            own = out[:, t]
             dh += dh_out[t]
-            g, own = gates[t], recurrent[t]
-            keep = dh * z
-            dn = (dh - keep) * (1 - n * n)
-            g[:, :k] = (before[t] - n) * keep * (1 - z)
-            back = dn * r
-            g[:, k : 2 * k] = back * (1 - r) * rec
-            g[:, 2 * k :] = dn
-            own[:, : 2 * k] = g[:, : 2 * k]
-            own[:, 2 * k :] = back
-            keep += own @ u
-            keep *= on[t]
-            dh = keep
-        grads["u"] += np.concatenate(before).T @ recurrent.reshape(-1, 3 * k)
-        symbols = x.ravel()[at]
+            np.multiply(dh, z[t], out=keep)
+            dh -= keep
+            np.multiply(dh, to_n[t], out=own[3])
+            np.multiply(keep, to_z[t], out=own[0])
+            np.multiply(own[3], to_r[:, t], out=own[1:3])
+            np.add.reduce(np.matmul(own[:3], u, out=back), axis=0, out=dh)
+            dh += keep
+            if on[t] is not None:
+                dh *= on[t]
+        past = before.reshape(-1, k).T
+        for g in range(3):
+            grads["u"][:, g * k : (g + 1) * k] += past @ out[g].reshape(-1, k)
+        symbols = x.ravel()[at].astype(np.uint16)
         order = np.argsort(symbols, kind="stable")
         found, begins = np.unique(symbols[order], return_index=True)
-        grads["x"][found] += np.add.reduceat(gates.reshape(-1, 3 * k)[at[order]], begins, axis=0)
-        return float(lp.sum(dtype=np.float64)), h
+        rows = self.room("by symbol", len(order), 3 * k)
+        for i, g in enumerate((0, 1, 3)):
+            rows[:, i * k : (i + 1) * k] = np.take(out[g].reshape(-1, k), at[order], axis=0, out=self.room("of one gate", len(order), k), mode="clip")
+        grads["x"][found] += np.add.reduceat(rows, begins, axis=0)
+        return float(lp.sum(dtype=np.float64)), h.copy()
 
 
 class Adam:
@@ -218,35 +268,37 @@ def windows(sequences: list[np.ndarray], lanes: int, steps: int, start: int) ->
 
     (inputs, targets, first of its sequence, live, lanes that go on); a lane that doesn't is not in the next window.
     """
-    queue = deque(sequences)
-    now = [queue.popleft() for _ in range(min(lanes, len(queue)))]
-    at = [0] * len(now)
-    while now:
-        n = len(now)
-        wide = steps if queue else min(_width(steps, lanes, n), max(len(s) - a for s, a in zip(now, at)))
-        x = np.full((wide, n), start, np.int64)
-        y = np.zeros((wide, n), np.int64)
-        first, live = np.zeros((wide, n), bool), np.zeros((wide, n), bool)
-        for i in range(n):
-            t = 0
-            while t < wide:
-                s, a = now[i], at[i]
-                if a == len(s):
-                    if not queue:
-                        break
-                    now[i], at[i] = s, a = queue.popleft(), 0
-                m = min(wide - t, len(s) - a)
-                y[t : t + m, i] = s[a : a + m]
-                if a:
-                    x[t : t + m, i] = s[a - 1 : a + m - 1]
-                else:
-                    first[t, i] = True
-                    x[t + 1 : t + m, i] = s[: m - 1]
-                live[t : t + m, i] = True
-                at[i], t = a + m, t + m
-        on = [i for i in range(n) if queue or at[i] < len(now[i])]
-        yield x, y, first, live, np.array(on, np.int64)
-        now, at = [now[i] for i in on], [at[i] for i in on]
+    if not sequences:
+        return
+    # Sequences lie one behind the other; a lane has the one it is in, and how many of its symbols are done.
+    flat, length = np.concatenate(sequences), np.array([len(s) for s in sequences])
+    begin = np.cumsum(length) - length
+    now, taken = np.arange(min(lanes, len(sequences))), min(lanes, len(sequences))
+    at = np.zeros(len(now), np.int64)
+    while n := len(now):
+        more = taken < len(sequences)
+        left = length[now] - at
+        wide = steps if more else min(_width(steps, lanes, n), int(left.max()))
+        place = np.arange(wide)[:, None]
+        here = (begin[now] + at)[None, :] + place
+        live = place < left[None, :]
+        y = np.where(live, flat.take(here, mode="clip").astype(np.int64), 0)
+        x = np.where(live, flat.take(here - 1, mode="clip").astype(np.int64), start)
+        first = np.zeros((wide, n), bool)
+        first[0] = (at == 0) & live[0]
+        at += np.minimum(left, wide)
+        # Lanes that get to an end within the window go on with the next sequences.
+        for i in np.flatnonzero(left < wide).tolist() if more else ():
+            t = int(left[i])
+            while t < wide and taken < len(sequences):
+                now[i], a, m = taken, int(begin[taken]), min(wide - t, int(length[taken]))
+                y[t : t + m, i], x[t + 1 : t + m, i] = flat[a : a + m], flat[a : a + m - 1]
+                first[t, i], live[t : t + m, i] = True, True
+                at[i], t, taken = m, t + m, taken + 1
+        x[first] = start
+        on = np.flatnonzero((at < length[now]) | (taken < len(sequences)))
+        yield x, y, first, live, on
+        now, at = now[on], at[on]
 
 
 def fit(net: Network, sequences: Iterable[np.ndarray], lanes: int, steps: int, rate: float, symbols: int = 4_000_000) -> tuple[int, float]:
@@ -289,21 +341,22 @@ def score(net: Network, sequences: Iterable[tuple[object, np.ndarray]], lanes: i
 def _scored(net: Network, some: list[tuple[object, np.ndarray]], lanes: int, steps: int) -> Iterator[tuple[object, float]]:
     sums = np.zeros(len(some))
     length = np.array([len(s) for _, s in some])
+    symbols, begin = np.concatenate([s for _, s in some]), np.cumsum(length) - length
     lane_of, at = np.arange(min(lanes, len(some))), np.zeros(min(lanes, len(some)), np.int64)
     taken = len(lane_of)
     h = np.zeros((taken, net.hidden), np.float32)
+    wx, wu = net.gates()
     while n := len(lane_of):
         left = length[lane_of] - at
         wide = min(_width(steps, lanes, n), int(left.max()))
-        x = np.full((wide, n), net.start, np.int64)
-        y = np.zeros((wide, n), np.int64)
-        for j, (i, a) in enumerate(zip(lane_of.tolist(), at.tolist())):
-            s = some[i][1][max(0, a - 1) : a + wide]
-            y[: len(s) - (a > 0), j] = s[a > 0 :]
-            x[a == 0 : len(s) - (a > 0), j] = s[:-1]
-        states = np.empty((wide, n, net.hidden), np.float32)
+        here = (begin[lane_of] + at)[None, :] + np.arange(wide)[:, None]
+        y, x = (symbols.take(i, mode="clip").astype(np.int64) for i in (here, here - 1))  # beyond a sequence's end what follows, which is not scored
+        x[0, at == 0] = net.start
+        states, gates, rec = net.room("states", wide, n, net.hidden), net.room("gates", 3, n, net.hidden), net.room("rec", 3, n, net.hidden)
         for t in range(wide):
-            states[t] = h = net.step(net.p["x"][x[t]], h)[0]
+            np.take(wx, x[t], axis=1, out=gates, mode="clip")
+            net.step(gates, wu, h, rec, states[t])
+            h = states[t]
         where = np.flatnonzero((np.arange(wide)[:, None] < left[None, :]).ravel())
         lp, flat = np.zeros(wide * n), states.reshape(-1, net.hidden)
         if len(where) == len(lp):

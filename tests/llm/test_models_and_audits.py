@@ -151,6 +151,23 @@ def test_windows_hold_every_symbol_once():
     assert seen == Counter(np.concatenate(seqs).tolist()) and starts == len(seqs)
 
 
+def test_a_window_of_training_keeps_its_memory():
+    """Arrays made anew for every window cost page faults: after the first window most are there."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    net = recurrent.Network(1024, 129, 16, 32)
+    seqs = [rng.integers(0, 1153, 40).astype(np.uint16) for _ in range(512)]
+    grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+    (x, y, first, live, _), second = list(recurrent.windows(seqs, 512, 16, net.start))[:2]
+    _, h = net.gradient(grads, x, y, first, live, np.zeros((512, 16), np.float32))
+    tracemalloc.start()
+    net.gradient(grads, *second[:4], h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 << 20
+
+
 def test_lm_edges(spark):
     from pyspark.sql import functions as F
 
