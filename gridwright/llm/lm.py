@@ -2,9 +2,10 @@
 
 A token is a frequent word, which the network knows by itself, or stands in a tail class: the words that end in the same
 two bytes. ``P(token) = P(frequent word | state)``, or ``P(tail class | state) * (c + 1) / (N_class + V_class + 1)`` with
-the word's count c in the training documents. So each class has one symbol for all unknown words, and the sum over all
-tokens is 1. Counts, frequent words, classes and N, V are those of all training documents; the network sees each of them
-once, from its first word to its end.
+the word's count c in the training documents. Frequent words and tail classes are the network's symbols, in runs of
+PER_CLASS: ``P(symbol | state) = P(run | state) * P(symbol | run, state)``. So each class has one symbol for all unknown
+words, and the sum over all tokens is 1. Counts, frequent words, classes and N, V are those of all training documents;
+the network sees each of them once, from its first word to its end.
 
 Work is dealt out as follows. One scan counts words (pre-aggregated in each task). One scan codes the texts: what the
 bounded dictionary of most frequent words knows is coded and summed there, the other words of each document are joined
@@ -17,12 +18,11 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +34,12 @@ WORDS = 1024  # most frequent words that the network tells apart
 TAILS = 128  # tail classes: the most frequent last two bytes, and one for the others
 DICTIONARY = 60_000  # most frequent words whose counts every task holds, of LONGEST bytes at most: some 4 MB at the most
 LONGEST = 64
+COUNTED = 32 << 20  # bytes of words, with four for each word's place, that a task counts before it sends them on
 HIDDEN, PER_CLASS, LANES, STEPS, RATE = 16, 32, 512, 16, 0.006
 TASK_TOKENS = 2_000_000  # about as many train one replica in a round
 BLOCK = 8192  # weights averaged at once
 ROUNDS = (1, 1, 2, 4)  # eighths of the training documents, short rounds first, so that replicas part little
+_NO_BYTES = 65536 + 256  # place of the empty word among last two bytes, after those of two and of one
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
 
@@ -53,21 +55,45 @@ def word_blocks(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
     yield text[at:].lower().split() if at else text.lower().split()
 
 
+def _tokens(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(row of each token, tokens as binary), rows ascending, about ``most`` bytes of text at once; a document's end is the empty word."""
+    texts = pc.fill_null(texts, b"")
+    length = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes, at = np.cumsum(length), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        if length[at] > most:  # long texts in several turns
+            for words in word_blocks(texts[at].as_py()):
+                yield np.full(len(words), at), pa.array(words, pa.binary())
+            yield np.array([at]), pa.array([b""], pa.binary())
+        else:
+            # With a space behind each text, what the split finds last is the end. Only the first can be empty besides.
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts[at:to].view(pa.string()), " ", "")))
+            words = split.flatten().view(pa.binary())
+            rows = np.repeat(np.arange(at, to), np.diff(split.offsets.to_numpy()))
+            empty = pc.binary_length(words).to_numpy() == 0
+            empty[np.flatnonzero(np.append(rows[1:] != rows[:-1], True))] = False
+            if empty.any():
+                rows, words = rows[~empty], words.filter(pa.array(~empty))
+            yield rows, words
+        at = to
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n), pre-aggregated; a document's end is the empty word."""
-    found: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-    for b in (p for whole in batches for p in pieces(whole)):
-        found[b""] += b.num_rows
-        for text in b.column(0).to_pylist():
-            for words in word_blocks(text or b""):
-                found.update(words)
-            if len(found) > 400_000:
+        found = pc.value_counts(pa.chunked_array(some, pa.binary()))
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+    some, held = [], 0
+    for b in (p for whole in batches for p in pieces(whole, 1024)):
+        for _, words in _tokens(b.column(0)):
+            some.append(words)
+            held += words.nbytes
+            if held > COUNTED:
                 yield out()
-                found.clear()
+                some, held = [], 0
     yield out()
 
 
@@ -82,24 +108,39 @@ class Vocabulary:
         self.other = len(tails)
         self.tail_n, self.tail_v = np.array(tail_n, float), np.array(tail_v, float)
 
+    def kinds(self, words: pa.Array) -> np.ndarray:
+        """Tail class of each word, by its last two bytes."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        length, ends = np.diff(ends), ends[1:]
+        last = np.full(len(words), _NO_BYTES)
+        some, more = np.flatnonzero(length > 0), np.flatnonzero(length > 1)
+        last[some] = 65536 + data[ends[some] - 1].astype(np.int64)
+        last[more] = data[ends[more] - 2].astype(np.int64) * 256 + data[ends[more] - 1]
+        table = np.full(_NO_BYTES + 1, self.other)
+        for w, i in self.tails.items():
+            table[_NO_BYTES if not w else 65536 + w[0] if len(w) == 1 else w[0] * 256 + w[1]] = i
+        return table[last]
+
     def coder(self):
-        """A function from words to (symbols, base and tail shares of each word, places of the words that the dictionary lacks)."""
-        code = {w: i for i, w in enumerate(self.words)}
-        last, other, k = self.tails, self.other, self.frequent
-        kinds = np.array([last.get(w[-2:], other) for w in self.words], np.int64)
-        place = np.arange(len(self.words))
-        # What the dictionary lacks has code -1, the last row: no share here.
-        symbol = np.append(np.where(place < k, place, k + kinds), 0).astype(np.uint16)
-        base = np.append(np.log10((self.counts + 1) / (self.n + self.v + 1)), 0.0)
-        tail = np.append(np.where(place < k, 0.0, np.log10((self.counts + 1) / (self.tail_n[kinds] + self.tail_v[kinds] + 1))), 0.0)
-
-        def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-            at = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
-            gaps = np.flatnonzero(at < 0)
-            places = gaps.tolist()
-            out = symbol[at]
-            out[gaps] = [k + last.get(words[i][-2:], other) for i in places]
-            return out, base[at], tail[at], places
+        """A function from words to (code, symbol, base and tail share of each, what the dictionary lacks with its tail classes).
+
+        Codes are places in the dictionary, and from its length on in what it lacks, which is each word once.
+        """
+        known, k, n = pa.array(self.words, pa.binary()), self.frequent, len(self.words)
+        kinds, place = self.kinds(known), np.arange(n)
+        symbol = np.where(place < k, place, k + kinds).astype(np.uint16)
+        base = np.log10((self.counts + 1) / (self.n + self.v + 1))
+        tail = np.where(place < k, 0.0, np.log10((self.counts + 1) / (self.tail_n[kinds] + self.tail_v[kinds] + 1)))
+
+        def run(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+            found = pa.concat_arrays([known, words]).dictionary_encode()
+            code, lacking = found.indices.to_numpy()[n:], found.dictionary[n:]
+            own = self.kinds(lacking)
+            none = np.zeros(len(lacking))
+            return code, np.append(symbol, (k + own).astype(np.uint16))[code], np.append(base, none)[code], np.append(tail, none)[code], lacking, own
 
         return run
 
@@ -109,7 +150,7 @@ class Vocabulary:
         return np.log(mass / mass.sum())
 
     def network(self) -> recurrent.Network:
-        return recurrent.Network(self.frequent, self.other + 1, HIDDEN, PER_CLASS, self.log_share())
+        return recurrent.Network(self.frequent + self.other + 1, 0, HIDDEN, PER_CLASS, self.log_share())
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -130,58 +171,31 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 _CODED = "key long, part int, n_tokens long, known long, base double, tail double, ids binary, rare_word array<binary>, rare_n array<int>, rare_kind array<int>"
 
 
-class _Texts:
-    """Texts of a batch on their way to symbols: words of several are looked up at once, long texts in several turns."""
-
-    def __init__(self, coder, n: int):
-        self.coder, self.ids, self.lacking = coder, [[] for _ in range(n)], [Counter() for _ in range(n)]
-        self.sums = np.zeros((n, 4))  # tokens, known, base, tail
-        self.words: list[bytes] = []
-        self.begins: list[tuple[int, int]] = []
-
-    def add(self, row: int, words: list[bytes]) -> None:
-        if words:
-            self.begins.append((row, len(self.words)))
-            self.words += words
-            if len(self.words) > 50_000:
-                self.flush()
-
-    def flush(self) -> None:
-        if not self.words:
-            return
-        out, base, tail, gaps = self.coder(self.words)
-        rows, at = (np.array(x) for x in zip(*self.begins))
-        ends = np.append(at[1:], len(out))
-        cut = np.searchsorted(gaps, np.append(at, len(out))).tolist()
-        known = (ends - at) - np.diff(cut)
-        np.add.at(self.sums, rows, np.stack([ends - at, known, np.add.reduceat(base, at), np.add.reduceat(tail, at)], axis=1))
-        for i, (row, a) in enumerate(self.begins):
-            self.ids[row].append(out[a : ends[i]])
-            self.lacking[row].update([self.words[j] for j in gaps[cut[i] : cut[i + 1]]])
-        self.words, self.begins = [], []
-
-
 def _coded(vocab) -> object:
     """Texts as symbols, with sums over the dictionary's words, and the other words with counts and tail classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocab.value
-        coder = v.coder()
-        for b in (p for whole in batches for p in pieces(whole)):
-            texts = _Texts(coder, b.num_rows)
-            for row, text in enumerate(b.column(2).to_pylist()):
-                for words in word_blocks(text or b""):
-                    texts.add(row, words)
-                texts.add(row, [b""])
-            texts.flush()
-            flat_word = [w for c in texts.lacking for w in c]
-            flat_n = [n for c in texts.lacking for n in c.values()]
-            flat_kind = [v.tails.get(w[-2:], v.other) for w in flat_word]
-            at = pa.array(np.append(0, np.cumsum([len(c) for c in texts.lacking])), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((flat_word, pa.binary()), (flat_n, pa.int32()), (flat_kind, pa.int32()))]
-            counts = [pa.array(texts.sums[:, i].astype(np.int64)) for i in (0, 1)]
-            ids = pa.array([x[0].tobytes() if len(x) == 1 else np.concatenate(x).tobytes() for x in texts.ids], pa.binary())
-            own = [*counts, pa.array(texts.sums[:, 2]), pa.array(texts.sums[:, 3]), ids]
+        coder, known = v.coder(), len(v.words)
+        for b in (p for whole in batches for p in pieces(whole, 1024)):
+            n = b.num_rows
+            sums, lacks, ids = np.zeros((4, n)), np.zeros(n, np.int64), []  # tokens, known, base, tail
+            rare = [(pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+            for rows, words in _tokens(b.column(2)):
+                code, symbol, base, tail, lacking, kinds = coder(words)
+                ids.append(symbol)
+                for i, x in enumerate((None, code < known, base, tail)):
+                    sums[i] += np.bincount(rows, x, n)
+                gaps = np.flatnonzero(code >= known)
+                pairs, times = np.unique(rows[gaps] * len(lacking) + (code[gaps] - known), return_counts=True)
+                row, word = np.divmod(pairs, max(1, len(lacking)))
+                lacks += np.bincount(row, minlength=n)
+                rare.append((lacking.take(pa.array(word)), times.astype(np.int32), kinds[word].astype(np.int32)))
+            at = pa.array(np.append(0, np.cumsum(lacks)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.concat_arrays([r[0] for r in rare]), *(pa.array(np.concatenate([r[i] for r in rare])) for i in (1, 2)))]
+            ends = np.append(0, np.cumsum(2 * sums[0])).astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(ids))])
+            own = [*(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2]), pa.array(sums[3]), coded]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, *lists, *b.columns[3:]], ["key", "part", "n_tokens", "known", "base", "tail", "ids", "rare_word", "rare_n", "rare_kind", *b.schema.names[3:]])
 
     return run
@@ -221,10 +235,9 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(sums[k][1] / sums[k][0]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["block", "weights"])
 
 
-def train(coded: DataFrame, vocab) -> np.ndarray:
-    """Weights after one pass over ``coded(part, n_tokens, ids)``, whose parts 0 to 3 are the rounds."""
+def train(coded: DataFrame, vocab, tokens: dict[int, int]) -> np.ndarray:
+    """Weights after one pass over ``coded(part, ids)``, whose parts 0 to 3 are the rounds; ``tokens`` by part."""
     spark = coded.sparkSession
-    tokens = {r.part: r.n for r in coded.where("part >= 0").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     flat = vocab.value.network().flat()
     for part in range(len(ROUNDS)):
         if not tokens.get(part):
@@ -301,8 +314,11 @@ def lm_scores(docs: DataFrame, held_out: Column, text_col: str = "text") -> Data
     )
     parts = looked.groupBy("key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("lp").alias("lp"))
     if v.n:
-        weights = spark.sparkContext.broadcast(train(coded, vocab))
-        lp = coded.select("key", "ids").mapInArrow(_scores(vocab, weights), "key long, lp double")
+        tokens = {r.part: r.n for r in coded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+        weights = spark.sparkContext.broadcast(train(coded, vocab, tokens))
+        # Many symbols a task: its longest documents then go with more others at once.
+        tasks = max(spark.sparkContext.defaultParallelism, -(-sum(tokens.values()) // TASK_TOKENS))
+        lp = coded.select("key", "ids").coalesce(tasks).mapInArrow(_scores(vocab, weights), "key long, lp double")
         parts = parts.unionByName(lp.select("key", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "lp"))
     parts = parts.groupBy("key").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("lp").alias("lp"))
     done = coded.join(parts, "key", "left")

@@ -35,7 +35,8 @@ class Room:
 def _softmax(room: Room, h: np.ndarray, w: np.ndarray, y: np.ndarray, wild: bool, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each ``y`` by a softmax of ``h @ w``; ``grads`` get the loss' gradient, as does the second result for ``h``.
 
-    The last column of ``h`` is 1, the last row of ``w`` the biases. ``wild`` is whether a score can be beyond 80.
+    The last column of ``h`` is 1, the last row of ``w`` the biases; what the second result has there is no use.
+    ``wild`` is whether a score can be beyond 80.
     """
     e = np.matmul(h, w, out=room("scores", len(y), w.shape[1]))
     flat, at = e.reshape(-1), np.arange(0, e.size, e.shape[1]) + y
@@ -48,7 +49,6 @@ def _softmax(room: Room, h: np.ndarray, w: np.ndarray, y: np.ndarray, wild: bool
         return chosen - np.log(e @ np.ones(e.shape[1], np.float32)), None
     # Shares are e / total: only what is narrow is divided, and the totals come with the product that the states get.
     back = np.array(w.T, order="C")
-    own = np.take(back[:, :-1], y, axis=0)
     back[:, -1] = 1.0
     d = np.matmul(e, back, out=room("back", *h.shape))
     total = d[:, -1].copy()
@@ -57,7 +57,8 @@ def _softmax(room: Room, h: np.ndarray, w: np.ndarray, y: np.ndarray, wild: bool
     got = e.T @ np.divide(h, total[:, None], out=room("weighed", *h.shape))
     grads[0][...] += got[:, :-1].T
     grads[1][...] += got[:, -1]
-    return chosen - np.log(total), np.subtract(d[:, :-1], own, out=own)
+    d -= np.take(back, y, axis=0, out=room("own", *h.shape), mode="clip")
+    return chosen - np.log(total), d
 
 
 class Network:
@@ -127,36 +128,34 @@ class Network:
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each ``y`` after its state; with ``grads`` also what of the loss reaches the states."""
         cls, k, p = self.class_of[y], self.hidden, self.p
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # rows of a run lie together, those of no run behind
+        y, cls = y[order], cls[order]
         one = self.room("states and 1", len(y), k + 1)
-        one[:, :k], one[:, k] = h, 1.0
+        one[:, :k], one[:, k] = np.take(h, order, axis=0, out=self.room("by class", len(y), k), mode="clip"), 1.0
         # States are within 1.
         top, low = np.vstack([p["c"], p["cb"]]), np.column_stack([p["w"], p["wb"]])
         wild = [bool(len(w)) and float(np.abs(w).sum(axis=1).max()) > 80.0 for w in (top.T, low)]
         lp = np.empty(len(y), np.float32)
-        dh = None if grads is None else self.room("to states", len(y), k)
+        dh = None if grads is None else self.room("to states and 1", len(y), k + 1)
         for a in range(0, len(y), CHUNK):
             part = slice(a, a + CHUNK)
             own = None if grads is None else (grads["c"], grads["cb"])
             lp[part], d = _softmax(self.room, one[part], top, cls[part], wild[0], own)
             if d is not None:
                 dh[part] = d
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        ends = np.searchsorted(cls, np.arange(self.runs + 1), sorter=order).tolist()
-        order = order[: ends[-1]]
-        one, y = np.take(one, order, axis=0, out=self.room("by run", len(order), k + 1), mode="clip"), y[order]
-        within, dw = np.empty(len(order), np.float32), self.room("to states by run", len(order), k)
+        ends = np.searchsorted(cls, np.arange(self.runs + 1)).tolist()
         for run in range(self.runs):
             part = slice(ends[run], ends[run + 1])
             if ends[run] < ends[run + 1]:
                 a, b = run * self.per_class, min(self.words, (run + 1) * self.per_class)
                 own = None if grads is None else (grads["w"][a:b].T, grads["wb"][a:b])
-                within[part], d = _softmax(self.room, one[part], low[a:b].T, y[part] - a, wild[1], own)
+                within, d = _softmax(self.room, one[part], low[a:b].T, y[part] - a, wild[1], own)
+                lp[part] += within
                 if d is not None:
-                    dw[part] = d
-        lp[order] += within
-        if dh is not None:
-            dh[order] += dw
-        return lp, dh
+                    dh[part] += d
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return lp[back], None if dh is None else np.take(dh, back, axis=0, out=self.room("to states", len(y), k + 1), mode="clip")[:, :k]
 
     # Training
 

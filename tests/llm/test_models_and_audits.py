@@ -168,6 +168,70 @@ def test_a_window_of_training_keeps_its_memory():
     assert most < 3 << 20
 
 
+def some_vocabulary(counts, most):
+    top = sorted(counts.items(), key=lambda r: (-r[1], r[0]))
+    ends = {}
+    for w, n in top[2:]:
+        own = ends.setdefault(w[-2:], [0, 0])
+        own[0], own[1] = own[0] + n, own[1] + 1
+    n, v = (list(x) for x in zip(*ends.values()))
+    made = lm.Vocabulary([w for w, _ in top[:most]], [n for _, n in top[:most]], sum(counts.values()), len(counts), list(ends)[:-1], n, v)
+    made.frequent = 2
+    return made
+
+
+def test_short_texts_are_counted_and_coded_in_columns(monkeypatch):
+    """Without a Python object for each word; odd bytes, ends of texts and repeated words as brute force has them."""
+    import pyarrow as pa
+
+    texts = [b"", b" ", b"  a  B b ", b"\n", b"\xff\xfeA b\xc3", "ÄÖ x\u00a0y z ".encode(), bytes(range(256)), None, b"a", b"\t\x0b\x0cq\r\n", b"zz yz zz b a zz"]
+    words = [[*(t or b"").lower().split(), b""] for t in texts]
+    for most in (1, 16, 1 << 20):
+        got = [[] for _ in texts]
+        for rows, some in lm._tokens(pa.array(texts, pa.binary()), most):
+            for i, w in zip(rows.tolist(), some.to_pylist(), strict=True):
+                got[i].append(w)
+        assert got == words
+
+    def no(*_):
+        raise AssertionError("words one by one")
+
+    monkeypatch.setattr(lm, "word_blocks", no)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"]).slice(1)
+    counts = Counter()
+    for b in lm._counted(iter([batch])):
+        counts.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert counts == Counter(w for some in words[1:] for w in some)
+    v = some_vocabulary(counts, 4)
+
+    class Shared:
+        value = v
+
+    keyed = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.binary()), pa.array(["x"] * len(texts))], ["key", "part", "text", "c0"])
+    got = [r for b in lm._coded(Shared)(iter([keyed.slice(0, 3), keyed.slice(3)])) for r in b.to_pylist()]
+    assert [r["key"] for r in got] == list(range(len(texts))) and {r["c0"] for r in got} == {"x"}
+    kind = lambda w: v.tails.get(w[-2:], v.other)
+    for r, own in zip(got, words):
+        place = [v.words.index(w) if w in v.words else -1 for w in own]
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [p if 0 <= p < 2 else 2 + kind(w) for p, w in zip(place, own)]
+        assert (r["n_tokens"], r["known"]) == (len(own), sum(p >= 0 for p in place))
+        assert math.isclose(r["base"], sum(math.log10((counts[w] + 1) / (v.n + v.v + 1)) for w, p in zip(own, place) if p >= 0), rel_tol=1e-12)
+        assert math.isclose(r["tail"], sum(math.log10((counts[w] + 1) / (v.tail_n[kind(w)] + v.tail_v[kind(w)] + 1)) for w, p in zip(own, place) if p >= 2), rel_tol=1e-12)
+        lacking = Counter(w for w, p in zip(own, place) if p < 0)
+        assert dict(zip(r["rare_word"], zip(r["rare_n"], r["rare_kind"]))) == {w: (n, kind(w)) for w, n in lacking.items()} and len(r["rare_word"]) == len(lacking)
+
+
+def test_a_symbol_costs_two_short_softmaxes():
+    """Tail classes stand in runs as frequent words do: no softmax over all of them; all symbols' shares are 1 together."""
+    tails = [bytes([97 + i // 26, 97 + i % 26]) for i in range(127)]
+    v = lm.Vocabulary([b"%d" % i for i in range(2000)], list(range(3000, 1000, -1)), 5_000_000, 9000, tails, [500] * 128, [60] * 128)
+    net = v.network()
+    assert net.start == 1024 + 128 and net.classes + net.per_class <= 80
+    h = np.random.default_rng(4).uniform(-1, 1, (1, net.hidden)).astype(np.float32)
+    lp, _ = net.log_probs(np.repeat(h, net.start, axis=0), np.arange(net.start))
+    assert math.isclose(float(np.exp(lp, dtype=float).sum()), 1.0, rel_tol=1e-4)
+
+
 def test_lm_edges(spark):
     from pyspark.sql import functions as F
 
